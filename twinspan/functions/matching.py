@@ -6,9 +6,7 @@ bit-parallel count on Python integers and rejects most pairs before the exact sc
 
 from __future__ import annotations
 
-from collections import defaultdict
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +19,8 @@ from twinspan import constants as C
 
 _DELIMITERS = frozenset(C.DELIMITERS)
 SLACK = 1e-9
+# Weight by the last two bits of a token code.
+CLASS_WEIGHTS = np.array([C.DELIMITER_WEIGHT, C.IDENTIFIER_WEIGHT, C.OTHER_WEIGHT, 0])
 
 
 def weight(token: str) -> int:
@@ -29,22 +29,7 @@ def weight(token: str) -> int:
     return C.IDENTIFIER_WEIGHT if token.startswith("ID_") else C.OTHER_WEIGHT
 
 
-@lru_cache(maxsize=4096)
-def _profile(tokens: tuple[str, ...]):
-    """Weights, total, and per weight class the token string with its bit masks."""
-    weights = np.fromiter(map(weight, tokens), dtype=np.int64, count=len(tokens))
-    prefix = np.concatenate([[0], np.cumsum(weights)])
-    classes = {}
-    for w in (C.DELIMITER_WEIGHT, C.IDENTIFIER_WEIGHT, C.OTHER_WEIGHT):
-        part = [t for t, v in zip(tokens, weights) if v == w]
-        masks: dict[str, int] = defaultdict(int)
-        for i, t in enumerate(part):
-            masks[t] |= 1 << i
-        classes[w] = (part, dict(masks))
-    return prefix, int(prefix[-1]), classes
-
-
-def _lcs_length(masks: dict[str, int], n: int, other: list[str]) -> int:
+def _lcs_length(masks: dict[int, int], n: int, other: list[int]) -> int:
     """Bit-parallel longest common subsequence length."""
     if not n or not other:
         return 0
@@ -56,65 +41,184 @@ def _lcs_length(masks: dict[str, int], n: int, other: list[str]) -> int:
     return n - v.bit_count()
 
 
-def matched_weight_bound(a: tuple, b: tuple, enough: float) -> int:
-    """Upper bound of the matched weight: common subsequences per weight class.
+class Profile:
+    """One coded token list with what repeated comparisons need.
+
+    A code holds a token's hash and, in its last two bits, its weight class.
+    """
 
-    Stops early once even full matches of the remaining classes fall below ``enough``.
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.kind = codes & 3
+        self.weights = CLASS_WEIGHTS[self.kind]
+        self.total = int(self.weights.sum())
+        self.tokens, self.counts = np.unique(codes, return_counts=True)
+        self._parts: dict[int, list[int]] = {}
+        self._masks: dict[int, dict[int, int]] = {}
+        self._prefix: np.ndarray | None = None
+
+    @property
+    def prefix(self) -> np.ndarray:
+        if self._prefix is None:
+            self._prefix = np.concatenate([[0], np.cumsum(self.weights)])
+        return self._prefix
+
+    def part(self, kind: int) -> list[int]:
+        if kind not in self._parts:
+            self._parts[kind] = self.codes[self.kind == kind].tolist()
+        return self._parts[kind]
+
+    def masks(self, kind: int) -> dict[int, int]:
+        if kind not in self._masks:
+            found: dict[int, int] = {}
+            for i, t in enumerate(self.part(kind)):
+                found[t] = found.get(t, 0) | (1 << i)
+            self._masks[kind] = found
+        return self._masks[kind]
+
+
+def bag_by_class(a: Profile, b: Profile) -> np.ndarray:
+    """Weighted bag intersection, one figure per weight class."""
+    at = np.searchsorted(b.tokens, a.tokens)
+    at[at == len(b.tokens)] = 0
+    common = b.tokens[at] == a.tokens
+    both = np.minimum(a.counts[common], b.counts[at[common]])
+    kinds = a.tokens[common] & 3
+    return np.bincount(kinds, weights=both, minlength=3)[:3] * CLASS_WEIGHTS[:3]
+
+
+def matched_weight_bound(a: Profile, b: Profile, enough: float) -> float:
+    """Upper bound of the matched weight: bags first, then subsequences per class.
+
+    Stops once the bound is below ``enough``.
     """
-    pa_, pb = _profile(a)[2], _profile(b)[2]
-    best = {w: w * min(len(pa_[w][0]), len(pb[w][0])) for w in pa_}
-    total = sum(best.values())
-    for w in (C.IDENTIFIER_WEIGHT, C.OTHER_WEIGHT, C.DELIMITER_WEIGHT):
-        if total < enough:
+    if not len(a.codes) or not len(b.codes):
+        return 0
+    best = bag_by_class(a, b)
+    bound = best.sum()
+    for kind in (1, 2, 0):
+        if bound < enough:
             break
-        found = w * _lcs_length(pa_[w][1], len(pa_[w][0]), pb[w][0])
-        total += found - best[w]
-    return total
+        common = _lcs_length(b.masks(kind), len(b.part(kind)), a.part(kind))
+        bound += CLASS_WEIGHTS[kind] * common - best[kind]
+    return bound
 
 
-def _matched(x: tuple, y: tuple) -> int:
-    prefix = _profile(x)[0]
-    blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-    return int(sum(prefix[i + n] - prefix[i] for i, _, n in blocks))
+def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All maximal runs a[i:i+n] == b[j:j+n] as arrays (i, j, n).
 
+    Built from the positions of common tokens and sorted along diagonals; no
+    len(a) x len(b) table.
+    """
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    lo = np.searchsorted(b[by_b], a[by_a], "left")
+    n = np.searchsorted(b[by_b], a[by_a], "right") - lo
+    i = np.repeat(by_a, n)
+    step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    j = by_b[np.repeat(lo, n) + step]
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    if not len(i):
+        return i, j, i
+    fresh = np.ones(len(i), dtype=bool)
+    fresh[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    return i[at], j[at], np.diff(np.append(at, len(i)))
+
+
+def matched_weight(
+    a: np.ndarray, b: np.ndarray, sum_a: np.ndarray, sum_b: np.ndarray, need: float = 0.0
+) -> float:
+    """Weight of the blocks that longest-run-first matching finds.
+
+    The longest equal run is taken (earliest in ``a``, then in ``b``), then the parts
+    before and after it likewise. ``sum_a``/``sum_b`` are running weights. What the
+    open parts can still add is known from their weights, so the search ends as soon
+    as ``need`` is out of reach (the returned figure is then below ``need``).
+    """
+    bound = min(sum_a[-1], sum_b[-1])
+    parts = [(0, len(a), 0, len(b), *equal_runs(a, b))]
+    while parts:
+        a0, a1, b0, b1, i, j, n = parts.pop()
+        cap = min(sum_a[a1] - sum_a[a0], sum_b[b1] - sum_b[b0])
+        skip = np.maximum(np.maximum(a0 - i, b0 - j), 0)
+        i, j = i + skip, j + skip
+        n = np.minimum(n - skip, np.minimum(a1 - i, b1 - j))
+        live = n > 0
+        i, j, n = i[live], j[live], n[live]
+        if not len(n):
+            bound -= cap
+        else:
+            size = n.max()
+            top = np.flatnonzero(n == size)
+            best = top[np.lexsort((j[top], i[top]))[0]]
+            x, y = int(i[best]), int(j[best])
+            got = sum_a[x + size] - sum_a[x]
+            for part in ((a0, x, b0, y), (x + size, a1, y + size, b1)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    got += min(sum_a[part[1]] - sum_a[part[0]], sum_b[part[3]] - sum_b[part[2]])
+                    parts.append((*part, i, j, n))
+            bound -= cap - got
+        if bound < need:
+            break
+    return float(bound)
+
+
+def _matched(x: Profile, y: Profile, need: float) -> float:
+    return matched_weight(x.codes, y.codes, x.prefix, y.prefix, need)
 
-def near_miss_score(a: tuple, b: tuple, at_least: float = 0.0) -> float | None:
+
+def near_miss_score(a: Profile, b: Profile, at_least: float = 0.0) -> float | None:
     """Weighted share of matched tokens, the lower of both directions.
 
     None when it provably stays below ``at_least``.
     """
-    total = _profile(a)[1] + _profile(b)[1]
+    total = a.total + b.total
     if not total:
         return 0.0 if at_least <= 0 else None
     need = (at_least - SLACK) * total / 2
     if at_least > 0 and matched_weight_bound(a, b, need) < need:
         return None
-    first = _matched(a, b)
+    first = _matched(a, b, need)
     if first < need:
         return None
-    best = min(first, _matched(b, a))
+    best = min(first, _matched(b, a, need))
     return 2 * best / total if best >= need else None
 
 
 def sequence_similarity(a: list[str], b: list[str], autojunk: bool = False) -> float:
     if not a or not b:
         return 0.0
-    return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
+    if autojunk:
+        return SequenceMatcher(None, a, b).ratio()
+    number = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([number[t] for t in v]) for v in (a, b))
+    matched = matched_weight(x, y, np.arange(len(x) + 1), np.arange(len(y) + 1))
+    return 2.0 * matched / (len(x) + len(y))
 
 
-def _tuples(arr: pa.Array) -> list[tuple]:
-    return [tuple(v) for v in arr.to_pylist()]
+def _rows(arr: pa.Array) -> list[np.ndarray]:
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    values = arr.values.to_numpy(zero_copy_only=False)
+    ends = arr.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
 
 def near_miss_udf(at_least: float):
-    """Arrow UDF (tokens_a, tokens_b) -> score, null below ``at_least``."""
+    """Arrow UDF (key_b, codes_a, codes_b) -> score, null below ``at_least``.
+
+    Rows that share ``key_b`` tend to arrive together, so its profile is kept.
+    """
 
     @F.arrow_udf(T.DoubleType())
-    def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(
-            [near_miss_score(x, y, at_least) for x, y in zip(_tuples(a), _tuples(b))],
-            pa.float64(),
-        )
+    def score(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+        out, last, profile = [], None, None
+        for key, x, y in zip(key_b.to_pylist(), _rows(codes_a), _rows(codes_b)):
+            if key != last:
+                last, profile = key, Profile(y)
+            out.append(near_miss_score(Profile(x), profile, at_least))
+        return pa.array(out, pa.float64())
 
     return score
 

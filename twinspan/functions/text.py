@@ -190,6 +190,16 @@ def token_weight(token: Column) -> Column:
     )
 
 
+def token_codes(toks: ColumnLike) -> Column:
+    """Tokens as integers: a hash whose last two bits are the weight class."""
+    kind = lambda t: (
+        F.when(t.isin(*C.DELIMITERS), F.lit(0)).when(t.startswith("ID_"), F.lit(1)).otherwise(F.lit(2))
+    )
+    return F.transform(
+        col(toks), lambda t: F.shiftleft(F.xxhash64(t), 2).bitwiseOR(kind(t).cast("bigint"))
+    )
+
+
 def total_weight(toks: ColumnLike) -> Column:
     return F.aggregate(
         col(toks), F.lit(0).cast("bigint"), lambda acc, t: acc + token_weight(t)
