@@ -175,3 +175,21 @@ def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFram
             F.least("cid_a", "cid_b").alias(f"{key}_a"), F.greatest("cid_a", "cid_b").alias(f"{key}_b"),
             "shared", "overlap")
     )
+
+
+def expand_near(near: DataFrame, frags: DataFrame, max_class: int = 10_000) -> DataFrame:
+    """Every fragment pair behind the near-miss rows, for classes of a checked size."""
+    from twinspan.functions.numeric import require
+
+    small = (F.col("n_members_a") <= max_class) & (F.col("n_members_b") <= max_class)
+    rows = near.filter(require(small, f"a class has more than {max_class} members: use the near-miss rows"))
+    cols = ("frag_id", "file", *PLACE)
+    member = lambda s: frags.select(*KEY, F.col("near_fp").alias(f"near_fp_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+    met = rows.select(*KEY, "near_fp_a", "near_fp_b", "similarity").join(member("a"), [*KEY, "near_fp_a"]).join(
+        member("b"), [*KEY, "near_fp_b"])
+    met = met.filter(~X.overlaps("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b"))
+    swap = F.struct(*[F.col(f"{c}_a") for c in PLACE]) > F.struct(*[F.col(f"{c}_b") for c in PLACE])
+    pick = lambda c, s, o: F.when(swap, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
+    return met.select(
+        *KEY, F.lit("Type-3").alias("clone_type"), "similarity",
+        *[pick(c, "a", "b") for c in cols], *[pick(c, "b", "a") for c in cols])
