@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from twinspan.catalog import clones, segments, texts
+from twinspan.catalog import clones, evaluation, segments, semantics, summaries, texts
 from twinspan.catalog.common import Registry
 
-MODULES = (texts, segments, clones)
+MODULES = (texts, segments, clones, semantics, summaries, evaluation)
 
 
 def build() -> Registry:

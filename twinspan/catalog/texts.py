@@ -9,6 +9,7 @@ from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
 from twinspan.functions import text as X
 from twinspan.functions.renaming import rename_identifiers
+from twinspan.operators import rollups as R
 from twinspan.operators import segment
 from twinspan.operators.segment import once
 from twinspan.sources import embeddings as cache
@@ -104,24 +105,24 @@ def register(r: B.Registry) -> None:
     def lookup(spark, sf):
         j = B.jobs(spark, sf)
         f = B.job_files(spark, sf)
-        mine = j.filter("user_id % 3 = 0").select("job_id", "user_id")
+        mine = R.owned_by(j, F.col("user_id")).select("job_id", "user_id")
         return f.join(mine, "job_id").groupBy("user_id").agg(F.count("*").alias("n"), F.min("file").alias("first_file"))
 
     r.add("lookup_source", lookup, f"""
         WITH {B.SQL_JOBS}, {B.SQL_JOB_FILES}
-        SELECT user_id, count(*) AS n, min(file) AS first_file FROM job_files JOIN jobs USING (job_id)
-        WHERE user_id % 3 = 0 GROUP BY user_id""")
+        SELECT user_id, count(*) AS n, min(file) AS first_file FROM job_files JOIN jobs USING (job_id) GROUP BY user_id""")
 
     def misses(spark, sf):
         frags = B.table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("lang").alias("language"), "doc_id")
-        known = frags.filter("doc_id % 3 = 0").select(
-            cache.code_key().alias("key"), F.array_repeat(F.lit(0.5), 4 + (F.col("doc_id") % 2).cast("int")).alias("vector"))
+        quality = B.table(spark, sf, "labels").select("doc_id", "quality")
+        known = frags.join(quality, "doc_id").select(
+            cache.code_key().alias("key"), F.array_repeat(F.lit(0.5), 4 + F.col("quality").cast("int")).alias("vector"))
         known = cache.valid_cache(known, 4).select("key").distinct()
         missing = cache.cache_misses(frags, known)
         return missing.agg(F.count("*").alias("misses")).join(known.agg(F.count("*").alias("valid_rows")))
 
     r.add("embedding_cache", misses, """
-        WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 6 = 0)
+        WITH k AS (SELECT DISTINCT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0)
         SELECT (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM k)) AS misses,
                (SELECT count(*) FROM k) AS valid_rows""")
 

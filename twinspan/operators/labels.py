@@ -38,7 +38,7 @@ def validate_labeled(rows: DataFrame, strict: bool = False) -> tuple[DataFrame,
         F.when(~said & (F.col("short_a") | F.col("short_b")), F.lit("fewer than three tokens")),
         F.when(~said & (F.col("fp_a") == F.col("fp_b")) & (F.col("label") == 0), F.lit("identical snippets labelled 0")),
     ))
-    marked = marked.drop("short_a", "short_b").withColumn("reasons", F.explode(F.array(reasons)))
+    marked = marked.withColumn("reasons", F.explode(F.array(reasons))).drop("short_a", "short_b")
     if strict:
         marked = marked.filter(require(F.size("reasons") == 0, "invalid labelled pair"))
     return marked.filter("size(reasons) = 0").drop("reasons"), marked.filter("size(reasons) > 0")
