@@ -240,3 +240,18 @@ def register(r: B.Registry) -> None:
     r.add("exact_label_accuracy", lambda spark, sf: E.exact_label_accuracy(regression(spark, sf), "job_id"),
           f"""{reg} SELECT job_id, count(*) AS cases, count(*) FILTER (previous IS NOT DISTINCT FROM expected) AS previous_exact,
               count(*) FILTER (current IS NOT DISTINCT FROM expected) AS current_exact FROM g GROUP BY job_id""")
+
+    # --- training: no SQL form
+    def trained(spark, sf):
+        from twinspan.catalog.semantics import embeddings
+        from twinspan.operators.learning import fit_pair_classifier
+
+        emb = embeddings(spark, sf)
+        p = L.pair_up(emb.select("id", "label"), "id", "label")
+        k = F.col("id_a") % 10
+        pairs = p.select(
+            F.when(k < 6, "train").when(k < 8, "valid").otherwise("test").alias("split"),
+            F.col("id_a").alias("a_id"), F.col("id_b").alias("b_id"), (F.col("label_a") == F.col("label_b")).cast("int").alias("label"))
+        return fit_pair_classifier(pairs, emb.select("id", "vector"), 64, 0.3, 0.1).gate
+
+    r.add("fit_pair_classifier", trained)

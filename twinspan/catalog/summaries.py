@@ -118,3 +118,8 @@ def register(r: B.Registry) -> None:
 
     r.add("pct", lambda spark, sf: B.scored(spark, sf).select("doc_id", N.pct("score").alias("percent")),
           f"WITH {B.SQL_SCORED} SELECT doc_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent FROM scored")
+
+    from twinspan.streaming.progress import job_state
+
+    r.add("stream_job_state", lambda spark, sf: job_state(progress(spark, sf)).select("job_id", "stage", "events"),
+          f"""SELECT job_id, arg_max(stage, (ts, stage)) AS stage, count(*) AS events FROM ({ev}) GROUP BY job_id""")

@@ -294,3 +294,9 @@ def register(r: B.Registry) -> None:
         SELECT l_orderkey, l_partkey AS k, CAST(l_quantity AS INTEGER) AS q,
                l_partkey % 40 <= CAST(l_quantity AS INTEGER) + 10 AND CAST(l_quantity AS INTEGER) <= l_partkey % 40 + CAST(l_quantity AS INTEGER) AS overlap,
                CAST(l_quantity AS INTEGER) + 1 AS lines FROM lineitem""")
+
+    def lexed(spark, sf):
+        c = B.spread_table(spark, sf, "conversations").select("conv_id", "turn", F.lit("python").alias("language"), F.col("text").alias("code"))
+        return segment.with_tokens(c).select("conv_id", "turn", F.size("tokens").alias("n"))
+
+    r.add("python_tokens", lexed)

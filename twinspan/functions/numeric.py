@@ -67,8 +67,9 @@ def require(condition: Column, message: str) -> Column:
 
 def wilson_lower(successes: ColumnLike, n: ColumnLike, z: float = C.WILSON_Z) -> Column:
     """Lower Wilson bound of a proportion; 0 without observations."""
-    k, m = col(successes).cast("double"), col(n).cast("double")
-    p = k / F.when(m > 0, m)
+    k = col(successes).cast("double")
+    m = F.when(col(n) > 0, col(n).cast("double"))
+    p = k / m
     centre = p + z * z / (2 * m)
     spread = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
     return F.coalesce((centre - spread) / (1 + z * z / m), F.lit(0.0))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan import constants as C
@@ -27,6 +27,8 @@ from twinspan.operators.copies import PLACE, overlapping_fragments, place
 from twinspan.operators.segment import once
 
 KEY = ["job_id", "language"]
+# Rows of one element group that one task compares on its lighter side.
+HOT = 20_000
 
 
 def contents(frags: DataFrame) -> DataFrame:
@@ -44,41 +46,57 @@ def tau(threshold: float) -> float:
 
 
 def signatures(distinct: DataFrame, t: float) -> DataFrame:
-    keep = t / (2 - t)
-    return once(distinct, "sig", signature_udf(keep)("near")).select(
-        *KEY, "cid", "param_fp", "sig.*")
+    """Weight and prefix of every content; needs nothing but the content itself."""
+    return once(distinct, "sig", signature_udf(t / (2 - t))("near")).select(*KEY, "cid", "param_fp", "sig.*")
 
 
-def candidates(sigs: DataFrame, t: float) -> DataFrame:
+def candidates(sigs: DataFrame, t: float, partners: DataFrame | None = None) -> DataFrame:
     """Pairs of content ids that may reach ``t``, smaller weight first.
 
     Rows meet on (job, language, element, weight band). A band spans the permitted
     length ratio, so partners lie in the same or the next band: the heavier side is
-    entered in two bands. This also cuts a frequent element into one group per band.
-    Pair rows are combined map-side before their shuffle.
+    entered in two bands. Elements that many contents of one job share are split into
+    salts of at most ``HOT`` rows, the heavier side entered once per salt. Pair rows are
+    combined map-side before their shuffle.
+
+    With ``partners`` only pairs of one row of each frame are formed.
     """
-    ratio = t / (2 - t)
-    band = F.floor(F.log(F.col("weight").cast("double")) / F.lit(-math.log(ratio))).cast("int")
-    rows = sigs.filter("weight > 0").select(
-        *KEY, "cid", "param_fp", "weight", "rest", "cut", band.alias("band"),
-        F.explode(F.arrays_zip("elems", "weights", "suffix")).alias("e"),
-    )
+    if partners is not None:
+        both = _meet(sigs, partners, t).unionByName(_meet(partners, sigs, t))
+        return both.distinct()
+    return _meet(sigs, sigs, t)
 
-    def side(s: str, b: Column) -> DataFrame:
-        return rows.select(
-            *KEY, b.alias("band"), F.col("e.elems").alias("elem"),
-            *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "param_fp", "weight", "rest", "cut")],
-            F.col("e.weights").alias(f"w_{s}"), F.col("e.suffix").alias(f"suffix_{s}"),
-        )
 
-    light = side("a", F.col("band"))
-    heavy = side("b", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+GROUP = [*KEY, "band", "elem"]
+PER_CONTENT = ("cid", "param_fp", "weight", "rest", "cut")
+
+
+def _prefix_rows(sigs: DataFrame, t: float) -> DataFrame:
+    step = -math.log(t / (2 - t))
+    band = F.floor(F.log(F.col("weight").cast("double")) / F.lit(step)).cast("int")
+    return sigs.filter("weight > 0").select(
+        *KEY, *PER_CONTENT, band.alias("band"),
+        F.explode(F.arrays_zip("elems", "weights", "suffix")).alias("e"),
+    ).select(*KEY, "band", *PER_CONTENT, F.col("e.elems").alias("elem"), F.col("e.weights").alias("w"), F.col("e.suffix").alias("suffix"))
+
+
+def _meet(light_sigs: DataFrame, heavy_sigs: DataFrame, t: float) -> DataFrame:
+    light = _prefix_rows(light_sigs, t)
+    heavy = _prefix_rows(heavy_sigs, t).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    # Counted map-side; only groups above HOT rows remain, so the frame is small and
+    # the planner broadcasts it when its size permits.
+    hot = light.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(
+        *GROUP, F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    light = light.join(hot, GROUP, "left").withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
+    heavy = heavy.join(hot, GROUP, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    side = lambda d, s: d.select(
+        *GROUP, "salt", *[F.col(c).alias(f"{c}_{s}") for c in (*PER_CONTENT, "w", "suffix")])
     need = F.lit(t / 2 - SLACK) * (F.col("weight_a") + F.col("weight_b"))
     ordered = F.struct("weight_a", "cid_a") < F.struct("weight_b", "cid_b")
     return (
-        light.join(heavy, [*KEY, "band", "elem"])
-        .filter(ordered & (F.col("weight_a") >= need))
-        .filter("param_fp_a <> param_fp_b")
+        side(light, "a").join(side(heavy, "b"), [*GROUP, "salt"])
+        .filter(ordered & (F.col("weight_a") >= need) & (F.col("param_fp_a") != F.col("param_fp_b")))
         .groupBy(*KEY, "cid_a", "cid_b")
         .agg(
             F.sum(F.least("w_a", "w_b")).alias("shared"),
@@ -86,8 +104,7 @@ def candidates(sigs: DataFrame, t: float) -> DataFrame:
             F.first("weight_a").alias("weight_a"), F.first("weight_b").alias("weight_b"),
             F.first(F.when(F.col("cut_a") <= F.col("cut_b"), F.col("rest_a")).otherwise(F.col("rest_b"))).alias("rest"),
         )
-        .filter(F.col("reach") >= need)
-        .filter(F.col("shared") + F.col("rest") + C.OTHER_WEIGHT >= need)
+        .filter((F.col("reach") >= need) & (F.col("shared") + F.col("rest") + C.OTHER_WEIGHT >= need))
         .select(*KEY, "cid_a", "cid_b")
     )
 

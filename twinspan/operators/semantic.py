@@ -137,8 +137,9 @@ def cosine_join(emb: DataFrame, t: float, key: str = "id", vector: str = "vector
                 x, y = (_matrix(m.values) for m in (ma, mb))
                 scores = np.clip(x @ y.T, -1.0, 1.0)
                 i, j = np.nonzero((scores >= t) & (a[:, None] < b[None, :]))
+                kind = ia.type.value_type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[i]), pa.array(b[j]), pa.array(scores[i, j])], names=["a_id", "b_id", "cosine"])
+                    [pa.array(a[i], kind), pa.array(b[j], kind), pa.array(scores[i, j])], names=["a_id", "b_id", "cosine"])
 
     home = blocks(seen.select("cell", "id", "u"), "a")
     away = blocks(outer.select("cell", "id", "u"), "b")
