@@ -119,7 +119,7 @@ def register(r: B.Registry) -> None:
             cache.code_key().alias("key"), F.array_repeat(F.lit(0.5), 4 + F.col("quality").cast("int")).alias("vector"))
         known = cache.valid_cache(known, 4).select("key").distinct()
         missing = cache.cache_misses(frags, known)
-        return missing.agg(F.count("*").alias("misses")).join(known.agg(F.count("*").alias("valid_rows")))
+        return missing.agg(F.count("*").alias("misses"), F.first(known.agg(F.count("*")).scalar()).alias("valid_rows"))
 
     r.add("embedding_cache", misses, """
         WITH k AS (SELECT DISTINCT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0)

@@ -79,6 +79,8 @@ class Profile:
 
 def bag_by_class(a: Profile, b: Profile) -> np.ndarray:
     """Weighted bag intersection, one figure per weight class."""
+    if not len(a.codes) or not len(b.codes):
+        return np.zeros(3)
     at = np.searchsorted(b.tokens, a.tokens)
     at[at == len(b.tokens)] = 0
     common = b.tokens[at] == a.tokens
@@ -126,6 +128,19 @@ def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return i[at], j[at], np.diff(np.append(at, len(i)))
 
 
+def _bag_weight(a: np.ndarray, b: np.ndarray, weights_a: np.ndarray) -> float:
+    """Weighted bag intersection of two stretches of tokens."""
+    ta, first, na = np.unique(a, return_index=True, return_counts=True)
+    tb, nb = np.unique(b, return_counts=True)
+    at = np.searchsorted(tb, ta)
+    at[at == len(tb)] = 0
+    return float((np.where(tb[at] == ta, np.minimum(na, nb[at]), 0) * weights_a[first]).sum())
+
+
+# Stretches shorter than this are bounded by their weight alone.
+SHORT = 24
+
+
 def matched_weight(
     a: np.ndarray, b: np.ndarray, sum_a: np.ndarray, sum_b: np.ndarray, need: float = 0.0
 ) -> float:
@@ -133,14 +148,21 @@ def matched_weight(
 
     The longest equal run is taken (earliest in ``a``, then in ``b``), then the parts
     before and after it likewise. ``sum_a``/``sum_b`` are running weights. What the
-    open parts can still add is known from their weights, so the search ends as soon
-    as ``need`` is out of reach (the returned figure is then below ``need``).
+    open parts can still add is bounded by their weights and bags, so the search ends
+    as soon as ``need`` is out of reach (the returned figure is then below ``need``).
     """
-    bound = min(sum_a[-1], sum_b[-1])
-    parts = [(0, len(a), 0, len(b), *equal_runs(a, b))]
-    while parts:
-        a0, a1, b0, b1, i, j, n = parts.pop()
-        cap = min(sum_a[a1] - sum_a[a0], sum_b[b1] - sum_b[b0])
+    weights = np.diff(sum_a)
+
+    def room(a0: int, a1: int, b0: int, b1: int) -> float:
+        most = min(sum_a[a1] - sum_a[a0], sum_b[b1] - sum_b[b0])
+        if need > 0 and min(a1 - a0, b1 - b0) >= SHORT:
+            most = min(most, _bag_weight(a[a0:a1], b[b0:b1], weights[a0:a1]))
+        return most
+
+    bound = room(0, len(a), 0, len(b)) if len(a) and len(b) else 0
+    parts = [(0, len(a), 0, len(b), bound, *equal_runs(a, b))]
+    while parts and bound >= need:
+        a0, a1, b0, b1, cap, i, j, n = parts.pop()
         skip = np.maximum(np.maximum(a0 - i, b0 - j), 0)
         i, j = i + skip, j + skip
         n = np.minimum(n - skip, np.minimum(a1 - i, b1 - j))
@@ -148,19 +170,18 @@ def matched_weight(
         i, j, n = i[live], j[live], n[live]
         if not len(n):
             bound -= cap
-        else:
-            size = n.max()
-            top = np.flatnonzero(n == size)
-            best = top[np.lexsort((j[top], i[top]))[0]]
-            x, y = int(i[best]), int(j[best])
-            got = sum_a[x + size] - sum_a[x]
-            for part in ((a0, x, b0, y), (x + size, a1, y + size, b1)):
-                if part[0] < part[1] and part[2] < part[3]:
-                    got += min(sum_a[part[1]] - sum_a[part[0]], sum_b[part[3]] - sum_b[part[2]])
-                    parts.append((*part, i, j, n))
-            bound -= cap - got
-        if bound < need:
-            break
+            continue
+        size = n.max()
+        top = np.flatnonzero(n == size)
+        best = top[np.lexsort((j[top], i[top]))[0]]
+        x, y = int(i[best]), int(j[best])
+        got = sum_a[x + size] - sum_a[x]
+        for part in ((a0, x, b0, y), (x + size, a1, y + size, b1)):
+            if part[0] < part[1] and part[2] < part[3]:
+                most = room(*part)
+                got += most
+                parts.append((*part, most, i, j, n))
+        bound -= cap - got
     return float(bound)
 
 
@@ -205,24 +226,46 @@ def _rows(arr: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
 
-def near_miss_udf(at_least: float):
-    """Arrow UDF (key_b, codes_a, codes_b) -> score, null below ``at_least``.
+def _per_pair(keys: pa.Array, codes_a: pa.Array, codes_b: pa.Array, judge) -> list:
+    """Apply ``judge`` to profile pairs; equal ``keys`` in a row share the second profile."""
+    out, last, profile = [], None, None
+    for key, x, y in zip(keys.to_pylist(), _rows(codes_a), _rows(codes_b)):
+        if key != last:
+            last, profile = key, Profile(y)
+        out.append(judge(Profile(x), profile))
+    return out
 
-    Rows that share ``key_b`` tend to arrive together, so its profile is kept.
-    """
+
+def near_miss_udf(at_least: float):
+    """Arrow UDF (key_b, codes_a, codes_b) -> score, null below ``at_least``."""
 
     @F.arrow_udf(T.DoubleType())
     def score(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
-        out, last, profile = [], None, None
-        for key, x, y in zip(key_b.to_pylist(), _rows(codes_a), _rows(codes_b)):
-            if key != last:
-                last, profile = key, Profile(y)
-            out.append(near_miss_score(Profile(x), profile, at_least))
-        return pa.array(out, pa.float64())
+        return pa.array(_per_pair(key_b, codes_a, codes_b, lambda a, b: near_miss_score(a, b, at_least)), pa.float64())
 
     return score
 
 
+def bound_udf(at_least: float):
+    """Arrow UDF (key_b, codes_a, codes_b) -> may the score reach ``at_least``?"""
+
+    def judge(a: Profile, b: Profile) -> bool:
+        need = (at_least - SLACK) * (a.total + b.total) / 2
+        return bool(matched_weight_bound(a, b, need) >= need)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_reach(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+        return pa.array(_per_pair(key_b, codes_a, codes_b, judge), pa.bool_())
+
+    return may_reach
+
+
+@F.arrow_udf(T.LongType())
+def bag_udf(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+    """Weighted bag intersection."""
+    return pa.array(_per_pair(key_b, codes_a, codes_b, lambda a, b: int(bag_by_class(a, b).sum())), pa.int64())
+
+
 @F.arrow_udf(T.DoubleType())
 def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Plain token-sequence ratio; depends on the order of the two sides."""
@@ -249,23 +292,37 @@ _SIGNATURE = T.StructType([
 ])
 
 
-def _rarity_class(token: str) -> int:
-    """0 is rarest: literals and unusual words, then names, then signs."""
-    if token.startswith("ID_"):
-        return 1
-    if token in _DELIMITERS:
-        return 3
-    return 2 if token in C.KEYWORDS or not (token[0].isalnum() or token[0] in "\"'_") else 0
+HASH_BITS = 40
+HASH_MASK = (1 << HASH_BITS) - 1
+
 
+class ElementOrder:
+    """Places the elements known to be frequent after all others, rarest first.
 
-def signature_batch(tokens: pa.ListArray, keep: float) -> pa.StructArray:
+    ``frequent`` holds element hashes by ascending frequency. Its size is fixed by the
+    caller; elements it does not name count as rare and go by their hash.
+    """
+
+    def __init__(self, frequent: list[int] = ()):
+        hashes = np.array(frequent, dtype=np.int64)
+        at = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[at], at.astype(np.int64) + 1
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        rank = np.where(self.hashes[at] == hashes, self.ranks[at], 0)
+        return (rank << HASH_BITS) | hashes
+
+
+def signature_batch(tokens: pa.ListArray, keep: float, order_by: ElementOrder = ElementOrder()) -> pa.StructArray:
     """Weighted prefix of (token, occurrence) elements for each token list.
 
-    Elements are put in one fixed order that favours rare ones: unusual tokens, high
-    occurrence numbers, late names. Any order fixed for all lists is lossless; this
-    one needs no corpus statistics, so it costs no shuffle and holds for data that
-    arrives later. The prefix ends when the weight after it is below ``keep`` times
-    the total.
+    Elements are put in one order for all lists; any such order is lossless, and one
+    that starts with rare elements keeps the join small. The prefix ends when the
+    weight after it is below ``keep`` times the total.
     """
     flat = pc.dictionary_encode(tokens.flatten())
     words = flat.dictionary.to_pylist()
@@ -279,21 +336,13 @@ def signature_batch(tokens: pa.ListArray, keep: float) -> pa.StructArray:
     new = np.ones(len(r), dtype=bool)
     new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-    occ = np.arange(len(r)) - start
+    occ = (np.arange(len(r)) - start).astype(np.uint64)
 
     w = np.array([weight(t) for t in words], dtype=np.int64)[c] if len(words) else c
-    late = np.array([int(t[3:]) if t.startswith("ID_") and t[3:].isdigit() else 0 for t in words], dtype=np.int64)
-    rare = np.array([_rarity_class(t) for t in words], dtype=np.int64)
     hashed = np.array([xxhash.xxh64_intdigest(t) for t in words], dtype=np.uint64)
-    if len(words):
-        late, rare, hashed = late[c], rare[c], hashed[c]
-    # One sortable 62-bit key: class, then occurrence + place descending, then hash.
-    depth = np.minimum(occ * 8 + late, (1 << 20) - 1).astype(np.uint64)
-    key = (
-        (rare.astype(np.uint64) << np.uint64(60))
-        | (((np.uint64((1 << 20) - 1)) - depth) << np.uint64(40))
-        | ((hashed + occ.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24))
-    ).astype(np.int64)
+    hashed = hashed[c] if len(words) else c.astype(np.uint64)
+    mixed = (hashed + occ * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    key = order_by.keys((mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
 
     final = np.lexsort((key, r))
     r, key, w = r[final], key[final], w[final]
@@ -318,9 +367,11 @@ def signature_batch(tokens: pa.ListArray, keep: float) -> pa.StructArray:
     )
 
 
-def signature_udf(keep: float):
+def signature_udf(keep: float, frequent: list[int] = ()):
+    order_by = ElementOrder(frequent)
+
     @F.arrow_udf(_SIGNATURE)
     def signature(tokens: pa.Array) -> pa.Array:
-        return signature_batch(tokens, keep)
+        return signature_batch(tokens, keep, order_by)
 
     return signature

@@ -90,9 +90,9 @@ def select_threshold(scored: DataFrame, target_precision: float, min_recall: flo
 def at_selected_threshold(scored: DataFrame, target_precision: float, min_recall: float) -> DataFrame:
     """Metrics at the selected threshold; with none selected nothing is predicted positive."""
     chosen = select_threshold(scored, target_precision, min_recall).select("threshold")
-    joined = checked_scores(scored).join(F.broadcast(chosen))
+    marked = scored.withColumn("threshold", chosen.scalar())
     used = F.coalesce(F.col("threshold"), F.lit(C.NO_THRESHOLD))
-    return confusion_metrics(joined, used, "threshold")
+    return confusion_metrics(marked, used, "threshold")
 
 
 def best_epoch(history: DataFrame, *by: str) -> DataFrame:

@@ -5,12 +5,15 @@ runs are disjoint equal token runs, so the matched weight never exceeds the weig
 bag intersection I, and a pair at or above tau needs I >= tau/2 (Wa+Wb). From that:
 
   length     Wb >= tau/(2-tau) Wa, and the other way round
-  prefix     both prefixes hold the first common element (``signature_udf``)
+  prefix     both prefixes hold the first common element (``signature_batch``)
   remainder  I <= shared prefix weight + weight after the prefix that ends first
-  verify     per-class subsequence bound, then the exact score
+  bound      bag and common subsequence per weight class
+  verify     the exact score
 
-Each filter only drops pairs that cannot reach tau. Equal token lists are compared
-once, whatever their number of copies.
+Each filter only drops pairs that cannot reach tau. All but the last work on shapes,
+the distinct parameterised token lists: literals weigh the same whatever their value,
+so overlap of shapes bounds overlap of contents from above. Copies, renamed copies and
+copies with other literals are one shape, and a shape is never compared with itself.
 """
 
 from __future__ import annotations
@@ -22,104 +25,171 @@ from pyspark.sql import functions as F
 
 from twinspan import constants as C
 from twinspan.functions import text as X
-from twinspan.functions.matching import SLACK, near_miss_udf, signature_udf
+from twinspan.functions.matching import SLACK, bag_udf, bound_udf, near_miss_udf, signature_udf
 from twinspan.operators.copies import PLACE, overlapping_fragments, place
 from twinspan.operators.segment import once
+from twinspan.operators.store import stage
 
 KEY = ["job_id", "language"]
 # Rows of one element group that one task compares on its lighter side.
 HOT = 20_000
+# Shapes looked at, and elements kept, when estimating which elements are frequent.
+SAMPLE = 20_000
+FREQUENT = 8192
+
+
+def tau(threshold: float) -> float:
+    return max(threshold, C.NEAR_MISS_FLOOR)
 
 
 def contents(frags: DataFrame) -> DataFrame:
     """One row per distinct near-miss token list: size of its class and earliest member."""
-    return frags.groupBy(*KEY, "near_fp").agg(
+    return frags.groupBy(*KEY, "param_fp", "near_fp").agg(
         F.count("*").alias("n_members"),
         F.min_by(F.struct("frag_id", "file", *PLACE), place()).alias("rep"),
         F.first("near").alias("near"),
-        F.first("param_fp").alias("param_fp"),
-    ).withColumn("cid", F.unhex(F.substring("near_fp", 1, 32))).withColumn("codes", X.token_codes("near"))
+    ).withColumn("codes", X.token_codes("near"))
 
 
-def tau(threshold: float) -> float:
-    return max(threshold, C.NEAR_MISS_FLOOR)
+def shapes(rows: DataFrame) -> DataFrame:
+    """One row per distinct parameterised token list, with an id over job and language.
 
+    ``rows`` are fragments or contents; a literal in them becomes ``LITERAL`` again.
+    """
+    return rows.groupBy(*KEY, "param_fp").agg(F.first("near").alias("near")).select(
+        *KEY, "param_fp",
+        F.unhex(F.md5(F.concat_ws("\\0", *KEY, "param_fp").cast("binary"))).alias("cid"),
+        F.transform("near", lambda t: F.when(X.is_literal(t), "LITERAL").otherwise(t)).alias("toks"),
+    ).withColumn("codes", X.token_codes("toks"))
 
-def signatures(distinct: DataFrame, t: float) -> DataFrame:
-    """Weight and prefix of every content; needs nothing but the content itself."""
-    return once(distinct, "sig", signature_udf(t / (2 - t))("near")).select(*KEY, "cid", "param_fp", "sig.*")
 
+def frequent_elements(rows: DataFrame) -> list[int]:
+    """The most frequent (token, occurrence) elements, rarest first.
 
-def candidates(sigs: DataFrame, t: float, partners: DataFrame | None = None) -> DataFrame:
-    """Pairs of content ids that may reach ``t``, smaller weight first.
+    They only decide the order of elements, never the result, so they are estimated
+    from a bounded sample and the list has a fixed size.
+    """
+    share = min(1.0, SAMPLE / max(rows.count(), 1))
+    some = rows if share == 1.0 else rows.sample(share, seed=7)
+    elems = some.select(F.explode(signature_udf(0.0)("toks")["elems"]).alias("h"))
+    top = elems.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return [r.h for r in reversed(top.collect())]
 
-    Rows meet on (job, language, element, weight band). A band spans the permitted
-    length ratio, so partners lie in the same or the next band: the heavier side is
-    entered in two bands. Elements that many contents of one job share are split into
-    salts of at most ``HOT`` rows, the heavier side entered once per salt. Pair rows are
-    combined map-side before their shuffle.
 
-    With ``partners`` only pairs of one row of each frame are formed.
-    """
-    if partners is not None:
-        both = _meet(sigs, partners, t).unionByName(_meet(partners, sigs, t))
-        return both.distinct()
-    return _meet(sigs, sigs, t)
+def signatures(rows: DataFrame, t: float, frequent: list[int]) -> DataFrame:
+    """Weight and prefix of every row, in the element order given by ``frequent``."""
+    return once(rows.select(*KEY, "cid", "toks"), "sig", signature_udf(t / (2 - t), frequent)("toks")).select(
+        *KEY, "cid", "sig.*")
+
 
+PER_ROW = ("cid", "weight", "rest", "cut")
 
-GROUP = [*KEY, "band", "elem"]
-PER_CONTENT = ("cid", "param_fp", "weight", "rest", "cut")
 
+def _prefix_rows(sigs: DataFrame, t: float, heavy: bool) -> DataFrame:
+    """One row per prefix element, keyed by a hash of job, language, band and element.
 
-def _prefix_rows(sigs: DataFrame, t: float) -> DataFrame:
+    A band spans the permitted length ratio, so partners lie in the same or the next
+    band; the heavier side is entered in both. A hash collision only adds a candidate.
+    """
     step = -math.log(t / (2 - t))
     band = F.floor(F.log(F.col("weight").cast("double")) / F.lit(step)).cast("int")
-    return sigs.filter("weight > 0").select(
-        *KEY, *PER_CONTENT, band.alias("band"),
-        F.explode(F.arrays_zip("elems", "weights", "suffix")).alias("e"),
-    ).select(*KEY, "band", *PER_CONTENT, F.col("e.elems").alias("elem"), F.col("e.weights").alias("w"), F.col("e.suffix").alias("suffix"))
+    rows = sigs.filter("weight > 0").withColumn("band", band)
+    if heavy:
+        rows = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    rows = rows.withColumn("scope", F.xxhash64(*KEY, "band")).select(
+        "scope", *PER_ROW, F.explode(F.arrays_zip("elems", "weights", "suffix")).alias("e"))
+    return rows.select(
+        F.xxhash64("scope", "e.elems").alias("group"), *PER_ROW,
+        F.col("e.weights").alias("w"), F.col("e.suffix").alias("suffix"))
+
+
+def candidates(sigs: DataFrame, t: float, partners: DataFrame | None = None) -> DataFrame:
+    """Pairs of ids that may reach ``t``, smaller weight first.
+
+    Rows meet on their element group. Groups of more than ``HOT`` rows are split into
+    salts, the heavier side entered once per salt, so a crowded group is shared by many
+    tasks. Pair rows are combined map-side before their shuffle.
+
+    With ``partners`` only pairs of one row of each frame are formed.
+    """
+    if partners is not None:
+        return _meet(sigs, partners, t).unionByName(_meet(partners, sigs, t)).distinct()
+    return _meet(sigs, sigs, t)
 
 
 def _meet(light_sigs: DataFrame, heavy_sigs: DataFrame, t: float) -> DataFrame:
-    light = _prefix_rows(light_sigs, t)
-    heavy = _prefix_rows(heavy_sigs, t).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    # Counted map-side; only groups above HOT rows remain, so the frame is small and
-    # the planner broadcasts it when its size permits.
-    hot = light.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(
-        *GROUP, F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    light = light.join(hot, GROUP, "left").withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
-    heavy = heavy.join(hot, GROUP, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    side = lambda d, s: d.select(
-        *GROUP, "salt", *[F.col(c).alias(f"{c}_{s}") for c in (*PER_CONTENT, "w", "suffix")])
+    light, heavy = _prefix_rows(light_sigs, t, False), _prefix_rows(heavy_sigs, t, True)
+    keys = ["group"]
+    if light_sigs.count() > HOT:
+        # No group is larger than the table, so smaller tables need no salts. The hot
+        # groups are counted map-side and are few: at most rows / HOT.
+        hot = light.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(
+            "group", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+        salts = F.coalesce("salts", F.lit(1))
+        light = light.join(hot, "group", "left").withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
+        heavy = heavy.join(hot, "group", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        keys = ["group", "salt"]
+    side = lambda d, s: d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in (*PER_ROW, "w", "suffix")])
     need = F.lit(t / 2 - SLACK) * (F.col("weight_a") + F.col("weight_b"))
-    ordered = F.struct("weight_a", "cid_a") < F.struct("weight_b", "cid_b")
+    ordered = (F.col("weight_a") < F.col("weight_b")) | (
+        (F.col("weight_a") == F.col("weight_b")) & (F.col("cid_a") < F.col("cid_b")))
     return (
-        side(light, "a").join(side(heavy, "b"), [*GROUP, "salt"])
-        .filter(ordered & (F.col("weight_a") >= need) & (F.col("param_fp_a") != F.col("param_fp_b")))
-        .groupBy(*KEY, "cid_a", "cid_b")
+        side(light, "a").join(side(heavy, "b"), keys)
+        .filter(ordered & (F.col("weight_a") >= need))
+        .groupBy("cid_a", "cid_b")
         .agg(
             F.sum(F.least("w_a", "w_b")).alias("shared"),
             F.max(F.least("suffix_a", "suffix_b")).alias("reach"),
-            F.first("weight_a").alias("weight_a"), F.first("weight_b").alias("weight_b"),
-            F.first(F.when(F.col("cut_a") <= F.col("cut_b"), F.col("rest_a")).otherwise(F.col("rest_b"))).alias("rest"),
+            F.max("weight_a").alias("weight_a"), F.max("weight_b").alias("weight_b"),
+            F.max(F.when(F.col("cut_a") <= F.col("cut_b"), F.col("rest_a")).otherwise(F.col("rest_b"))).alias("rest"),
         )
         .filter((F.col("reach") >= need) & (F.col("shared") + F.col("rest") + C.OTHER_WEIGHT >= need))
-        .select(*KEY, "cid_a", "cid_b")
+        .select("cid_a", "cid_b")
     )
 
 
-def verify(pairs: DataFrame, distinct: DataFrame, t: float) -> DataFrame:
-    """Attach the token lists and keep pairs whose exact score reaches ``t``."""
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Spread id pairs over a fixed number of partitions.
+
+    Scoring is far heavier than the id pairs are large, and adaptive execution would
+    otherwise merge them into a few tasks.
+    """
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pairs.repartition(4 * parts, *keys).sortWithinPartitions(*keys)
+
+
+def _both(pairs: DataFrame, rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cid", *cols)])
+    return pairs.join(side("a"), "cid_a").join(side("b"), "cid_b")
+
+
+def bounded(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """Candidates whose bag and subsequence bound reaches ``t``, as pairs of shapes."""
+    met = _both(spread(pairs, "cid_b", "cid_a"), rows, (*KEY, "param_fp", "codes"))
+    met = met.filter("job_id_a = job_id_b AND language_a = language_b")
+    return once(met, "ok", bound_udf(t)("cid_b", "codes_a", "codes_b")).filter("ok").select(
+        F.col("job_id_a").alias("job_id"), F.col("language_a").alias("language"), "param_fp_a", "param_fp_b")
+
+
+def verify(shape_pairs: DataFrame, distinct: DataFrame, t: float) -> DataFrame:
+    """Contents of the paired shapes whose exact score reaches ``t``."""
     def side(s):
-        return distinct.select(*KEY, *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "codes", "near_fp", "n_members", "rep")])
+        cols = ("param_fp", "codes", "near_fp", "n_members", "rep")
+        return distinct.select(*KEY, *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    joined = pairs.join(side("a"), [*KEY, "cid_a"]).join(side("b"), [*KEY, "cid_b"])
-    return (
-        once(joined, "similarity", near_miss_udf(t)("cid_b", "codes_a", "codes_b"))
-        .filter("similarity IS NOT NULL")
-        .drop("codes_a", "codes_b", "cid_a", "cid_b")
-    )
+    near = spread(shape_pairs, *KEY, "param_fp_b", "param_fp_a")
+    met = near.join(side("a"), [*KEY, "param_fp_a"]).join(side("b"), [*KEY, "param_fp_b"])
+    return once(met, "similarity", near_miss_udf(t)("near_fp_b", "codes_a", "codes_b")).filter(
+        "similarity IS NOT NULL").drop("codes_a", "codes_b", "param_fp_a", "param_fp_b")
+
+
+def near_miss_contents(distinct: DataFrame, t: float) -> DataFrame:
+    """Pairs of distinct contents with exact score at least ``t``; stage ``distinct`` first."""
+    rows = stage(shapes(distinct), "shapes")
+    sigs = stage(signatures(rows, t, frequent_elements(rows)), "signatures")
+    found = stage(candidates(sigs, t), "candidates")
+    return verify(stage(bounded(found, rows, t), "bounded"), distinct, t)
 
 
 def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
@@ -129,11 +199,8 @@ def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
     that the row stands for, without those sharing lines of one file; rows that stand
     for none are dropped.
     """
-    from twinspan.operators.store import stage
-
-    t = tau(threshold)
     distinct = stage(contents(frags), "contents")
-    pairs = verify(candidates(signatures(distinct, t), t), distinct, t)
+    pairs = near_miss_contents(distinct, tau(threshold))
     spot = lambda s: F.struct(*[F.col(f"rep_{s}.{c}") for c in PLACE])
     swap = spot("a") > spot("b")
     names = ("near_fp", "n_members", "rep")
@@ -162,31 +229,17 @@ def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
 def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFrame:
     """Pairs of rows whose weighted token bags overlap by at least ``t`` (Dice).
 
-    The same prefix join; the overlap itself is summed in SQL over token counts, for
-    surviving candidates only.
+    The same prefix join, with the exact overlap for surviving candidates.
     """
-    from twinspan.operators.store import stage
-
-    base = stage(
-        rows.select(
-            F.lit("all").alias("job_id"), F.lit("all").alias("language"),
-            F.col(key).alias("cid"), F.col(key).cast("string").alias("param_fp"), F.col(toks).alias("near")),
-        "bags",
-    )
-    pairs = candidates(signatures(base, t), t)
-    counts = base.select("cid", F.explode("near").alias("token")).groupBy("cid", "token").agg(F.count("*").alias("n"))
-    weights = base.select("cid", X.total_weight("near").alias("weight"))
-    shared = (
-        pairs.select("cid_a", "cid_b")
-        .join(counts.select(F.col("cid").alias("cid_a"), "token", F.col("n").alias("n_a")), "cid_a")
-        .join(counts.select(F.col("cid").alias("cid_b"), "token", F.col("n").alias("n_b")), ["cid_b", "token"])
-        .groupBy("cid_a", "cid_b")
-        .agg(F.sum(X.token_weight(F.col("token")) * F.least("n_a", "n_b")).alias("shared"))
-    )
+    one = F.lit("all")
+    base = stage(rows.select(
+        one.alias("job_id"), one.alias("language"), F.col(key).alias("cid"), F.col(toks).alias("toks"),
+        X.token_codes(toks).alias("codes"), X.total_weight(toks).alias("total")), "bags")
+    sigs = stage(signatures(base, t, frequent_elements(base)), "signatures")
+    found = stage(candidates(sigs, t), "candidates")
+    met = once(_both(spread(found, "cid_b", "cid_a"), base, ("codes", "total")), "shared", bag_udf("cid_b", "codes_a", "codes_b"))
     return (
-        shared.join(weights.select(F.col("cid").alias("cid_a"), F.col("weight").alias("weight_a")), "cid_a")
-        .join(weights.select(F.col("cid").alias("cid_b"), F.col("weight").alias("weight_b")), "cid_b")
-        .withColumn("overlap", 2 * F.col("shared") / (F.col("weight_a") + F.col("weight_b")))
+        met.withColumn("overlap", 2 * F.col("shared") / (F.col("total_a") + F.col("total_b")))
         .filter(F.col("overlap") >= t - SLACK)
         .select(
             F.least("cid_a", "cid_b").alias(f"{key}_a"), F.greatest("cid_a", "cid_b").alias(f"{key}_b"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,21 +103,23 @@ def cosine_join(emb: DataFrame, t: float, key: str = "id", vector: str = "vector
     seen = seen.withColumn("own", F.array_min("angles")).withColumn(
         "cell", (F.array_position("angles", F.array_min("angles")) - 1).cast("int"))
     seen = stage(seen, "cells")
-    # One row per pivot.
-    cells = seen.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("radius"))
-    radius = F.broadcast(cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii")))
+    # One row per pivot; an empty cell has no home rows and needs no copies.
+    radius = [-math.inf] * len(picked)
+    for r in seen.groupBy("cell").agg(F.max("own").alias("radius")).collect():
+        radius[r.cell] = r.radius
     slack = 1e-7
+    radii = F.array(*[F.lit(v) for v in radius])
     outer = (
-        seen.join(radius)
-        .select("id", "u", "own", F.posexplode("angles").alias("cell", "angle"), "radii")
+        seen.select("id", "u", "own", F.posexplode("angles").alias("cell", "angle"))
         .filter(
             (F.col("angle") <= F.col("own") + 2 * theta + slack)
-            & (F.col("angle") <= F.try_element_at("radii", F.col("cell")) + theta + slack))
+            & (F.col("angle") <= F.get(radii, F.col("cell")) + theta + slack))
     )
 
     def blocks(rows: DataFrame, s: str) -> DataFrame:
         sizes = rows.groupBy("cell").agg(F.count("*").alias("m"))
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))
+        # One row per pivot is broadcast.
         return (
             rows.join(F.broadcast(sizes), "cell")
             .groupBy("cell", part.alias("part"))
