@@ -149,14 +149,15 @@ def _meet(light_sigs: DataFrame, heavy_sigs: DataFrame, t: float) -> DataFrame:
 
 
 def spread(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Spread id pairs over a fixed number of partitions.
+    """Spread staged id pairs by their number.
 
     Scoring is far heavier than the id pairs are large, and adaptive execution would
-    otherwise merge them into a few tasks.
+    otherwise merge them into a few tasks. The partitions grow with the pairs.
     """
-    spark = pairs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return pairs.repartition(4 * parts, *keys).sortWithinPartitions(*keys)
+    n = pairs.count()
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    parts = min(n // 64 + 1, max(4 * cores, n // 50_000))
+    return pairs.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
 def _both(pairs: DataFrame, rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
