@@ -53,6 +53,12 @@ def register(r: B.Registry) -> None:
               FROM prints a JOIN prints b ON a.language = b.language AND a.params = b.params
                AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED}""")
 
+    r.add("copy_pairs_by_file", lambda spark, sf: K.copy_pairs_by_file(slim(spark, sf)),
+          f"""WITH {P}, q AS (SELECT unnest(list_distinct([a.file, b.file])) AS file, a.tokens = b.tokens AS same
+              FROM prints a JOIN prints b ON a.language = b.language AND a.params = b.params
+               AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED})
+              SELECT 'all' AS job_id, file, count(*) FILTER (same) AS type1_pairs, count(*) FILTER (NOT same) AS type2_pairs FROM q GROUP BY file""")
+
     links = f"""WITH {P},
         e AS (SELECT language, params, tokens, arg_min(frag_id, (file_ord, start_line, end_line)) AS hub,
                      min((file_ord, start_line, end_line)) AS o FROM prints GROUP BY language, params, tokens),
@@ -95,6 +101,25 @@ def register(r: B.Registry) -> None:
         FROM s JOIN tot x ON x.doc_id = doc_id_a JOIN tot y ON y.doc_id = doc_id_b
         WHERE 2 * shared / (x.weight + y.weight) >= 0.8 - 1e-9""")
 
+    # The filter stage of the near-miss join on the shapes of each source, checked in full.
+    def shape_bags(spark, sf):
+        f = M.shapes(B.prints(spark, sf, True)).withColumn("shape", F.md5(F.array_join("toks", " ").cast("binary")))
+        f = f.withColumn("shape", F.concat_ws("/", "job_id", "language", "shape"))
+        return M.bag_overlap_join(f.drop("cid"), "shape", "toks", C.NEAR_MISS_FLOOR).select(
+            "shape_a", "shape_b", "shared", F.round("overlap", 6).alias("overlap"))
+
+    r.add("near_miss_bag_filter", shape_bags, f"""
+        WITH {PS}, sh AS (SELECT DISTINCT job_id, language, params FROM prints),
+        k AS (SELECT job_id, language, params, job_id || '/' || language || '/' || md5(array_to_string(params, ' ')) AS shape FROM sh),
+        e AS (SELECT job_id, language, shape, unnest(params) AS t FROM k),
+        c AS (SELECT job_id, language, shape, t, count(*) AS n, CASE WHEN t IN ({B.quoted(C.DELIMITERS)}) THEN 1 WHEN starts_with(t, 'ID_') THEN 5 ELSE 10 END AS w FROM e GROUP BY ALL),
+        tot AS (SELECT shape, sum(n * w) AS weight FROM c GROUP BY shape),
+        s AS (SELECT a.shape AS shape_a, b.shape AS shape_b, CAST(sum(a.w * least(a.n, b.n)) AS BIGINT) AS shared
+              FROM c a JOIN c b ON a.job_id = b.job_id AND a.language = b.language AND a.t = b.t AND a.shape < b.shape GROUP BY ALL)
+        SELECT shape_a, shape_b, shared, round(2 * shared / (x.weight + y.weight), 6) AS overlap
+        FROM s JOIN tot x ON x.shape = shape_a JOIN tot y ON y.shape = shape_b
+        WHERE 2 * shared / (x.weight + y.weight) >= 0.75 - 1e-9""")
+
     def ratios(spark, sf):
         c = B.table(spark, sf, "conversations").select("conv_id", "turn", X.tokens("text").alias("toks"))
         a = c.select("conv_id", "turn", F.col("toks").alias("a"))
@@ -107,3 +132,11 @@ def register(r: B.Registry) -> None:
         "job_id", "clone_type", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b",
         "similarity", "token_sim", "cross_language", "description", "n_pairs"))
     r.add("detect_totals", lambda spark, sf: detect(B.files(spark, sf, True), python_lexer=False).totals())
+    r.add("detect_structural_totals", lambda spark, sf: detect(B.files(spark, sf, True), python_lexer=False).totals().drop("type3_pairs"),
+          f"""WITH {PS}, n AS (SELECT t.job_id, count(*) AS fragments, count(u.frag_id) AS usable FROM tok t LEFT JOIN usable u USING (job_id, frag_id) GROUP BY t.job_id),
+              c AS (SELECT a.job_id, count(*) AS candidate_pairs,
+                           count(*) FILTER (a.language = b.language AND a.tokens = b.tokens) AS type1_pairs,
+                           count(*) FILTER (a.language = b.language AND a.params = b.params AND a.tokens <> b.tokens) AS type2_pairs
+                    FROM prints a JOIN prints b ON a.job_id = b.job_id
+                     AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED} GROUP BY a.job_id)
+              SELECT * FROM n JOIN c USING (job_id)""")

@@ -77,7 +77,17 @@ def register(r: B.Registry) -> None:
             HAVING bool_or(regexp_matches(t, '\\S'))""")
 
     r.add("fragments_with_spans", lambda spark, sf: G.fragments(B.files(spark, sf), spans(spark, sf)).groupBy("file").agg(
-        F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines")))
+        F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("lines")),
+        f"""WITH {SQL_SPANS},
+            ln AS (SELECT file, unnest(l) AS t, generate_subscripts(l, 1) AS n FROM sizes),
+            un AS (SELECT * FROM ln WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.file = ln.file AND n BETWEEN start_line AND end_line)),
+            isl AS (SELECT *, n - row_number() OVER (PARTITION BY file ORDER BY n) AS g FROM un),
+            units AS (SELECT file, min(n) AS s, max(n) AS e FROM isl GROUP BY file, g HAVING bool_or(regexp_matches(t, '\\S'))
+                      UNION ALL SELECT file, start_line, end_line FROM spans),
+            tidy AS (SELECT file, s, CASE WHEN l[e] = '' THEN e - 1 ELSE e END AS e FROM units JOIN sizes USING (file)),
+            win AS (SELECT file, s + o AS a, least(s + o + 79, e) AS b FROM
+                    (SELECT *, unnest(range(0, CAST(ceil(greatest(e - s + 1 - 80, 0) / 60.0) * 60 AS BIGINT) + 1, 60)) AS o FROM tidy WHERE e >= s))
+            SELECT file, count(*) AS n, CAST(sum(b - a + 1) AS BIGINT) AS lines FROM (SELECT DISTINCT * FROM win) GROUP BY file""")
 
     r.add("indent_blocks", lambda spark, sf: G.indent_blocks(indented(spark, sf), HEAD).select("file", "start_line", "end_line", "name"),
           f"""WITH {SQL_INDENTED},

@@ -136,6 +136,34 @@ def copy_pair_totals(frags: DataFrame) -> DataFrame:
     )
 
 
+def copy_pairs_by_file(frags: DataFrame) -> DataFrame:
+    """Per file: exact numbers of Type-1 and Type-2 pairs that touch it.
+
+    A pair inside one file counts once. A file with k of the n members of a class
+    touches k(2n - k - 1)/2 pairs; pairs sharing lines are taken off.
+    """
+    touched = lambda n, k: (F.col(k).cast("decimal(38,0)") * (2 * F.col(n) - F.col(k) - 1) / 2).cast("bigint")
+    here = frags.groupBy("job_id", "language", "param_fp", "token_fp", "file").agg(F.count("*").alias("k"))
+
+    def counts(key: list[str], name: str) -> DataFrame:
+        mine = here.groupBy(*key, "file").agg(F.sum("k").alias("k"))
+        size = mine.groupBy(*key).agg(F.sum("k").alias("n")).filter("n > 1")
+        return mine.join(size, key).groupBy("job_id", "file").agg(F.sum(touched("n", "k")).alias(name))
+
+    base = ["job_id", "language"]
+    upto2 = counts([*base, "param_fp"], "upto2")
+    type1 = counts([*base, "token_fp"], "type1")
+    inside = overlapping_fragments(frags, "token_fp", "param_fp").filter(
+        "language_a = language_b AND param_fp_a = param_fp_b").groupBy("job_id", "file").agg(
+        F.count_if(F.col("token_fp_a") == F.col("token_fp_b")).alias("o1"),
+        F.count_if(F.col("token_fp_a") != F.col("token_fp_b")).alias("o2"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    out = upto2.join(type1, ["job_id", "file"], "left").join(inside, ["job_id", "file"], "left").select(
+        "job_id", "file", (z("type1") - z("o1")).alias("type1_pairs"),
+        (F.col("upto2") - z("type1") - z("o2")).alias("type2_pairs"))
+    return out.filter("type1_pairs + type2_pairs > 0")
+
+
 _SIDE = ["frag_id", "file", "language", *PLACE]
 
 

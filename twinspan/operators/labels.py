@@ -71,8 +71,9 @@ def split_audit(pairs: DataFrame) -> DataFrame:
 
 def missing_labels(pairs: DataFrame, required: tuple[int, ...] = (0, 1)) -> DataFrame:
     """Per split: required labels that never occur."""
-    return pairs.groupBy("split").agg(
-        F.array_except(F.array(*[F.lit(v) for v in required]), F.collect_set(F.col("label").cast("int"))).alias("missing"))
+    seen = pairs.groupBy("split").agg(*[F.max((F.col("label") == v).cast("int")).alias(f"_{v}") for v in required])
+    absent = [F.when(F.coalesce(F.col(f"_{v}"), F.lit(0)) == 0, F.lit(v)) for v in required]
+    return seen.select("split", F.array_compact(F.array(*absent)).alias("missing"))
 
 
 def leakage(occurrences: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:

@@ -230,15 +230,18 @@ def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
 def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFrame:
     """Pairs of rows whose weighted token bags overlap by at least ``t`` (Dice).
 
-    The same prefix join, with the exact overlap for surviving candidates.
+    Rows meet within job and language where they have these columns. The same prefix
+    join as above, with the exact overlap for surviving candidates.
     """
-    one = F.lit("all")
+    scope = [(F.col(k) if k in rows.columns else F.lit("all")).alias(k) for k in KEY]
     base = stage(rows.select(
-        one.alias("job_id"), one.alias("language"), F.col(key).alias("cid"), F.col(toks).alias("toks"),
+        *scope, F.col(key).alias("cid"), F.col(toks).alias("toks"),
         X.token_codes(toks).alias("codes"), X.total_weight(toks).alias("total")), "bags")
     sigs = stage(signatures(base, t, frequent_elements(base)), "signatures")
     found = stage(candidates(sigs, t), "candidates")
-    met = once(_both(spread(found, "cid_b", "cid_a"), base, ("codes", "total")), "shared", bag_udf("cid_b", "codes_a", "codes_b"))
+    met = _both(spread(found, "cid_b", "cid_a"), base, (*KEY, "codes", "total")).filter(
+        "job_id_a = job_id_b AND language_a = language_b")
+    met = once(met, "shared", bag_udf("cid_b", "codes_a", "codes_b"))
     return (
         met.withColumn("overlap", 2 * F.col("shared") / (F.col("total_a") + F.col("total_b")))
         .filter(F.col("overlap") >= t - SLACK)
