@@ -6,6 +6,7 @@ bit-parallel count on Python integers and rejects most pairs before the exact sc
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -226,44 +227,55 @@ def _rows(arr: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
 
-def _per_pair(keys: pa.Array, codes_a: pa.Array, codes_b: pa.Array, judge) -> list:
-    """Apply ``judge`` to profile pairs; equal ``keys`` in a row share the second profile."""
-    out, last, profile = [], None, None
-    for key, x, y in zip(keys.to_pylist(), _rows(codes_a), _rows(codes_b)):
-        if key != last:
-            last, profile = key, Profile(y)
-        out.append(judge(Profile(x), profile))
-    return out
+PROFILES = 1024
+
+
+def _per_pair(keys_a: pa.Array, keys_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array, judge) -> list:
+    """Apply ``judge`` to profile pairs, keeping a bounded number of profiles by key."""
+    known: OrderedDict[object, Profile] = OrderedDict()
+
+    def profile(key, codes) -> Profile:
+        found = known.get(key)
+        if found is None:
+            found = known[key] = Profile(codes)
+            if len(known) > PROFILES:
+                known.popitem(last=False)
+        else:
+            known.move_to_end(key)
+        return found
+
+    rows = zip(keys_a.to_pylist(), keys_b.to_pylist(), _rows(codes_a), _rows(codes_b))
+    return [judge(profile(ka, x), profile(kb, y)) for ka, kb, x, y in rows]
 
 
 def near_miss_udf(at_least: float):
-    """Arrow UDF (key_b, codes_a, codes_b) -> score, null below ``at_least``."""
+    """Arrow UDF (key_a, key_b, codes_a, codes_b) -> score, null below ``at_least``."""
 
     @F.arrow_udf(T.DoubleType())
-    def score(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
-        return pa.array(_per_pair(key_b, codes_a, codes_b, lambda a, b: near_miss_score(a, b, at_least)), pa.float64())
+    def score(key_a: pa.Array, key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+        return pa.array(_per_pair(key_a, key_b, codes_a, codes_b, lambda a, b: near_miss_score(a, b, at_least)), pa.float64())
 
     return score
 
 
 def bound_udf(at_least: float):
-    """Arrow UDF (key_b, codes_a, codes_b) -> may the score reach ``at_least``?"""
+    """Arrow UDF (key_a, key_b, codes_a, codes_b) -> may the score reach ``at_least``?"""
 
     def judge(a: Profile, b: Profile) -> bool:
         need = (at_least - SLACK) * (a.total + b.total) / 2
         return bool(matched_weight_bound(a, b, need) >= need)
 
     @F.arrow_udf(T.BooleanType())
-    def may_reach(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
-        return pa.array(_per_pair(key_b, codes_a, codes_b, judge), pa.bool_())
+    def may_reach(key_a: pa.Array, key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+        return pa.array(_per_pair(key_a, key_b, codes_a, codes_b, judge), pa.bool_())
 
     return may_reach
 
 
 @F.arrow_udf(T.LongType())
-def bag_udf(key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
+def bag_udf(key_a: pa.Array, key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
     """Weighted bag intersection."""
-    return pa.array(_per_pair(key_b, codes_a, codes_b, lambda a, b: int(bag_by_class(a, b).sum())), pa.int64())
+    return pa.array(_per_pair(key_a, key_b, codes_a, codes_b, lambda a, b: int(bag_by_class(a, b).sum())), pa.int64())
 
 
 @F.arrow_udf(T.DoubleType())

@@ -58,7 +58,10 @@ def shapes(rows: DataFrame) -> DataFrame:
     """
     return rows.groupBy(*KEY, "param_fp").agg(F.first("near").alias("near")).select(
         *KEY, "param_fp",
-        F.unhex(F.md5(F.concat_ws("\\0", *KEY, "param_fp").cast("binary"))).alias("cid"),
+        # 16 bytes; the first four are shared within job and language.
+        F.unhex(F.concat(
+            F.substring(F.md5(F.concat_ws(":", *KEY).cast("binary")), 1, 8),
+            F.substring(F.md5(F.concat_ws(":", *KEY, "param_fp").cast("binary")), 1, 24))).alias("cid"),
         F.transform("near", lambda t: F.when(X.is_literal(t), "LITERAL").otherwise(t)).alias("toks"),
     ).withColumn("codes", X.token_codes("toks"))
 
@@ -148,16 +151,16 @@ def _meet(light_sigs: DataFrame, heavy_sigs: DataFrame, t: float) -> DataFrame:
     )
 
 
-def spread(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Spread staged id pairs by their number.
+def spread(met: DataFrame, n: int, a: str, b: str) -> DataFrame:
+    """Spread ``n`` pairs with their token lists evenly before scoring.
 
-    Scoring is far heavier than the id pairs are large, and adaptive execution would
-    otherwise merge them into a few tasks. The partitions grow with the pairs.
+    Scoring a pair takes far longer than moving it, and the joins leave long lists and
+    frequent partners together in few tasks. Rows of one ``b`` go to at most eight
+    places, so its profile is reused and no partner is too frequent.
     """
-    n = pairs.count()
-    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    cores = met.sparkSession.sparkContext.defaultParallelism
     parts = min(n // 64 + 1, max(4 * cores, n // 50_000))
-    return pairs.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return met.repartition(parts, F.col(b), F.pmod(F.xxhash64(a), F.lit(8)))
 
 
 def _both(pairs: DataFrame, rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
@@ -167,9 +170,9 @@ def _both(pairs: DataFrame, rows: DataFrame, cols: tuple[str, ...]) -> DataFrame
 
 def bounded(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """Candidates whose bag and subsequence bound reaches ``t``, as pairs of shapes."""
-    met = _both(spread(pairs, "cid_b", "cid_a"), rows, (*KEY, "param_fp", "codes"))
-    met = met.filter("job_id_a = job_id_b AND language_a = language_b")
-    return once(met, "ok", bound_udf(t)("cid_b", "codes_a", "codes_b")).filter("ok").select(
+    met = _both(pairs, rows, (*KEY, "param_fp", "codes")).filter("job_id_a = job_id_b AND language_a = language_b")
+    met = spread(met, pairs.count(), "cid_a", "cid_b")
+    return once(met, "ok", bound_udf(t)("cid_a", "cid_b", "codes_a", "codes_b")).filter("ok").select(
         F.col("job_id_a").alias("job_id"), F.col("language_a").alias("language"), "param_fp_a", "param_fp_b")
 
 
@@ -179,9 +182,9 @@ def verify(shape_pairs: DataFrame, distinct: DataFrame, t: float) -> DataFrame:
         cols = ("param_fp", "codes", "near_fp", "n_members", "rep")
         return distinct.select(*KEY, *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    near = spread(shape_pairs, *KEY, "param_fp_b", "param_fp_a")
-    met = near.join(side("a"), [*KEY, "param_fp_a"]).join(side("b"), [*KEY, "param_fp_b"])
-    return once(met, "similarity", near_miss_udf(t)("near_fp_b", "codes_a", "codes_b")).filter(
+    met = shape_pairs.join(side("a"), [*KEY, "param_fp_a"]).join(side("b"), [*KEY, "param_fp_b"])
+    met = spread(met, shape_pairs.count(), "near_fp_a", "near_fp_b")
+    return once(met, "similarity", near_miss_udf(t)("near_fp_a", "near_fp_b", "codes_a", "codes_b")).filter(
         "similarity IS NOT NULL").drop("codes_a", "codes_b", "param_fp_a", "param_fp_b")
 
 
@@ -239,9 +242,9 @@ def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFram
         X.token_codes(toks).alias("codes"), X.total_weight(toks).alias("total")), "bags")
     sigs = stage(signatures(base, t, frequent_elements(base)), "signatures")
     found = stage(candidates(sigs, t), "candidates")
-    met = _both(spread(found, "cid_b", "cid_a"), base, (*KEY, "codes", "total")).filter(
-        "job_id_a = job_id_b AND language_a = language_b")
-    met = once(met, "shared", bag_udf("cid_b", "codes_a", "codes_b"))
+    met = _both(found, base, (*KEY, "codes", "total")).filter("job_id_a = job_id_b AND language_a = language_b")
+    met = spread(met, found.count(), "cid_a", "cid_b")
+    met = once(met, "shared", bag_udf("cid_a", "cid_b", "codes_a", "codes_b"))
     return (
         met.withColumn("overlap", 2 * F.col("shared") / (F.col("total_a") + F.col("total_b")))
         .filter(F.col("overlap") >= t - SLACK)
