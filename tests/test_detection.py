@@ -72,6 +72,7 @@ def test_long_file_windows(sources):
     assert spans == [(1, 80), (61, 140), (121, 200)]
     assert [(r.start_line_a, r.start_line_b) for r in d.pairs().collect()] == [(1, 121)]
     assert d.totals().first().type1_pairs == 1
+    assert sorted(r.n_pairs for r in d.links().collect()) == [0, 1]
 
 
 def test_nested_span_is_not_compared_with_its_parent(spark, sources):

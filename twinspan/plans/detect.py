@@ -37,9 +37,12 @@ class Detection:
     def links(self) -> DataFrame:
         """Pairs in report shape: one row per copy and one per near-miss content pair.
 
-        ``n_pairs`` is the number of fragment pairs a Type-3 row stands for.
+        ``n_pairs`` is the number of fragment pairs a Type-3 row stands for. A copy that
+        shares lines with its anchor keeps its row, so that its class is known, with
+        ``n_pairs`` 0, since the two are not a pair.
         """
-        copies = K.copy_links(self.fragments).filter("NOT overlapping").withColumn("n_pairs", F.lit(1).cast("bigint"))
+        copies = K.copy_links(self.fragments).withColumn(
+            "n_pairs", F.when(F.col("overlapping"), 0).otherwise(1).cast("bigint"))
         near = self.near.select(
             "job_id", "language", F.lit("Type-3").alias("clone_type"), "similarity", "n_pairs",
             *[F.col(f"rep_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("frag_id", "file", "file_ord", "start_line", "end_line")])
