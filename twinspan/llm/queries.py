@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.catalog.common import Registry, table
-from twinspan.llm import mixing, quality_rules, sentencepiece_codec, sharding
+from twinspan.llm import (
+    chat_format, license_scan, minhash_dedup, mixing, quality_rules, sentencepiece_codec, sharding, substring_dedup,
+    suffix_array_dedup, topk_search)
 
 SHARDS = 24
 
@@ -22,6 +24,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.class_ids(documents(spark, sf_dir))
+
+
+def op2_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digests(documents(spark, sf_dir))
+
+
+def op3_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id LONG, turn LONG, role STRING, text STRING")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(chat_format.chat_windows(given.unionByName(own)))
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,15 +49,29 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.expr("pmod(vec_id, 50) = 0"))
+
+
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.dedup_digests(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(documents(spark, sf_dir), sentencepiece_codec.model_bytes(tokenizer_path()))
 
 
+def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), ["doc_id"])
 
 
-QUERIES = (op4_pivotal_mixing, op5_feistel_sharding, op8_sentencepiece, op10_quality_rules)
+QUERIES = (
+    op1_weighted_minhash, op2_suffix_automata, op3_budgeted_windows, op4_pivotal_mixing, op5_feistel_sharding, op6_pivot_table,
+    op7_prefix_free_parsing, op8_sentencepiece, op9_license_windows, op10_quality_rules)
 #: SQL for the operators whose rows it can give.
 SQL: dict[str, str] = {}
 
