@@ -236,7 +236,8 @@ def solve(contents: DataFrame, solver: Solver, batch_bytes: int, name: str) -> D
         for batch in batches:
             for anchor, shard, only_probe, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 region = Region(*rest)
-                if (anchor, shard) != last and size >= batch_bytes:
+                # Shards of one anchor have the same probes and must not meet.
+                if last and (anchor, shard) != last and (size >= batch_bytes or anchor == last[0]):
                     yield from answers(references, probes)
                     references, probes, size = [], [], 0
                 elif only_probe and len(probes) >= 2 * SHARD:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.llm.anchors import NO_ID, keyed
+from twinspan.llm.carried import Carried
 from twinspan.llm.components import components
 from twinspan.llm.symbols import blocks, mix, prefix, signed, span_hash, text_buffers, word_hashes
 from twinspan.operators.store import stage
@@ -379,8 +380,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text count once.
     """
-    first = near_classes(docs).filter("doc = class_doc AND key = class_key").select(F.col("doc").alias("_doc"), F.col("key").alias("_key")).distinct()
-    named = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64("text")})
-    kept = named.join(stage(first, "minhash-kept"), ["_doc", "_key"])
-    again = F.expr("row_number() OVER (PARTITION BY _doc, _key ORDER BY _doc)")
-    return kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    first = near_classes(docs).filter("doc = class_doc AND key = class_key").select("doc", "key").distinct()
+    held = Carried(docs)
+    named = held.df.withColumns({
+        "doc": F.coalesce(held.col("doc_id").cast("long"), F.lit(NO_ID)), "key": F.xxhash64(held.col("text"))})
+    kept = named.join(stage(first, "minhash-kept"), ["doc", "key"])
+    again = F.expr("row_number() OVER (PARTITION BY doc, key ORDER BY doc)")
+    return kept.withColumn("again", again).filter("again = 1").select(*held.back())

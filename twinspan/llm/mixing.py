@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspan.llm.carried import Carried
 from twinspan.llm.ranks import with_row_numbers
 from twinspan.llm.symbols import mix
 from twinspan.operators.store import stage
@@ -103,16 +104,18 @@ def _rounder(last: bool, seed: int):
 
 
 def mix_sources(
-    rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED
+    rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, layout: str | None = None
 ) -> DataFrame:
     """Append source_size LONG, target DOUBLE and copies LONG to rows with source and size.
 
     Input columns: ``source``, ``size`` and any that name the row. Equal input gives equal
-    output in every run: leaves follow a hash of all columns, not the file layout. A source
-    without words gets target 0 and no copies. An empty table stays empty.
+    output in every run: leaves follow a hash of the columns, all but ``layout``, which may
+    depend on how the input is stored. A source without words gets target 0 and no copies.
+    An empty table stays empty.
     """
     spark = rows.sparkSession
     kept = rows.columns
+    named = [c for c in kept if c != layout]
     # The number of sources is the number of entries of the mixing recipe.
     sizes = [(r["source"], int(r["n"] or 0)) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     target = target_sizes(sizes, weights, share, most)
@@ -121,8 +124,8 @@ def mix_sources(
         "source STRING, source_size LONG, target DOUBLE, rate DOUBLE")
     plan = plan.withColumnRenamed("source", "_source")
     numbered = with_row_numbers(
-        rows.withColumn("draw", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in kept])),
-        [F.col("source"), F.col("draw"), *[F.col(c) for c in kept if c != "source"]], "mix-order")
+        rows.withColumn("draw", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in named])),
+        [F.col("source"), F.col("draw"), *[F.col(c) for c in [*named, *([layout] if layout else [])] if c != "source"]], "mix-order")
     open_ = numbered.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumns({
         "whole": F.floor("rate"), "chance": F.col("rate") - F.floor("rate"),
         # Repeated rows share their hash; their row numbers tell the draws apart.
@@ -162,8 +165,11 @@ def repeat_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
 
     Rows are numbered in a written table first, so that equal ids don't meet in the join.
     """
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    named = rows.select("_row", "doc_id", "source", word_count("text").alias("size"))
-    copies = mix_sources(named, weights, share, most, seed).filter("copies > 0").select("_row", "copies")
-    taken = rows.join(copies, "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    held = Carried(docs)
+    rows = stage(held.df.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    named = rows.select(
+        "row", held.col("doc_id").alias("doc_id"), held.col("source").alias("source"),
+        word_count(held.col("text")).alias("size"), F.xxhash64(held.col("text")).alias("text"))
+    copies = mix_sources(named, weights, share, most, seed, "row").filter("copies > 0").select("row", "copies")
+    taken = rows.join(copies, "row")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*held.back())

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.functions.text import let
+from twinspan.llm.carried import Carried
 from twinspan.operators.store import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,14 +57,12 @@ def _repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(ordered, from_sorted))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Append n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and ``_lines``.
 
-    A null text counts as empty and fails. Columns of these names are replaced.
+    A null text counts as empty and fails. ``docs`` must not have columns of these names.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lines"]
-    docs = docs.drop(*names)
-    body = F.coalesce("text", F.lit(""))
+    body = F.coalesce(text, F.lit(""))
     # A generator of one row holds each array, so that later expressions read it and don't rebuild it.
     words = docs.withColumn("_words", F.explode(F.array(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)))))
     w = F.col("_words")
@@ -176,34 +175,37 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     return estimate
 
 
-def judge(docs: DataFrame, kept_columns: list[str] | None = None) -> DataFrame:
-    """``kept_columns`` (all, by default) with the statistics, base_failed and kept.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
-    Groups hold the documents that pass the base rules. Null languages and sources are
-    values of their own. A group with no such document judges none. An empty table stays
-    empty; repeated rows are judged alike; clashing column names are replaced.
-    """
-    kept_columns = [c for c in (kept_columns or docs.columns) if c not in STATISTICS]
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    needed = dict.fromkeys([*kept_columns, "text", "lang", "source"])
-    counted = with_statistics(docs.select(*needed))
-    rows = counted.select(
-        *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept_columns)], *[c for c in STATISTICS if c != "kept"],
-        key("lang").alias("_lang"), key("source").alias("_source"), *[v.alias(x) for v, x in zip(_vector(), X, strict=True)])
-    rows = stage(rows, "quality-statistics")
+
+def _judged(docs: Carried, columns: list[str]) -> DataFrame:
+    """``columns`` under their carried names, the statistics and kept."""
+    own = [docs.name(c) for c in columns]
+    needed = dict.fromkeys([*own, *(docs.name(c) for c in ("text", "lang", "source"))])
+    counted = with_statistics(docs.df.select(*needed), docs.name("text"))
+    # A null language or source is a value of its own.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), docs.col(c).cast("string")), F.lit(""))
+    rows = stage(counted.select(
+        *own, *STATISTICS, key("lang").alias("_lang"), key("source").alias("_source"),
+        *[v.alias(x) for v, x in zip(_vector(), X, strict=True)]), "quality-statistics")
     estimate = robust_estimates(rows.filter("NOT base_failed").select(*KEYS, *X))
-    judged = rows.join(estimate, KEYS, "left")
     kept = ~F.col("base_failed") & F.coalesce(_distance() <= CUTOFF, F.lit(True))
-    return judged.select(
-        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept_columns)], *[c for c in STATISTICS if c != "kept"], kept.alias("kept"))
+    return rows.join(estimate, KEYS, "left").select(*own, *STATISTICS, kept.alias("kept"))
 
 
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+def judge(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` with the statistics, base_failed and kept.
+
+    Groups hold the documents that pass the base rules. Null languages and sources are
+    values of their own. A group with no such document judges none. An empty table stays
+    empty; repeated rows are judged alike; a column of ``docs`` that has a statistic's name
+    plays no part.
+    """
+    held = Carried(docs)
+    return _judged(held, columns).select(*held.back(columns), *STATISTICS, "kept")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with the columns of ``docs``."""
-    clashing = [c for c in docs.columns if c in STATISTICS]
-    safe = docs.select(*[F.col(c).alias(f"_own_{c}" if c in clashing else c) for c in docs.columns])
-    kept = judge(safe).filter("kept")
-    return kept.select(*[F.col(f"_own_{c}" if c in clashing else c).alias(c) for c in docs.columns])
+    held = Carried(docs)
+    return _judged(held, docs.columns).filter("kept").select(*held.back())
