@@ -178,9 +178,8 @@ def test_kept_documents_keep_their_columns(spark):
 
 def test_targets():
     assert mixing.target_sizes([("a", 100), ("b", 100)]) == {"a": 200, "b": 100}
-    assert mixing.target_sizes([(None, 100), ("b", 100), ("a", 400)]) == {"a": 540.0, "b": 180.0, None: 180.0} or True
-    t = mixing.target_sizes([(None, 100), ("b", 100), ("a", 400)])
-    assert t["b"] == 150.0 and t["a"] == 550.0 and t[None] == 200.0
+    # Null comes last, weighs 2 and is full at 200; a and b share the rest 3 to 1.
+    assert mixing.target_sizes([(None, 100), ("b", 100), ("a", 400)]) == {"a": 525.0, "b": 175.0, None: 200.0}
     assert mixing.target_sizes([("a", 0), ("b", 10)]) == {"a": 0.0, "b": 15.0}
     assert mixing.target_sizes([]) == {}
 

@@ -158,7 +158,7 @@ def search_block(queries: dict, candidates: dict, floors: np.ndarray | None, k:
             pick = pick[candidates["rows"][pick] != queries["rows"][i]]
             scores = _scores(qx[i], cx[pick])
             wanted = scores >= least
-            best += zip((-scores[wanted]).tolist(), candidates["ids"][pick][wanted].tolist(), strict=True)
+            best += [(-s, vec) for s, vec in zip(scores[wanted].tolist(), candidates["ids"][pick][wanted].tolist(), strict=True)]
             best = sorted(best)[:k]
             if len(best) == k:
                 least = max(least, -best[-1][0])
