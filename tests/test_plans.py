@@ -115,3 +115,24 @@ def test_contradiction_fails(spark):
     twisted = labelled.unionByName(spark.createDataFrame([("train", "train1", "train0", 1, 999)], labelled.schema))
     with pytest.raises(Exception, match="contradictory"):
         prepare_archive(functions, twisted, {"train": 0, "valid": 0, "test": 0}, 1).pairs.collect()
+
+
+def test_labels_are_checked_after_induction(spark):
+    """A pair of a function with itself never trains, so its labels don't matter; a split that loses a label does."""
+    functions, labelled, _ = archive(spark, 6)
+    selves = spark.createDataFrame([("train", "train1", "train1", v, 900 + v) for v in (0, 1)], labelled.schema)
+    ready = prepare_archive(functions, labelled.unionByName(selves), {"train": 0, "valid": 0, "test": 0}, 1)
+    assert ready.pairs.count() > 0
+    thin = prepare_archive(functions, labelled, {"train": 2, "valid": 2, "test": 2}, 1)
+    with pytest.raises(Exception, match="lost a label"):
+        thin.audit.collect()
+
+
+def test_encoder_limits_are_a_parameter(spark):
+    functions, labelled, _ = archive(spark, 8)
+    long = "int f0_0(int a) { return " + " + ".join(f"a * {i}" for i in range(700)) + "; }"
+    functions = functions.withColumn("code", F.when(F.col("id") == "train0", long).otherwise(F.col("code")))
+    every = {"train": 0, "valid": 0, "test": 0}
+    assert prepare_archive(functions, labelled, every, 1).exclusions.count() == 0
+    cut = prepare_archive(functions, labelled, every, 1, max_tokens=509)
+    assert [r.id for r in cut.exclusions.collect()] == ["train0"] and "509" in cut.exclusions.first().reason

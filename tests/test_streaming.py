@@ -1,5 +1,6 @@
 """Streams give what one batch gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinspan.operators import copies as K
@@ -24,9 +25,34 @@ def test_intake_equals_batch(spark, tmp_path):
     want = {(r.clone_type, r.frag_id_a, r.frag_id_b) for r in K.copy_links(frags).collect()}
     got = intake.current_copies(spark.read.parquet(str(tmp_path / "links/copies"))).collect()
     assert {(r.clone_type, r.frag_id_a, r.frag_id_b) for r in got} == want and len(want) == 3
-    near = {(*sorted((r.near_fp_a, r.near_fp_b)), round(r.similarity, 9)) for r in M.near_miss_join(frags).collect()}
-    rows = spark.read.parquet(str(tmp_path / "links/near")).collect()
-    assert {(r.lo, r.hi, round(r.similarity, 9)) for r in rows} == near and near
+    listed = lambda df: sorted((r.near_fp_a, r.near_fp_b, round(r.similarity, 9), r.n_pairs, r.rep_a, r.rep_b) for r in df.collect())
+    near = listed(M.near_miss_join(frags))
+    assert listed(intake.current_near_misses(spark.read.parquet(str(tmp_path / "links/near")))) == near and near
+
+
+def test_windows_of_one_file_that_share_lines_are_no_near_miss(spark, tmp_path):
+    """140 lines give the windows 1-80 and 61-140; an empty first batch fixes no element order."""
+    long = "\n".join(f"total = total + value{i} * {i};" for i in range(140))
+    src = str(tmp_path / "in")
+    for row in (("j", "empty.c", 0, "c", ""), ("j", "long.c", 1, "c", long), ("j", "again.c", 2, "c", long.replace("total", "sum"))):
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    intake.stream_detect(stream, str(tmp_path / "corpus"), str(tmp_path / "links"), str(tmp_path / "ck")).awaitTermination()
+    frags = intake.fingerprint_batch(spark.read.schema(SCHEMA).parquet(src))
+    listed = lambda df: sorted((r.near_fp_a, r.near_fp_b, r.n_pairs) for r in df.collect())
+    want = listed(M.near_miss_join(frags))
+    assert listed(intake.current_near_misses(spark.read.parquet(str(tmp_path / "links/near")))) == want
+    # Each window meets the other file's other window, in either direction.
+    assert [n for *_, n in want] == [2]
+
+
+def test_a_corpus_of_another_element_order_is_refused(spark, tmp_path):
+    corpus = intake.Corpus(spark, str(tmp_path / "corpus"), 0.75)
+    row = spark.createDataFrame([("j", "a.c", 0, "c", BODY)], SCHEMA)
+    corpus.append(row, 0, False)
+    spark.createDataFrame([(0, 5)], "i INT, h BIGINT").write.mode("overwrite").parquet(str(tmp_path / "corpus/order"))
+    with pytest.raises(Exception, match="another element order"):
+        corpus.append(row, 1, False)
 
 
 def test_job_state_equals_batch(spark, tmp_path):

@@ -17,11 +17,12 @@ from twinspan.plans.detect import detect
 
 P = B.sql_params()
 PS = B.sql_params("source")
+PAIRS = ("type1_pairs", "type2_pairs")
 NOT_SHARED = "(a.file <> b.file OR a.end_line < b.start_line OR b.end_line < a.start_line)"
 
 
 def register(r: B.Registry) -> None:
-    r.add("candidate_pair_count", lambda spark, sf: K.candidate_pair_count(G.usable_fragments(B.tokenised(spark, sf, True))),
+    r.add("candidate_pair_count", lambda spark, sf: B.counts(K.candidate_pair_count(G.usable_fragments(B.tokenised(spark, sf, True))), "candidate_pairs"),
           f"""WITH {B.sql_tokens('source')} SELECT a.job_id, count(*) AS candidate_pairs FROM usable a JOIN usable b
               ON a.job_id = b.job_id AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line)
               AND {NOT_SHARED} GROUP BY a.job_id""")
@@ -47,13 +48,13 @@ def register(r: B.Registry) -> None:
             FROM prints p JOIN c USING (language, tokens) JOIN prints a ON a.frag_id = c.anchor""")
 
     slim = lambda spark, sf, s=False: stage(B.prints(spark, sf, s).drop("tokens", "params", "near", "code"), "prints")
-    r.add("copy_pair_totals", lambda spark, sf: K.copy_pair_totals(slim(spark, sf)),
+    r.add("copy_pair_totals", lambda spark, sf: B.counts(K.copy_pair_totals(slim(spark, sf)), *PAIRS),
           f"""WITH {P} SELECT 'all' AS job_id, count(*) FILTER (a.tokens = b.tokens) AS type1_pairs,
                      count(*) FILTER (a.tokens <> b.tokens) AS type2_pairs
               FROM prints a JOIN prints b ON a.language = b.language AND a.params = b.params
                AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED}""")
 
-    r.add("copy_pairs_by_file", lambda spark, sf: K.copy_pairs_by_file(slim(spark, sf)),
+    r.add("copy_pairs_by_file", lambda spark, sf: B.counts(K.copy_pairs_by_file(slim(spark, sf)), *PAIRS),
           f"""WITH {P}, q AS (SELECT unnest(list_distinct([a.file, b.file])) AS file, a.tokens = b.tokens AS same
               FROM prints a JOIN prints b ON a.language = b.language AND a.params = b.params
                AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED})
@@ -71,18 +72,28 @@ def register(r: B.Registry) -> None:
         f = slim(spark, sf, True)
         links = K.copy_links(f)
         one, two = links.filter("clone_type = 'Type-1'"), links.filter("clone_type = 'Type-2'")
-        return R.type_counts(K.union_typed(one, two)).select("job_id", "type1_count", "type2_count")
+        both = R.type_counts(K.union_typed(one, two))
+        return both.select("job_id", F.col("type1_count").alias("type1_links"), F.col("type2_count").alias("type2_links"))
 
     r.add("union_typed", typed_union, f"""WITH {PS},
         c AS (SELECT job_id, language, params, count(*) AS n, count(DISTINCT tokens) AS d FROM prints GROUP BY ALL HAVING count(*) > 1)
-        SELECT job_id, CAST(sum(n - d) AS BIGINT) AS type1_count, CAST(sum(d - 1) AS BIGINT) AS type2_count FROM c GROUP BY job_id""")
+        SELECT job_id, CAST(sum(n - d) AS BIGINT) AS type1_links, CAST(sum(d - 1) AS BIGINT) AS type2_links FROM c GROUP BY job_id""")
+
+    # All pairs, listed: quadratic output, so within sources.
+    def listed(spark, sf):
+        return K.expand_pairs(slim(spark, sf, True)).select("job_id", "clone_type", "frag_id_a", "frag_id_b")
+
+    r.add("pairs", listed, f"""WITH {PS} SELECT a.job_id, CASE WHEN a.tokens = b.tokens THEN 'Type-1' ELSE 'Type-2' END AS clone_type,
+              a.frag_id AS frag_id_a, b.frag_id AS frag_id_b
+              FROM prints a JOIN prints b ON a.job_id = b.job_id AND a.language = b.language AND a.params = b.params
+               AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line) AND {NOT_SHARED}""")
 
     # Near-misses: the score has no SQL form, so rows only; tests compare with brute force.
     def near(spark, sf):
         f = stage(B.prints(spark, sf, True).drop("tokens", "params", "code"), "prints")
         return M.near_miss_join(f).select(
             "job_id", "language", F.col("rep_a.frag_id").alias("frag_id_a"), F.col("rep_b.frag_id").alias("frag_id_b"),
-            F.round("similarity", 6).alias("similarity"), "n_pairs")
+            F.round("similarity", 6).alias("similarity"), F.col("n_pairs").cast("bigint").alias("n_pairs"))
 
     r.add("near_miss_join", near)
 
@@ -128,11 +139,15 @@ def register(r: B.Registry) -> None:
 
     r.add("sequence_ratio", ratios)
 
-    r.add("detect", lambda spark, sf: detect(B.files(spark, sf, True), python_lexer=False).links().select(
+    r.add("detect", lambda spark, sf: B.counts(detect(B.files(spark, sf, True), python_lexer=False).links(), "n_pairs").select(
         "job_id", "clone_type", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b",
         "similarity", "token_sim", "cross_language", "description", "n_pairs"))
-    r.add("detect_totals", lambda spark, sf: detect(B.files(spark, sf, True), python_lexer=False).totals())
-    r.add("detect_structural_totals", lambda spark, sf: detect(B.files(spark, sf, True), python_lexer=False).totals().drop("type3_pairs"),
+
+    def totals(spark, sf):
+        return B.counts(detect(B.files(spark, sf, True), python_lexer=False).totals(), "candidate_pairs", *PAIRS, "type3_pairs")
+
+    r.add("detect_totals", totals)
+    r.add("detect_structural_totals", lambda spark, sf: totals(spark, sf).drop("type3_pairs"),
           f"""WITH {PS}, n AS (SELECT t.job_id, count(*) AS fragments, count(u.frag_id) AS usable FROM tok t LEFT JOIN usable u USING (job_id, frag_id) GROUP BY t.job_id),
               c AS (SELECT a.job_id, count(*) AS candidate_pairs,
                            count(*) FILTER (a.language = b.language AND a.tokens = b.tokens) AS type1_pairs,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from twinspan import constants as C
 from twinspan.operators import copies, segment
-from twinspan.operators.labels import pair_up
 from twinspan.sources.tables import from_table, read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +39,18 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
+def pair_up(df: DataFrame, key: str, *carry: str) -> DataFrame:
+    """Pair every row with the one whose integer ``key`` is one more."""
+    side = lambda s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in (key, *carry)])
+    return side("a").withColumn("_next", F.col(f"{key}_a") + 1).join(
+        side("b").withColumn("_next", F.col(f"{key}_b")), "_next").drop("_next")
+
+
+def counts(df: DataFrame, *cols: str) -> DataFrame:
+    """Exact totals as LONG, which they fit in the given tables."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
 def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -89,10 +100,9 @@ def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_FILE_PAIRS = """
 dp AS (
-  SELECT doc_id AS id_a, source AS source_a, lang AS lang_a, n_chars AS n_a,
-         lead(doc_id) OVER w AS id_b, lead(source) OVER w AS source_b,
-         lead(lang) OVER w AS lang_b, lead(n_chars) OVER w AS n_b
-  FROM documents WINDOW w AS (PARTITION BY doc_id // 64 ORDER BY doc_id)),
+  SELECT a.doc_id AS id_a, a.source AS source_a, a.lang AS lang_a, a.n_chars AS n_a,
+         b.doc_id AS id_b, b.source AS source_b, b.lang AS lang_b, b.n_chars AS n_b
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 pairs AS (
   SELECT source_a AS job_id, source_a || '/' || id_a || '.txt' AS file_a,
          source_b || '/' || id_b || '.txt' AS file_b, lang_a AS language_a, lang_b AS language_b,
@@ -100,7 +110,7 @@ pairs AS (
          'Type-' || (1 + (n_a + n_b) % 4) AS clone_type,
          floor(least(n_a, n_b) / greatest(n_a, n_b) * 10000) / 10000 AS similarity,
          lang_a <> lang_b AS cross_language, id_a, id_b, n_a + n_b AS n_sum
-  FROM dp WHERE id_b IS NOT NULL)
+  FROM dp)
 """
 
 
@@ -219,12 +229,12 @@ def labeled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LABELED = """
 lp AS (
-  SELECT doc_id AS a_id, lead(doc_id) OVER w AS b_id, quality AS qa, lead(quality) OVER w AS qb
-  FROM labels WINDOW w AS (PARTITION BY doc_id // 64 ORDER BY doc_id)),
+  SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.quality AS qa, b.quality AS qb
+  FROM labels a JOIN labels b ON b.doc_id = a.doc_id + 1),
 lpairs AS (
   SELECT CASE WHEN a_id % 10 < 6 THEN 'train' WHEN a_id % 10 < 8 THEN 'valid' ELSE 'test' END AS split,
          a_id, b_id, CASE WHEN qa = qb THEN 1 ELSE 0 END AS label, a_id AS ordinal
-  FROM lp WHERE b_id IS NOT NULL)
+  FROM lp)
 """
 
 

@@ -247,7 +247,7 @@ def register(r: B.Registry) -> None:
         from twinspan.operators.learning import fit_pair_classifier
 
         emb = embeddings(spark, sf)
-        p = L.pair_up(emb.select("id", "label"), "id", "label")
+        p = B.pair_up(emb.select("id", "label"), "id", "label")
         k = F.col("id_a") % 10
         pairs = p.select(
             F.when(k < 6, "train").when(k < 8, "valid").otherwise("test").alias("split"),

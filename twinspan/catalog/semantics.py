@@ -8,19 +8,17 @@ from twinspan import constants as C
 from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
 from twinspan.operators import semantic as S
-from twinspan.operators.labels import pair_up
 
 TAU = 0.35
 
 
 def vector_pairs(spark, sf):
-    return pair_up(B.table(spark, sf, "embeddings").select("vec_id"), "vec_id").select(
+    return B.pair_up(B.table(spark, sf, "embeddings").select("vec_id"), "vec_id").select(
         F.col("vec_id_a").alias("a_id"), F.col("vec_id_b").alias("b_id"))
 
 
 SQL_VECTOR_PAIRS = """
-vp AS (SELECT vec_id AS a_id, lead(vec_id) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS b_id FROM embeddings),
-vpairs AS (SELECT * FROM vp WHERE b_id IS NOT NULL)
+vpairs AS (SELECT x.vec_id AS a_id, y.vec_id AS b_id FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)
 """
 
 
@@ -47,7 +45,7 @@ oc AS (SELECT l_orderkey AS frag_id, CASE WHEN l_orderkey % 40 < 38 THEN 1 ELSE
 
 def order_pairs(spark, sf):
     o = B.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    p = pair_up(o, "o_orderkey", "o_totalprice", "o_orderstatus")
+    p = B.pair_up(o, "o_orderkey", "o_totalprice", "o_orderstatus")
     lang = lambda s: F.when(F.col(f"o_orderstatus_{s}") == "F", "java").when(F.col(f"o_orderstatus_{s}") == "O", "python").otherwise("c")
     ratio = F.least("o_totalprice_a", "o_totalprice_b") / F.greatest("o_totalprice_a", "o_totalprice_b")
     return p.select(
@@ -56,12 +54,12 @@ def order_pairs(spark, sf):
 
 
 SQL_ORDER_PAIRS = """
-op0 AS (SELECT o_orderkey AS a_id, lead(o_orderkey) OVER w AS b_id, o_totalprice AS pa, lead(o_totalprice) OVER w AS pb,
-               o_orderstatus AS sa, lead(o_orderstatus) OVER w AS sb
-        FROM orders WINDOW w AS (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey)),
+op0 AS (SELECT x.o_orderkey AS a_id, y.o_orderkey AS b_id, x.o_totalprice AS pa, y.o_totalprice AS pb,
+               x.o_orderstatus AS sa, y.o_orderstatus AS sb
+        FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1),
 opairs AS (SELECT a_id, b_id, CASE sa WHEN 'F' THEN 'java' WHEN 'O' THEN 'python' ELSE 'c' END AS language_a,
                   CASE sb WHEN 'F' THEN 'java' WHEN 'O' THEN 'python' ELSE 'c' END AS language_b,
-                  floor(least(pa, pb) / greatest(pa, pb) * 100) / 100 AS score FROM op0 WHERE b_id IS NOT NULL)
+                  floor(least(pa, pb) / greatest(pa, pb) * 100) / 100 AS score FROM op0)
 """
 
 SQL_EVIDENCE = SQL_OUTCOMES + "," + SQL_ORDER_PAIRS + """,
@@ -127,8 +125,15 @@ def register(r: B.Registry) -> None:
           f"""WITH {SQL_ORDER_PAIRS} SELECT a_id, b_id, language_a, language_b FROM opairs
               WHERE (language_a IN ('java', 'python') AND language_b IN ('java', 'python')) OR (language_a = 'c' AND language_b = 'c')""")
 
-    r.add("untyped_pairs", lambda spark, sf: S.untyped_pairs(order_pairs(spark, sf), order_pairs(spark, sf).filter("score >= 0.75")).select("a_id", "b_id"),
-          f"WITH {SQL_ORDER_PAIRS} SELECT a_id, b_id FROM opairs WHERE score < 0.75")
+    def untyped(spark, sf):
+        # Two orders of one customer count as typed by structure.
+        o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+        side = lambda s: o.select(F.col("o_orderkey").alias(f"{s}_id"), "o_custkey")
+        typed = side("a").join(side("b"), "o_custkey").filter("a_id < b_id")
+        return S.untyped_pairs(order_pairs(spark, sf), typed).select("a_id", "b_id")
+
+    r.add("untyped_pairs", untyped, f"""WITH {SQL_ORDER_PAIRS} SELECT a_id, b_id FROM opairs JOIN orders x ON x.o_orderkey = a_id
+              JOIN orders y ON y.o_orderkey = b_id WHERE x.o_custkey <> y.o_custkey""")
 
     r.add("evidence_join", lambda spark, sf: S.evidence_join(order_pairs(spark, sf), outcomes(spark, sf)).select(
         "a_id", "b_id", "status", "checked", "diverse_outputs"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinspan import constants as C
 from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
 from twinspan.operators import rollups as R
+from twinspan.session import checkpoint_dir
 
 FP = f"WITH {B.SQL_FILE_PAIRS}"
 COUNTS = ", ".join(f"count(*) FILTER (clone_type = '{t}') AS {R.type_column(t)}" for t in C.CLONE_TYPES)
@@ -15,7 +18,10 @@ ORDER = "clone_type <> 'Type-4', -similarity, file_a, file_b, start_line_a, end_
 
 
 def progress(spark, sf):
-    e = B.table(spark, sf, "events")
+    return as_progress(B.table(spark, sf, "events"))
+
+
+def as_progress(e):
     return e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("stage"), F.col("event_id").alias("n"))
 
 
@@ -119,7 +125,16 @@ def register(r: B.Registry) -> None:
     r.add("pct", lambda spark, sf: B.scored(spark, sf).select("doc_id", N.pct("score").alias("percent")),
           f"WITH {B.SQL_SCORED} SELECT doc_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent FROM scored")
 
-    from twinspan.streaming.progress import job_state
+    from twinspan.streaming.progress import current_state, job_state, stream_job_state
+
+    states = f"SELECT job_id, arg_max(stage, (ts, stage)) AS stage, count(*) AS events FROM ({ev}) GROUP BY job_id"
+    r.add("job_state", lambda spark, sf: job_state(progress(spark, sf)).select("job_id", "stage", "events"), states)
+
+    def streamed(spark, sf):
+        given = B.table(spark, sf, "events")
+        stream = spark.readStream.schema(given.schema).parquet(f"{sf}/events.parquet*")
+        at = f"{checkpoint_dir(spark)}/job-state-{uuid.uuid4().hex}"
+        stream_job_state(as_progress(stream), f"{at}/out", f"{at}/state").awaitTermination()
+        return current_state(spark.read.parquet(f"{at}/out")).select("job_id", "stage", "events")
 
-    r.add("stream_job_state", lambda spark, sf: job_state(progress(spark, sf)).select("job_id", "stage", "events"),
-          f"""SELECT job_id, arg_max(stage, (ts, stage)) AS stage, count(*) AS events FROM ({ev}) GROUP BY job_id""")
+    r.add("stream_job_state", streamed, states)

@@ -102,15 +102,20 @@ def register(r: B.Registry) -> None:
     r.add("first_of_each_path", first_paths, """
         SELECT lang AS job_id, source || '/' || (n_chars % 50) AS file, min(doc_id) AS file_ord FROM documents GROUP BY ALL""")
 
+    # The file of line item 1 of order 7, asked for by its owner and by somebody else.
     def lookup(spark, sf):
-        j = B.jobs(spark, sf)
-        f = B.job_files(spark, sf)
-        mine = R.owned_by(j, F.col("user_id")).select("job_id", "user_id")
-        return f.join(mine, "job_id").groupBy("user_id").agg(F.count("*").alias("n"), F.min("file").alias("first_file"))
+        files = B.table(spark, sf, "lineitem").select(
+            F.col("l_orderkey").alias("job_id"), F.concat(F.lit("line/"), F.col("l_linenumber").cast("string"), F.lit(".c")).alias("file"),
+            F.lit("c").alias("language"), F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").alias("content"))
+        jobs = B.jobs(spark, sf)
+        owner = jobs.filter("job_id = 7").agg(F.max("user_id")).scalar()
+        ask = lambda who, user: S.lookup_source(files, jobs, 7, user, "line/1.c").select(F.lit(who).alias("asked_by"), "file", "language", "content")
+        return ask("owner", owner).unionByName(ask("other", owner + 1))
 
     r.add("lookup_source", lookup, f"""
-        WITH {B.SQL_JOBS}, {B.SQL_JOB_FILES}
-        SELECT user_id, count(*) AS n, min(file) AS first_file FROM job_files JOIN jobs USING (job_id) GROUP BY user_id""")
+        WITH {B.SQL_JOBS}
+        SELECT 'owner' AS asked_by, 'line/' || l_linenumber || '.c' AS file, 'c' AS language, l_partkey || '/' || l_returnflag AS content
+        FROM lineitem JOIN jobs ON job_id = l_orderkey WHERE l_orderkey = 7 AND l_linenumber = 1""")
 
     def misses(spark, sf):
         frags = B.table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("lang").alias("language"), "doc_id")
@@ -203,15 +208,12 @@ def register(r: B.Registry) -> None:
 
     def cosines(spark, sf):
         e = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
-        from twinspan.operators.labels import pair_up
-
-        p = pair_up(e, "vec_id", "embedding")
+        p = B.pair_up(e, "vec_id", "embedding")
         return p.select("vec_id_a", "vec_id_b", F.round(N.cosine("embedding_a", "embedding_b"), 6).alias("cosine"))
 
     r.add("cosine", cosines, """
-        WITH p AS (SELECT vec_id AS vec_id_a, lead(vec_id) OVER w AS vec_id_b, embedding AS a, lead(embedding) OVER w AS b
-                   FROM embeddings WINDOW w AS (PARTITION BY vec_id // 64 ORDER BY vec_id))
-        SELECT vec_id_a, vec_id_b, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) AS cosine FROM p WHERE vec_id_b IS NOT NULL""")
+        SELECT x.vec_id AS vec_id_a, y.vec_id AS vec_id_b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine
+        FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""")
 
     def blank_lines(spark, sf):
         return B.table(spark, sf, "documents").select("doc_id", X.nonblank_line_count("text").alias("n"))
@@ -240,12 +242,14 @@ def register(r: B.Registry) -> None:
                  ELSE 'evaluated classifier for this language pair; behavior unverified; review required' END AS type4 FROM pairs""")
 
     def info(spark, sf):
-        e = B.table(spark, sf, "events")
-        schema = "k INT"
-        back = F.from_json(F.to_json(F.struct(F.from_json("props", schema)["k"].alias("k"), F.col("event_type").alias("stage"))), "k INT, stage STRING")
-        return e.select("event_id", back["k"].alias("k"), back["stage"].alias("stage"))
-
-    r.add("analysis_info_json", info, "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k, event_type AS stage FROM events")
+        e = B.table(spark, sf, "events").withColumn("k", F.from_json("props", "k INT")["k"])
+        record = F.struct(F.col("event_type").alias("mode"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("checked"),
+                          F.struct(F.lit("complete").alias("stage")).alias("progress"))
+        return e.select("event_id", R.analysis_info_json(record).alias("json"))
+
+    r.add("analysis_info_json", info, """
+        SELECT event_id, '{"mode":"' || event_type || '","checked":' || CASE WHEN CAST(props->>'k' AS INTEGER) % 2 = 0 THEN props->>'k' ELSE 'null' END
+               || ',"progress":{"stage":"complete"}}' AS json FROM events""")
 
     def figures(spark, sf):
         p = B.file_pairs(spark, sf)

@@ -7,7 +7,6 @@ bit-parallel count on Python integers and rejects most pairs before the exact sc
 from __future__ import annotations
 
 from collections import OrderedDict
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -208,11 +207,9 @@ def near_miss_score(a: Profile, b: Profile, at_least: float = 0.0) -> float | No
     return 2 * best / total if best >= need else None
 
 
-def sequence_similarity(a: list[str], b: list[str], autojunk: bool = False) -> float:
+def sequence_similarity(a: list[str], b: list[str]) -> float:
     if not a or not b:
         return 0.0
-    if autojunk:
-        return SequenceMatcher(None, a, b).ratio()
     number = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
     x, y = (np.array([number[t] for t in v]) for v in (a, b))
     matched = matched_weight(x, y, np.arange(len(x) + 1), np.arange(len(y) + 1))
@@ -284,14 +281,6 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([sequence_similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-@F.arrow_udf(T.DoubleType())
-def sequence_ratio_autojunk(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The same with popular tokens of long sequences set aside."""
-    return pa.array(
-        [sequence_similarity(x, y, True) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64()
-    )
-
-
 # --- prefix signatures ---------------------------------------------------------
 
 _SIGNATURE = T.StructType([

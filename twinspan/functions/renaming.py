@@ -1,7 +1,7 @@
 """Consistent renaming of identifiers, vectorised over an Arrow batch.
 
-The same result as ``text.parameterize``. That expression searches the name list
-once per token, which is quadratic in the fragment; here a batch is ranked at once.
+A column expression would search the fragment's name list once per token, which is
+quadratic; here a whole batch is ranked at once.
 """
 
 from __future__ import annotations

@@ -105,7 +105,7 @@ def split_lines(content: ColumnLike) -> Column:
 
 
 def nonblank_line_count(code: ColumnLike) -> Column:
-    return F.size(F.filter(split_lines(code), lambda x: F.rlike(x, F.lit(r"\S"))))
+    return F.size(F.filter(split_lines(code), lambda x: F.rlike(x, F.lit(f"[^{C.SPACE_CLASS}]"))))
 
 
 def line_range(start: ColumnLike, end: ColumnLike) -> Column:
@@ -144,36 +144,11 @@ def is_literal(token: Column) -> Column:
     return F.rlike(token, F.lit(C.LITERAL_PATTERN))
 
 
-def is_identifier(token: Column) -> Column:
-    """A name that consistent renaming may change."""
-    return ~is_keyword(token) & F.rlike(token, F.lit(C.IDENTIFIER_PATTERN))
-
-
 def looks_like_identifier(token: Column) -> Column:
     """Lexical identifier test; words and layout markers count too."""
     return F.rlike(token, F.lit(C.IDENTIFIER_STRICT_PATTERN))
 
 
-def parameterize(toks: ColumnLike) -> Column:
-    """Names become ``ID_k`` by first appearance, literals become ``LITERAL``."""
-
-    def rename(t: Column, names: Column) -> Column:
-        rank = F.array_position(names, t)
-        return (
-            F.when(rank > 0, F.concat(F.lit("ID_"), (rank - 1).cast("string")))
-            .when(is_literal(t), F.lit("LITERAL"))
-            .otherwise(t)
-        )
-
-    return let(
-        col(toks),
-        lambda ts: let(
-            F.array_distinct(F.filter(ts, is_identifier)),
-            lambda names: F.transform(ts, lambda t: rename(t, names)),
-        ),
-    )
-
-
 def near_miss_tokens(toks: ColumnLike, params: ColumnLike) -> Column:
     """Parameterised tokens with the literal values put back."""
     return F.zip_with(
@@ -230,7 +205,7 @@ def strip_comments(code: ColumnLike) -> Column:
         ),
         "",
     )
-    kept = F.filter(F.split(joined, "\n", -1), lambda x: F.rlike(x, F.lit(r"\S")))
+    kept = F.filter(F.split(joined, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{C.SPACE_CLASS}]")))
     return F.array_join(kept, "\n")
 
 

@@ -17,6 +17,7 @@ from twinspan.functions import text as X
 from twinspan.functions.numeric import require
 from twinspan.functions.renaming import rename_identifiers
 from twinspan.operators.segment import once
+from twinspan.operators.store import stage
 
 CLASS_KEY = {"tokens": "token_fp", "params": "param_fp", "near": "near_fp"}
 PLACE = ["file_ord", "start_line", "end_line"]
@@ -60,12 +61,12 @@ def clone_classes(frags: DataFrame, level: str = "tokens") -> DataFrame:
 def class_members(frags: DataFrame, level: str = "tokens") -> DataFrame:
     """Each member of a class with its anchor, the earliest member.
 
-    The classes are the small side, one row per key; a hot key is split by adaptive
-    skew handling, which may copy that one row to many tasks.
+    The classes are written first: with a scan on both sides of the join, a hot key is
+    split by adaptive skew handling, which copies its one class row to many tasks.
     """
     fp = CLASS_KEY[level]
     return (
-        frags.join(clone_classes(frags, level), ["job_id", "language", fp])
+        frags.join(stage(clone_classes(frags, level), "classes"), ["job_id", "language", fp])
         .withColumn("is_anchor", F.col("frag_id") == F.col("anchor.frag_id"))
         .withColumn(
             "overlaps_anchor",
@@ -97,7 +98,8 @@ def overlapping_fragments(frags: DataFrame, *carry: str) -> DataFrame:
 
 
 def _choose2(n: str) -> Column:
-    return (F.col(n).cast("decimal(38,0)") * (F.col(n) - 1) / 2).cast("bigint")
+    """n(n-1)/2, exact beyond what a LONG holds."""
+    return (F.col(n).cast("decimal(19,0)") * (F.col(n) - 1).cast("decimal(19,0)") / 2).cast("decimal(38,0)")
 
 
 def candidate_pair_count(frags: DataFrame) -> DataFrame:
@@ -142,12 +144,14 @@ def copy_pairs_by_file(frags: DataFrame) -> DataFrame:
     A pair inside one file counts once. A file with k of the n members of a class
     touches k(2n - k - 1)/2 pairs; pairs sharing lines are taken off.
     """
-    touched = lambda n, k: (F.col(k).cast("decimal(38,0)") * (2 * F.col(n) - F.col(k) - 1) / 2).cast("bigint")
+    touched = lambda n, k: (
+        F.col(k).cast("decimal(19,0)") * (2 * F.col(n) - F.col(k) - 1).cast("decimal(19,0)") / 2).cast("decimal(38,0)")
     here = frags.groupBy("job_id", "language", "param_fp", "token_fp", "file").agg(F.count("*").alias("k"))
 
     def counts(key: list[str], name: str) -> DataFrame:
-        mine = here.groupBy(*key, "file").agg(F.sum("k").alias("k"))
-        size = mine.groupBy(*key).agg(F.sum("k").alias("n")).filter("n > 1")
+        # Both sides are written, so that a hot class can be split in the join.
+        mine = stage(here.groupBy(*key, "file").agg(F.sum("k").alias("k")), f"files-{name}")
+        size = stage(mine.groupBy(*key).agg(F.sum("k").alias("n")).filter("n > 1"), f"sizes-{name}")
         return mine.join(size, key).groupBy("job_id", "file").agg(F.sum(touched("n", "k")).alias(name))
 
     base = ["job_id", "language"]
@@ -175,49 +179,59 @@ def copy_links(frags: DataFrame) -> DataFrame:
     other pair follows: two members of one renaming class are a Type-1 pair when
     their token fingerprints agree and a Type-2 pair when they do not.
     """
-    side = F.struct(*_SIDE)
-    exact = frags.groupBy("job_id", "language", "param_fp", "token_fp").agg(
-        F.count("*").alias("n_members"), F.min_by(side, place()).alias("a"))
-    renamed = exact.groupBy("job_id", "language", "param_fp").agg(
+    cols = [c for c in _SIDE if c != "language"]
+    flat = [F.col(f"a.{c}").alias(f"{c}_a") for c in cols]
+    here = [f"{c}_a" for c in cols]
+    # Flat and written: a hot class meets its one row in a join of two scans.
+    exact = stage(frags.groupBy("job_id", "language", "param_fp", "token_fp").agg(
+        F.count("*").alias("n_members"), F.min_by(F.struct(*cols), place()).alias("a")).select(
+        "job_id", "language", "param_fp", "token_fp", "n_members", *flat), "exact-classes")
+    renamed = stage(exact.groupBy("job_id", "language", "param_fp").agg(
         F.count("*").alias("n_members"),
-        F.min_by("a", F.struct(*[F.col("a." + c) for c in PLACE])).alias("a"),
-    ).filter("n_members > 1")
-    type1 = frags.select("job_id", "language", "token_fp", side.alias("b")).join(
-        exact.filter("n_members > 1").select("job_id", "language", "token_fp", "a", "n_members"),
-        ["job_id", "language", "token_fp"],
-    ).select("job_id", "language", "a", "b", F.lit("Type-1").alias("clone_type"))
-    type2 = exact.select("job_id", "language", "param_fp", F.col("a").alias("b")).join(
-        renamed, ["job_id", "language", "param_fp"]
-    ).select("job_id", "language", "a", "b", F.lit("Type-2").alias("clone_type"))
-    return type1.unionByName(type2).filter("a.frag_id <> b.frag_id").select(
-        "job_id", "language", "clone_type",
-        *[F.col(f"a.{c}").alias(f"{c}_a") for c in _SIDE if c != "language"],
-        *[F.col(f"b.{c}").alias(f"{c}_b") for c in _SIDE if c != "language"],
-        X.overlaps("a.file", "a.start_line", "a.end_line", "b.file", "b.start_line", "b.end_line").alias("overlapping"),
+        F.min_by(F.struct(*[F.col(f"{c}_a").alias(c) for c in cols]), F.struct(*[f"{c}_a" for c in PLACE])).alias("a"),
+    ).filter("n_members > 1").select("job_id", "language", "param_fp", *flat), "renamed-classes")
+    type1 = frags.select("job_id", "language", "token_fp", *[F.col(c).alias(f"{c}_b") for c in cols]).join(
+        exact.filter("n_members > 1").select("job_id", "language", "token_fp", *here), ["job_id", "language", "token_fp"])
+    type2 = exact.select("job_id", "language", "param_fp", *[F.col(f"{c}_a").alias(f"{c}_b") for c in cols]).join(
+        renamed, ["job_id", "language", "param_fp"])
+    out = ["job_id", "language", *here, *[f"{c}_b" for c in cols]]
+    both = type1.select(*out, F.lit("Type-1").alias("clone_type")).unionByName(type2.select(*out, F.lit("Type-2").alias("clone_type")))
+    return both.filter("frag_id_a <> frag_id_b").select(
+        "job_id", "language", "clone_type", *here, *[f"{c}_b" for c in cols],
+        X.overlaps("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b").alias("overlapping"),
         F.lit(1.0).alias("similarity"),
     )
 
 
-def expand_pairs(frags: DataFrame, max_class: int = 10_000) -> DataFrame:
-    """Every Type-1 and Type-2 pair, for renaming classes of a checked size.
+# Members of a class, on one side, that one task pairs with as many on the other.
+BLOCK = 2000
+
+
+def salted(rows: DataFrame, own: str, size_own: str, size_other: str, here: str, there: str) -> DataFrame:
+    """Deal a side of a class join into blocks: a row's own block, and all blocks of the other side."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    return rows.withColumn(here, F.pmod(F.xxhash64(own), blocks(size_own)).cast("int")).withColumn(
+        there, F.explode(F.sequence(F.lit(0), blocks(size_other) - 1)))
+
+
+def expand_pairs(frags: DataFrame, max_class: int | None = None) -> DataFrame:
+    """Every Type-1 and Type-2 pair.
 
-    A class above ``max_class`` members fails the job and nothing is left out; use
-    the classes and totals for those. Members are spread over salts, so even the
-    largest permitted class is shared by several tasks.
+    The output is quadratic in a class. Both sides are dealt into blocks by the size of
+    the class, so that a task makes at most ``BLOCK`` squared pairs of a class at a time. With
+    ``max_class`` a larger class fails the job; nothing is ever left out.
     """
-    salts = 16
     sizes = frags.groupBy("job_id", "language", "param_fp").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.filter(require(
-        F.col("n") <= max_class,
-        f"a class has more than {max_class} members: use clone_classes and copy_pair_totals"))
+    if max_class is not None:
+        sizes = sizes.filter(require(
+            F.col("n") <= max_class,
+            f"a class has more than {max_class} members: use clone_classes and copy_pair_totals"))
+    sizes = stage(sizes, "class-sizes")
     rows = frags.select("job_id", "language", "param_fp", "token_fp", F.struct(*_SIDE).alias("f")).join(
         sizes.select("job_id", "language", "param_fp", "n"), ["job_id", "language", "param_fp"])
-    key = ["job_id", "language", "param_fp", "salt"]
-    wide = F.when(F.col("n") > 1000, F.lit(salts)).otherwise(F.lit(1))
-    a = rows.withColumn("salt", F.pmod(F.xxhash64("f.frag_id"), wide).cast("int")).select(
-        *key, F.col("f").alias("a"), F.col("token_fp").alias("fp_a"))
-    b = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), wide - 1))).select(
-        *key, F.col("f").alias("b"), F.col("token_fp").alias("fp_b"))
+    key = ["job_id", "language", "param_fp", "at_a", "at_b"]
+    a = salted(rows, "f.frag_id", "n", "n", "at_a", "at_b").select(*key, F.col("f").alias("a"), F.col("token_fp").alias("fp_a"))
+    b = salted(rows, "f.frag_id", "n", "n", "at_b", "at_a").select(*key, F.col("f").alias("b"), F.col("token_fp").alias("fp_b"))
     order = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in PLACE])
     disjoint = ~X.overlaps("a.file", "a.start_line", "a.end_line", "b.file", "b.start_line", "b.end_line")
     return a.join(b, key).filter((order("a") < order("b")) & disjoint).select(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from twinspan import constants as C
 from twinspan.functions import text as X
 from twinspan.functions.numeric import require
+from twinspan.operators.segment import once
+from twinspan.operators.store import stage
 
 
 def split_rank(split: str | Column) -> Column:
@@ -24,11 +25,12 @@ def validate_labeled(rows: DataFrame, strict: bool = False) -> tuple[DataFrame,
     said = F.lit(False)
     if "_corrupt_record" in rows.columns:
         said = F.col("_corrupt_record").isNotNull()
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"^\s*$")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(f"^[{C.SPACE_CLASS}]*$")
     marked = rows
     for s in "ab":
-        marked = marked.withColumn(f"fp_{s}", F.explode(F.array(X.fingerprint(X.tokens(F.coalesce(F.col(f"code_{s}"), F.lit("")))))))
-        marked = marked.withColumn(f"short_{s}", F.size(X.tokens(F.coalesce(F.col(f"code_{s}"), F.lit("")))) < C.MIN_TOKENS)
+        marked = once(marked, f"_toks_{s}", X.tokens(F.coalesce(F.col(f"code_{s}"), F.lit(""))))
+        marked = once(marked, f"fp_{s}", X.fingerprint(f"_toks_{s}"))
+        marked = marked.withColumn(f"short_{s}", F.size(f"_toks_{s}") < C.MIN_TOKENS).drop(f"_toks_{s}")
     bad_split = F.coalesce(~F.col("split").isin(*C.SPLITS), F.lit(True))
     bad_label = F.coalesce(~F.col("label").isin(0, 1), F.lit(True))
     reasons = F.array_compact(F.array(
@@ -41,6 +43,8 @@ def validate_labeled(rows: DataFrame, strict: bool = False) -> tuple[DataFrame,
     marked = marked.withColumn("reasons", F.explode(F.array(reasons))).drop("short_a", "short_b")
     if strict:
         marked = marked.filter(require(F.size("reasons") == 0, "invalid labelled pair"))
+    # Both results come from one pass over the code.
+    marked = stage(marked, "labeled")
     return marked.filter("size(reasons) = 0").drop("reasons"), marked.filter("size(reasons) > 0")
 
 
@@ -109,39 +113,57 @@ def dedupe_pairs(pairs: DataFrame, keep: str = "last", ordinal: str = "ordinal")
 def first_owner(functions: DataFrame, fp: str = "fp") -> DataFrame:
     """Keep a token sequence in the first split that has it; same-split repeats stay.
 
-    The owner is an aggregate per fingerprint, joined back, so a sequence repeated
-    millions of times never gathers in one task.
+    The owner is an aggregate per fingerprint, written and joined back: both sides of the
+    join are scans, so adaptive execution can split a sequence repeated millions of times.
     """
-    owner = functions.groupBy(fp).agg(F.min(split_rank("split")).alias("owner"))
+    owner = stage(functions.groupBy(fp).agg(F.min(split_rank("split")).alias("owner")), "owners")
     return functions.join(owner, fp).withColumn("kept", split_rank("split") == F.col("owner")).drop("owner")
 
 
 def sample_functions(occurrences: DataFrame, limits: dict[str, int], seed: int) -> DataFrame:
     """Label-blind sample of distinct ids per split; 0 takes all.
 
-    The draw is the lowest hashes of (id, seed). A threshold hash is found per split
-    from partial top-n lists, so no split is sorted in one task.
+    The draw is the lowest hashes of (id, seed). Counts per leading bits of the hash tell
+    which of 65,536 cells are taken whole; only the one cell in which a split's limit falls
+    is sorted.
     """
-    ids = occurrences.select("split", "id").distinct().withColumn(
-        "draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))))
-    parts = []
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    ids = occurrences.select("split", "id").distinct().withColumn("draw", draw).withColumn(
+        "cell", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int"))
+    ids = stage(ids.filter(F.col("split").isin(*limits)), "draws")
+    # At most 65,536 rows per split come to the driver.
+    sizes: dict[str, dict[int, int]] = {s: {} for s in limits}
+    for r in ids.groupBy("split", "cell").count().collect():
+        sizes[r["split"]][r["cell"]] = r["count"]
+    out = ids.limit(0)
     for split, n in limits.items():
         mine = ids.filter(F.col("split") == split)
-        parts.append(mine if not n else mine.orderBy("draw", "id").limit(n))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("draw")
-
-
-def induced_pairs(pairs: DataFrame, selected: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Pairs whose two ends are selected in the split and eligible; the last of each
-    unordered pair, no pair of an id with itself."""
+        left, last = n, -1
+        for cell in sorted(sizes[split]):
+            if sizes[split][cell] > left:
+                last = cell
+                break
+            left -= sizes[split][cell]
+        if not n or last < 0:
+            out = out.unionByName(mine)
+            continue
+        rest = mine.filter(F.col("cell") == last).orderBy("draw", "id").limit(left)
+        out = out.unionByName(mine.filter(F.col("cell") < last)).unionByName(rest)
+    return out.drop("draw", "cell")
+
+
+def induced_rows(pairs: DataFrame, selected: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Pairs whose two ends are selected in the split and eligible, repeats kept, no pair of an id with itself."""
     ids = selected.select("split", "id").join(eligible.select("id"), "id", "left_semi")
     kept = pairs.filter("a_id <> b_id")
     for s in "ab":
         kept = kept.join(ids.select("split", F.col("id").alias(f"{s}_id")), ["split", f"{s}_id"], "left_semi")
-    return dedupe_pairs(kept, "last")
+    return kept
+
+
+def induced_pairs(pairs: DataFrame, selected: DataFrame, eligible: DataFrame) -> DataFrame:
+    """The last of each unordered pair among ``induced_rows``."""
+    return dedupe_pairs(induced_rows(pairs, selected, eligible), "last")
 
 
 def label_join(frags: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -150,12 +172,3 @@ def label_join(frags: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
-
-
-def pair_up(df: DataFrame, key: str, *carry: str, width: int = 64) -> DataFrame:
-    """Pair every row with the next one by integer ``key`` inside ranges of ``width`` keys."""
-    w = Window.partitionBy(F.floor(F.col(key) / width)).orderBy(key)
-    out = df.select(key, *carry)
-    for c in (key, *carry):
-        out = out.withColumn(f"{c}_b", F.lead(c).over(w))
-    return out.filter(F.col(f"{key}_b").isNotNull()).withColumnsRenamed({c: f"{c}_a" for c in (key, *carry)})

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from twinspan import constants as C
 from twinspan.functions import text as X
 from twinspan.functions.matching import SLACK, bag_udf, bound_udf, near_miss_udf, signature_udf
-from twinspan.operators.copies import PLACE, overlapping_fragments, place
+from twinspan.functions.numeric import require
+from twinspan.operators.copies import PLACE, overlapping_fragments, place, salted
 from twinspan.operators.segment import once
 from twinspan.operators.store import stage
 
@@ -204,7 +205,14 @@ def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
     for none are dropped.
     """
     distinct = stage(contents(frags), "contents")
-    pairs = near_miss_contents(distinct, tau(threshold))
+    return fragment_counts(near_miss_contents(distinct, tau(threshold)), frags)
+
+
+def fragment_counts(pairs: DataFrame, frags: DataFrame) -> DataFrame:
+    """Order the sides of verified content pairs and count the fragment pairs behind each.
+
+    ``frags`` holds all fragments of the paired contents.
+    """
     spot = lambda s: F.struct(*[F.col(f"rep_{s}.{c}") for c in PLACE])
     swap = spot("a") > spot("b")
     names = ("near_fp", "n_members", "rep")
@@ -224,7 +232,9 @@ def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) ->
         pairs.withColumn("lo", F.least("near_fp_a", "near_fp_b"))
         .withColumn("hi", F.greatest("near_fp_a", "near_fp_b"))
         .join(inside, [*KEY, "lo", "hi"], "left")
-        .withColumn("n_pairs", F.col("n_members_a") * F.col("n_members_b") - F.coalesce("overlapping", F.lit(0)))
+        .withColumn("n_pairs", (
+            F.col("n_members_a").cast("decimal(19,0)") * F.col("n_members_b").cast("decimal(19,0)")
+            - F.coalesce("overlapping", F.lit(0))).cast("decimal(38,0)"))
         .filter("n_pairs > 0")
         .drop("lo", "hi", "overlapping")
     )
@@ -254,16 +264,26 @@ def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFram
     )
 
 
-def expand_near(near: DataFrame, frags: DataFrame, max_class: int = 10_000) -> DataFrame:
-    """Every fragment pair behind the near-miss rows, for classes of a checked size."""
-    from twinspan.functions.numeric import require
+def expand_near(near: DataFrame, frags: DataFrame, max_class: int | None = None) -> DataFrame:
+    """Every fragment pair behind the near-miss rows.
 
-    small = (F.col("n_members_a") <= max_class) & (F.col("n_members_b") <= max_class)
-    rows = near.filter(require(small, f"a class has more than {max_class} members: use the near-miss rows"))
+    The members of both contents meet in blocks of fixed size, as copies do. With
+    ``max_class`` a larger class fails the job; nothing is ever left out.
+    """
+    rows = near
+    if max_class is not None:
+        small = (F.col("n_members_a") <= max_class) & (F.col("n_members_b") <= max_class)
+        rows = rows.filter(require(small, f"a class has more than {max_class} members: use the near-miss rows"))
     cols = ("frag_id", "file", *PLACE)
-    member = lambda s: frags.select(*KEY, F.col("near_fp").alias(f"near_fp_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    met = rows.select(*KEY, "near_fp_a", "near_fp_b", "similarity").join(member("a"), [*KEY, "near_fp_a"]).join(
-        member("b"), [*KEY, "near_fp_b"])
+    pair = [*KEY, "near_fp_a", "near_fp_b", "n_members_a", "n_members_b", "similarity"]
+
+    def member(s: str, o: str) -> DataFrame:
+        side = frags.select(*KEY, F.col("near_fp").alias(f"near_fp_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+        return salted(
+            rows.select(*pair).join(side, [*KEY, f"near_fp_{s}"]), f"frag_id_{s}", f"n_members_{s}", f"n_members_{o}", f"at_{s}", f"at_{o}")
+
+    met = member("a", "b").join(
+        member("b", "a").drop("n_members_a", "n_members_b", "similarity"), [*KEY, "near_fp_a", "near_fp_b", "at_a", "at_b"])
     met = met.filter(~X.overlaps("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b"))
     swap = F.struct(*[F.col(f"{c}_a") for c in PLACE]) > F.struct(*[F.col(f"{c}_b") for c in PLACE])
     pick = lambda c, s, o: F.when(swap, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")

@@ -33,13 +33,14 @@ def _cut(lines: Column, start: Column, end: Column) -> Column:
     part = F.slice(lines, start, end - start + 1)
     return X.let(
         part,
-        lambda v: F.when(F.element_at(v, -1) == "", F.slice(v, 1, F.size(v) - 1)).otherwise(v),
+        lambda v: F.when(F.try_element_at(v, F.lit(-1)) == "", F.slice(v, 1, F.size(v) - 1)).otherwise(v),
     )
 
 
 def dedupe_spans(spans: DataFrame) -> DataFrame:
-    """One span per (file, start, end); the first by name order wins."""
-    return spans.groupBy(*FILE_KEY, "start_line", "end_line").agg(F.min("name").alias("name"))
+    """One span per (file, start, end): the first by ``ordinal`` where the spans have one, else by name."""
+    name = F.min_by("name", F.struct("ordinal", "name")) if "ordinal" in spans.columns else F.min("name")
+    return spans.groupBy(*FILE_KEY, "start_line", "end_line").agg(name.alias("name"))
 
 
 def attach_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -156,7 +157,8 @@ def with_tokens(frags: DataFrame, python_lexer: bool = True) -> DataFrame:
         return once(frags, "tokens", X.tokens("code"))
     from twinspan.functions.python_tokens import python_tokens
 
-    lexed = F.when(F.col("language") == "python", python_tokens("code"))
+    # The condition is the argument: a guard around the call would not keep other code out of it.
+    lexed = python_tokens(F.when(F.col("language") == "python", F.col("code")))
     return once(
         frags.withColumn("_lexed", lexed), "tokens", F.coalesce("_lexed", X.tokens("code"))
     ).drop("_lexed")
@@ -182,10 +184,9 @@ def fragment_guard(frags: DataFrame, max_per_job: int | None) -> DataFrame:
         return frags
     from twinspan.functions.numeric import require
 
-    sizes = frags.groupBy("job_id").agg(F.count("*").alias("n")).filter(
-        require(F.col("n") <= max_per_job, f"a job has more than {max_per_job} fragments")
-    )
-    return frags.join(sizes.select("job_id"), "job_id", "left_semi")
+    # One figure for the whole table; the fragments themselves don't move.
+    largest = frags.groupBy("job_id").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    return frags.filter(require(F.coalesce(largest, F.lit(0)) <= max_per_job, f"a job has more than {max_per_job} fragments"))
 
 
 def fragment_totals(frags_with_tokens: DataFrame) -> DataFrame:
@@ -197,14 +198,14 @@ def fragment_totals(frags_with_tokens: DataFrame) -> DataFrame:
 
 
 def split_encodable(
-    frags: DataFrame, max_tokens: int = C.MAX_MODEL_TOKENS, max_chars: int = C.MAX_CODE_CHARS
+    frags: DataFrame, max_tokens: int | None = None, max_chars: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(usable, exclusions with reason). Nothing is truncated."""
-    reason = (
-        F.when(F.length("code") < 1, "empty code")
-        .when(F.length("code") > max_chars, f"more than {max_chars} characters")
-        .when(F.size("tokens") > max_tokens, f"more than {max_tokens} tokens")
-    )
+    """(usable, exclusions with reason). Nothing is truncated; no limit unless one is given."""
+    reason = F.when(F.length("code") < 1, "empty code")
+    if max_chars is not None:
+        reason = reason.when(F.length("code") > max_chars, f"more than {max_chars} characters")
+    if max_tokens is not None:
+        reason = reason.when(F.size("tokens") > max_tokens, f"more than {max_tokens} tokens")
     marked = frags.withColumn("reason", reason)
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
@@ -223,7 +224,7 @@ def indent_blocks(lines: DataFrame, head: str = PYTHON_HEAD, decorator: str = r"
     line is the next row of the same level: no join of heads with lines.
     """
     w = Window.partitionBy(*FILE_KEY).orderBy("n")
-    blank = ~F.rlike("text", F.lit(r"\S"))
+    blank = ~F.rlike("text", F.lit("[^" + C.SPACE_CLASS + "]"))
     rows = (
         lines.filter(~blank)
         .withColumn("indent", F.length(F.regexp_extract(F.regexp_replace("text", "\t", "        "), "^( *)", 1)))
@@ -287,11 +288,13 @@ def brace_blocks(lines: DataFrame, head: str = BRACE_HEAD) -> DataFrame:
     ``lines`` should come from masked code. The body opens at the first brace at or
     after the head and ends at the first line back at the depth of the head.
     """
-    after = Window.partitionBy(*FILE_KEY).orderBy("n").rowsBetween(0, Window.unboundedFollowing)
+    # "The next one" is the last one seen from the end: a frame that only grows is kept up
+    # row by row, one that reaches to the end would be read anew for each row.
+    after = Window.partitionBy(*FILE_KEY).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     rows = (
         brace_depth(lines)
         .withColumn("is_head", F.rlike("text", F.lit(head)))
-        .withColumn("opened", F.first(F.when(F.col("opens") > 0, F.col("n")), ignorenulls=True).over(after))
+        .withColumn("opened", F.last(F.when(F.col("opens") > 0, F.col("n")), ignorenulls=True).over(after))
     )
     heads = rows.filter("is_head AND opened IS NOT NULL").select(
         *FILE_KEY, F.col("depth_before").alias("level"), F.col("opened").alias("at"),
@@ -305,10 +308,10 @@ def brace_blocks(lines: DataFrame, head: str = BRACE_HEAD) -> DataFrame:
         .select(*FILE_KEY, "level", F.col("n").alias("at"), F.lit(None).cast("int").alias("start_line"),
                 F.lit("").alias("name"), F.lit(1).alias("kind"))
     )
-    w = Window.partitionBy(*FILE_KEY, "level").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*FILE_KEY, "level").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         heads.unionByName(closers)
-        .withColumn("end_line", F.first(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(w))
+        .withColumn("end_line", F.last(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(w))
         .filter("kind = 0 AND end_line IS NOT NULL")
         .select(*FILE_KEY, "start_line", "end_line", "name")
     )

@@ -276,13 +276,22 @@ def hash_features(df: DataFrame, key: str, text: str, dim: int = C.FEATURE_DIM)
     Type-4 pair.
     """
     classes = once(df.select(F.col(key).alias("id"), F.col(text).alias("t")), "c", X.structural_class(X.word_tokens_lower("t")))
-    features = classes.select("id", F.explode(F.concat("c", X.bigrams("c"))).alias("f"))
-    digest = F.md5(F.col("f").cast("binary"))
-    index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-    sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    # Count equal features first: far fewer rows are hashed and summed.
-    counts = features.groupBy("id", "f").agg(F.count("*").alias("n")).select(
-        "id", index.alias("index"), (sign * F.col("n")).alias("v"))
-    sparse = counts.groupBy("id", "index").agg(F.sum("v").alias("v")).filter("v <> 0")
-    length = sparse.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return sparse.join(length, "id").select(F.col("id").alias(key), "index", (F.col("v") / F.col("norm")).alias("value"))
+
+    def signed(f: Column) -> Column:
+        digest = F.md5(f.cast("binary"))
+        odd = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1
+        return F.struct(
+            (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).alias("index"),
+            F.when(odd, F.lit(1)).otherwise(F.lit(-1)).cast("bigint").alias("v"))
+
+    # Sorted by index, the features of one index are neighbours; at most ``dim`` sums are kept.
+    marks = once(classes.select("id", F.concat("c", X.bigrams("c")).alias("f")), "m", F.sort_array(F.transform("f", signed)))
+    sums = F.expr("""
+        aggregate(m, named_struct('at', CAST(-1 AS BIGINT), 'v', CAST(0 AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<index: BIGINT, v: BIGINT>>)),
+          (a, x) -> IF(x.index = a.at, named_struct('at', a.at, 'v', a.v + x.v, 'out', a.out),
+                       named_struct('at', x.index, 'v', x.v, 'out', IF(a.v = 0, a.out, concat(a.out, array(named_struct('index', a.at, 'v', a.v)))))),
+          a -> IF(a.v = 0, a.out, concat(a.out, array(named_struct('index', a.at, 'v', a.v)))))""")
+    sparse = once(marks.select("id", "m"), "s", sums)
+    length = F.sqrt(F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["v"] * x["v"]).cast("double"))
+    rows = sparse.select("id", length.alias("norm"), F.explode("s").alias("e"))
+    return rows.select(F.col("id").alias(key), F.col("e.index").alias("index"), (F.col("e.v") / F.col("norm")).alias("value"))

@@ -42,16 +42,17 @@ class Detection:
         ``n_pairs`` 0, since the two are not a pair.
         """
         copies = K.copy_links(self.fragments).withColumn(
-            "n_pairs", F.when(F.col("overlapping"), 0).otherwise(1).cast("bigint"))
+            "n_pairs", F.when(F.col("overlapping"), 0).otherwise(1).cast("decimal(38,0)"))
         near = self.near.select(
             "job_id", "language", F.lit("Type-3").alias("clone_type"), "similarity", "n_pairs",
             *[F.col(f"rep_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("frag_id", "file", "file_ord", "start_line", "end_line")])
         return report(copies.select(PAIR_COLUMNS).unionByName(near.select(PAIR_COLUMNS)), self.fragments)
 
-    def pairs(self, max_class: int = 10_000) -> DataFrame:
-        """Every pair of Types 1 to 3 in report shape, for classes of a checked size."""
-        copies = K.expand_pairs(self.fragments, max_class).withColumn("n_pairs", F.lit(1).cast("bigint"))
-        near = M.expand_near(self.near, self.fragments, max_class).withColumn("n_pairs", F.lit(1).cast("bigint"))
+    def pairs(self, max_class: int | None = None) -> DataFrame:
+        """Every pair of Types 1 to 3 in report shape; ``max_class`` fails the job on a larger class."""
+        one = F.lit(1).cast("decimal(38,0)")
+        copies = K.expand_pairs(self.fragments, max_class).withColumn("n_pairs", one)
+        near = M.expand_near(self.near, self.fragments, max_class).withColumn("n_pairs", one)
         return report(copies.select(PAIR_COLUMNS).unionByName(near.select(PAIR_COLUMNS)), self.fragments)
 
     def totals(self) -> DataFrame:
@@ -69,10 +70,12 @@ class Detection:
 def report(pairs: DataFrame, frags: DataFrame) -> DataFrame:
     """Attach token similarity and the description.
 
-    Only the token lists of paired fragments are fetched; Type-1 needs none.
+    Only the token lists of paired fragments move; Type-1 needs none.
     """
     typed1 = pairs.filter("clone_type = 'Type-1'").withColumn("token_sim", F.lit(1.0))
     rest = pairs.filter("clone_type <> 'Type-1'")
+    ends = rest.select("job_id", F.explode(F.array("frag_id_a", "frag_id_b")).alias("frag_id")).distinct()
+    frags = frags.select("job_id", "frag_id", "tokens").join(ends, ["job_id", "frag_id"], "left_semi")
     side = lambda s: frags.select("job_id", F.col("frag_id").alias(f"frag_id_{s}"), F.col("tokens").alias(f"tokens_{s}"))
     scored = rest.join(side("a"), ["job_id", "frag_id_a"]).join(side("b"), ["job_id", "frag_id_b"])
     scored = scored.withColumn("token_sim", round6(sequence_ratio("tokens_a", "tokens_b"))).drop("tokens_a", "tokens_b")

@@ -39,18 +39,29 @@ def audit_archive(functions: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def prepare_archive(
     functions: DataFrame, pairs: DataFrame, limits: dict[str, int], seed: int, language: str = "java",
+    max_tokens: int | None = None, max_chars: int | None = None,
 ) -> Prepared:
-    """Audit, sample without looking at labels, drop cross-split duplicates and code that
-    cannot be encoded, and keep the pairs among what is left."""
+    """Audit, sample without looking at labels, drop cross-split duplicates, and keep the
+    pairs among what is left.
+
+    ``max_tokens`` and ``max_chars`` are the limits of the encoder to be used, if it has any;
+    code beyond them is listed as excluded. Contradictory labels among the kept pairs, and a
+    split that has lost a label or all its pairs, fail the job.
+    """
     audit = stage(audit_archive(functions, pairs), "audit")
     sample = L.sample_functions(L.endpoints(pairs), limits, seed)
     code = sample.join(functions, "id").withColumn("language", F.lit(language))
     code = stage(G.with_tokens(code).withColumn("fp", X.fingerprint("tokens")), "sampled")
     owned = L.first_owner(code)
-    usable, excluded = G.split_encodable(owned.filter("kept"))
-    kept = stage(L.induced_pairs(pairs, usable.select("split", "id"), usable.select("id")), "induced")
-    bad = F.coalesce(L.contradictory_pairs(pairs).agg(F.count("*")).scalar(), F.lit(0))
-    kept = kept.filter(require(bad == 0, "contradictory labels for the same unordered pair"))
+    usable, excluded = G.split_encodable(owned.filter("kept"), max_tokens, max_chars)
+    rows = stage(L.induced_rows(pairs, usable.select("split", "id"), usable.select("id")), "induced")
+    bad = F.coalesce(L.contradictory_pairs(rows).agg(F.count("*")).scalar(), F.lit(0))
+    complete = L.missing_labels(rows).agg(F.count_if(F.size("missing") == 0)).scalar()
+    splits = audit.agg(F.count("*")).scalar()
+    # The checks stand on the audit's rows too: there may be no pair left to carry them.
+    sound = require(bad == 0, "contradictory labels for the same unordered pair") & require(
+        F.coalesce(complete, F.lit(0)) == splits, "a split has lost a label or all its pairs")
+    audit, kept = audit.filter(sound), L.dedupe_pairs(rows, "last").filter(sound)
     return Prepared(
         audit, usable.select("split", "id"),
         owned.filter("NOT kept").select("split", "id", F.lit("duplicate token sequence across splits").alias("reason")),

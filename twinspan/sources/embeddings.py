@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.functions.numeric import require, valid_vector
+from twinspan.operators.segment import once
+from twinspan.operators.store import stage
 
 
 def code_key(code: str = "code"):
@@ -37,10 +39,12 @@ def embed_with_cache(
     """(fragments with vectors, rows to add to the cache).
 
     ``provider`` maps (key, code, language) rows to (key, vector) rows, for instance by
-    an iterator UDF that loads its model once per worker. Bad vectors fail the job.
+    an iterator UDF that loads its model once per worker. Each missing code is embedded once:
+    its vector is bound before it is checked, and written before it is used. Bad vectors
+    fail the job.
     """
     known = valid_cache(cache, dim, ttl_seconds).select("key", "vector")
-    fresh = provider(cache_misses(frags, known)).select("key", "vector").filter(
-        require(valid_vector("vector", dim), "the model returned an invalid vector"))
+    given = once(provider(cache_misses(frags, known)), "_vector", F.col("vector")).select("key", F.col("_vector").alias("vector"))
+    fresh = stage(given.filter(require(valid_vector("vector", dim), "the model returned an invalid vector")), "vectors")
     both = known.unionByName(fresh)
     return frags.withColumn("key", code_key()).join(both, "key"), fresh.withColumn("stored_at", F.current_timestamp())

@@ -23,7 +23,7 @@ def read_functions(spark: SparkSession, folder: str) -> DataFrame:
     """(id, code) of the extracted archive; duplicate ids and empty code are errors."""
     rows = spark.read.schema("idx STRING, func STRING").json(f"{folder}/dataset/data.jsonl")
     unique = rows.groupBy("idx").agg(F.count("*").alias("n"), F.min("func").alias("code"))
-    ok = (F.col("n") == 1) & F.col("code").isNotNull() & F.col("code").rlike(r"\S")
+    ok = (F.col("n") == 1) & F.col("code").isNotNull() & F.col("code").rlike(f"[^{C.SPACE_CLASS}]")
     return unique.filter(require(ok, "duplicate function id or empty code")).select(F.col("idx").alias("id"), "code")
 
 
