@@ -32,7 +32,7 @@ def test_intake_equals_batch(spark, tmp_path):
 
 def test_windows_of_one_file_that_share_lines_are_no_near_miss(spark, tmp_path):
     """140 lines give the windows 1-80 and 61-140; an empty first batch fixes no element order."""
-    long = "\n".join(f"total = total + value{i} * {i};" for i in range(140))
+    long = "\n".join(["total = total + value * 2;"] * 9 + ["if (total > 5) { total = 0; }"] + ["total = total + value * 2;"] * 130)
     src = str(tmp_path / "in")
     for row in (("j", "empty.c", 0, "c", ""), ("j", "long.c", 1, "c", long), ("j", "again.c", 2, "c", long.replace("total", "sum"))):
         spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(src)
