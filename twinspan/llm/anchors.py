@@ -46,6 +46,14 @@ class Unit:
             return word_hashes(data, offsets)
         return BYTE_VALUES[data], offsets
 
+    def packed(self, grams: np.ndarray) -> np.ndarray:
+        """What the least of is a window's anchor: the gram's hash, then its place; the first of equal grams."""
+        return (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+
+    def least(self, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The place of the anchor in each row of places."""
+        return (self.packed(grams)[places].min(axis=1) & _PLACE).astype(np.int64)
+
     def content(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What a solver gets for each symbol: a word's hash, or the byte itself."""
         if self.words:
@@ -66,8 +74,7 @@ def regions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.nda
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     sums = prefix(values)
     grams = span_hash(sums, slice(0, n - gram + 1), slice(gram, n + 1))
-    places = np.arange(len(grams), dtype=np.uint64)
-    choice = sliding_min((grams & ~_PLACE) | places, length - gram + 1)
+    choice = sliding_min(unit.packed(grams), length - gram + 1)
     rows = np.flatnonzero(sizes >= length)
     counts = sizes[rows] - length + 1
     windows = ranges(offsets[rows], counts)

@@ -24,11 +24,12 @@ from twinspan.llm.symbols import BYTE_VALUES, prefix, ranges, span_hash
 
 LENGTH = 400
 GRAM = 16
+UNIT = Unit(False, LENGTH, GRAM)
 #: Bytes of a trigger, and one in how many places is one.
 TRIGGER = 8
 TRIGGER_RATE = 24
 #: Content bytes of the small anchors that are sorted together.
-BATCH = 2_000_000
+BATCH = 500_000
 
 
 def _names(pairs: np.ndarray) -> np.ndarray:
@@ -36,19 +37,28 @@ def _names(pairs: np.ndarray) -> np.ndarray:
     return np.unique(pairs, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
 
 
-def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+#: Symbols of nine bits that fit one 64-bit number.
+PACKED = 7
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, longest: int, small: bool = False) -> np.ndarray:
     """Rank of each place's suffix, up to its string's end; equal suffixes rank alike.
 
     ``symbols`` are positive, ``ends`` has each place's end. Ranks double their reach until
-    they cover ``longest`` symbols; behind an end comes 0, which sorts first.
+    they cover ``longest`` symbols; behind an end comes 0, which sorts first. Symbols under
+    512 (``small``) are compared seven at a time to begin with.
     """
-    rank = _names(symbols.astype(np.uint64))
-    places = np.arange(len(symbols))
-    reach = 1
+    n, places = len(symbols), np.arange(len(symbols))
+    key, reach = symbols.astype(np.uint64), 1
+    if small:
+        first, reach = key, PACKED
+        key = first << np.uint64(9 * (PACKED - 1))
+        for k in range(1, min(PACKED, n)):
+            key[: n - k] |= np.where(places[k:] < ends[: n - k], first[k:], np.uint64(0)) << np.uint64(9 * (PACKED - 1 - k))
+    rank = _names(key)
     while reach < longest:
         ahead = places + reach
-        inside = ahead < ends
-        next_rank = np.where(inside, rank[np.minimum(ahead, len(rank) - 1)], np.uint64(0))
+        next_rank = np.where(ahead < ends, rank[np.minimum(ahead, n - 1)], np.uint64(0))
         rank = _names((rank << np.uint64(32)) | next_rank)
         reach *= 2
     return rank
@@ -83,7 +93,7 @@ class Parsing:
         symbols = np.zeros(int(full.sum()), np.int64)
         symbols[ranges(at, size)] = data[ranges(self.starts[first], size)].astype(np.int64) + 2
         symbols[(at + size)[closing]] = 1
-        dictionary = suffix_ranks(symbols, np.repeat(at + full, full), int(full.max(initial=1)))
+        dictionary = suffix_ranks(symbols, np.repeat(at + full, full), int(full.max(initial=1)), small=True)
         # The parse: phrase ranks, and the order of its suffixes within each string.
         order = dictionary[at][phrase]
         parse_end = np.searchsorted(self.starts, string_end)
@@ -120,16 +130,38 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     return row[hit], places[hit] - offsets[row[hit]]
 
 
+def may_match(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> np.ndarray:
+    """True for regions that share the half window before or behind their anchor with another.
+
+    A window holds its anchor, so at least half of what else it holds lies on one side of it.
+    Regions share a window only if they share that half.
+    """
+    half = (unit.window - unit.gram) // 2
+    sums = prefix(BYTE_VALUES[data])
+    grams = span_hash(sums, slice(0, len(data) - unit.gram + 1), slice(unit.gram, len(data) + 1))
+    # The first window of a region names the anchor, as when the region was cut.
+    choice = unit.least(grams, ranges(offsets[:-1], np.full(len(offsets) - 1, unit.window - unit.gram + 1)).reshape(-1, unit.window - unit.gram + 1))
+    out = np.zeros(len(offsets) - 1, bool)
+    for begin in (choice - half, choice + unit.gram):
+        inside = np.flatnonzero((begin >= offsets[:-1]) & (begin + half <= offsets[1:]))
+        _, names, times = np.unique(span_hash(sums, begin[inside], begin[inside] + half), return_inverse=True, return_counts=True)
+        out[inside[times[names] > 1]] = True
+    return out
+
+
 def _solver(references: list[Region]):
     def probe(probes: list[Region]) -> Iterator[tuple[int, int, int]]:
         known = {id(r) for r in probes}
         regions = probes + [r for r in references if id(r) not in known]
         offsets = np.append(0, np.cumsum([len(r.content) for r in regions]))
         data = np.frombuffer(b"".join(r.content for r in regions), np.uint8)
-        row, at = repeated_starts(data, offsets, LENGTH)
         # Regions that stand in the corpus again as they are need no answer.
-        once = np.array([r.n == 1 for r in regions])
-        asked = (row < len(probes)) & once[row]
+        once = np.array([k < len(probes) and r.n == 1 for k, r in enumerate(regions)])
+        kept = np.flatnonzero(may_match(data, offsets, UNIT))
+        sizes = np.diff(offsets)[kept]
+        row, at = repeated_starts(data[ranges(offsets[kept], sizes)], np.append(0, np.cumsum(sizes)), LENGTH)
+        row = kept[row]
+        asked = once[row]
         row, at = row[asked], at[asked]
         yield from zip(*(x.tolist() for x in merged(row, at, at + LENGTH)), strict=True)
 
@@ -138,10 +170,9 @@ def _solver(references: list[Region]):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, key, spans: bytes of each row that a string of 400 bytes found elsewhere covers."""
-    unit = Unit(False, LENGTH, GRAM)
-    found = find_repeats(docs, unit, "strings")
+    found = find_repeats(docs, UNIT, "strings")
     copied = found.copies.select("doc", "key", "start", (F.col("start") + F.col("n_windows") + LENGTH - 1).alias("end"))
-    compared = solve(region_contents(docs, found.mixed, unit), _solver, BATCH, "strings")
+    compared = solve(region_contents(docs, found.mixed, UNIT), _solver, BATCH, "strings")
     return covered(copied.unionAll(compared))
 
 
