@@ -125,3 +125,14 @@ def test_delete_job_respects_the_owner(spark):
     assert mine["jobs"].count() == 1 and mine["files"].first().file == "b"
     other = R.delete_job({"jobs": jobs, "files": files}, 1, 20)
     assert other["jobs"].count() == 2 and other["files"].count() == 2
+
+
+def test_staged_tables_are_released(spark):
+    from twinspan.operators.store import release, stage, staged
+
+    mark = staged()
+    df = stage(spark.range(10), "ten")
+    assert df.count() == 10 and staged() == mark + 1
+    assert release(spark, mark) == 1 and staged() == mark
+    with pytest.raises(Exception, match="(?i)not exist|not_exist|not found"):
+        df.count()

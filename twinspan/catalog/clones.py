@@ -137,7 +137,28 @@ def register(r: B.Registry) -> None:
         b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("toks").alias("b"))
         return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(sequence_ratio("a", "b"), 6).alias("token_sim"))
 
-    r.add("sequence_ratio", ratios)
+    # Longest run first, earliest in the first side, then in the second; then what lies before and behind it.
+    r.add("sequence_ratio", ratios, f"""
+        WITH RECURSIVE tok AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, {B.pattern(C.TOKEN_PATTERN_PLAIN)}),
+                                 lambda t: NOT starts_with(t, '//') AND NOT starts_with(t, '/*')) AS toks FROM conversations),
+        pr AS (SELECT x.conv_id, x.turn, x.toks AS a, y.toks AS b FROM tok x JOIN tok y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+        ea AS (SELECT conv_id, turn, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM pr),
+        eb AS (SELECT conv_id, turn, unnest(b) AS t, generate_subscripts(b, 1) AS j FROM pr),
+        hit AS (SELECT conv_id, turn, i, j FROM ea JOIN eb USING (conv_id, turn, t)),
+        run AS (SELECT conv_id, turn, i, j, row_number() OVER (PARTITION BY conv_id, turn, j - i ORDER BY i) - i AS g FROM hit),
+        runs AS MATERIALIZED (SELECT conv_id, turn, min(i) AS i, min(j) AS j, count(*) AS n FROM run GROUP BY conv_id, turn, j - i, g),
+        seg AS (
+          SELECT conv_id, turn, 1 AS a0, len(a) + 1 AS a1, 1 AS b0, len(b) + 1 AS b1, 0 AS got FROM pr
+          UNION ALL
+          SELECT conv_id, turn, CASE side WHEN 0 THEN a0 ELSE best.x + best.n END, CASE side WHEN 0 THEN best.x ELSE a1 END,
+                 CASE side WHEN 0 THEN b0 ELSE best.y + best.n END, CASE side WHEN 0 THEN best.y ELSE b1 END, CASE side WHEN 0 THEN best.n ELSE 0 END
+          FROM (SELECT conv_id, turn, a0, a1, b0, b1, arg_max({{'x': x, 'y': y, 'n': n}}, (n, -x, -y)) AS best
+                FROM (SELECT s.*, r.i + k AS x, r.j + k AS y, least(r.n - k, a1 - r.i - k, b1 - r.j - k) AS n
+                      FROM (SELECT s.conv_id, s.turn, a0, a1, b0, b1 FROM seg s) s JOIN runs r ON r.conv_id = s.conv_id AND r.turn = s.turn,
+                           LATERAL (SELECT greatest(a0 - r.i, b0 - r.j, 0) AS k) o) c
+                WHERE n > 0 GROUP BY ALL) m, (VALUES (0), (1)) v(side))
+        SELECT p.conv_id, p.turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(2 * got / (len(a) + len(b)), 6) END AS token_sim
+        FROM pr p JOIN (SELECT conv_id, turn, sum(got) AS got FROM seg GROUP BY ALL) g USING (conv_id, turn)""")
 
     r.add("detect", lambda spark, sf: B.counts(detect(B.files(spark, sf, True), python_lexer=False).links(), "n_pairs").select(
         "job_id", "clone_type", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b",

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from twinspan.session import checkpoint_dir
 
 
+#: Folders written by this process and not released yet, per checkpoint folder.
+_written: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -17,5 +21,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged() -> int:
+    """A mark to release later tables from."""
+    return len(_written)
+
+
+def release(spark: SparkSession, mark: int = 0) -> int:
+    """Delete the tables staged since ``mark``, once nothing reads them any more.
+
+    Results are lazy and read staged tables: write or collect them first. Returns how many
+    folders are gone.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while len(_written) > mark:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone
