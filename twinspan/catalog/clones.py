@@ -97,6 +97,15 @@ def register(r: B.Registry) -> None:
 
     r.add("near_miss_join", near)
 
+    # All documents as one job.
+    def near_over_all(spark, sf):
+        f = stage(B.prints(spark, sf).drop("tokens", "params", "code"), "prints")
+        return M.near_miss_join(f).select(
+            "language", F.col("rep_a.frag_id").alias("frag_id_a"), F.col("rep_b.frag_id").alias("frag_id_b"),
+            F.round("similarity", 6).alias("similarity"), F.col("n_pairs").cast("bigint").alias("n_pairs"))
+
+    r.add("near_miss_join_one_job", near_over_all)
+
     def bags(spark, sf):
         d = B.spread_table(spark, sf, "documents").select("doc_id", X.tokens("text").alias("toks"))
         return M.bag_overlap_join(d, "doc_id", "toks", 0.8).select("doc_id_a", "doc_id_b", "shared", F.round("overlap", 6).alias("overlap"))
@@ -113,14 +122,15 @@ def register(r: B.Registry) -> None:
         WHERE 2 * shared / (x.weight + y.weight) >= 0.8 - 1e-9""")
 
     # The filter stage of the near-miss join on the shapes of each source, checked in full.
-    def shape_bags(spark, sf):
-        f = M.shapes(B.prints(spark, sf, True)).withColumn("shape", F.md5(F.array_join("toks", " ").cast("binary")))
+    def shape_bags(spark, sf, by_source):
+        f = M.shapes(B.prints(spark, sf, by_source)).withColumn("shape", F.md5(F.array_join("toks", " ").cast("binary")))
         f = f.withColumn("shape", F.concat_ws("/", "job_id", "language", "shape"))
         return M.bag_overlap_join(f.drop("cid"), "shape", "toks", C.NEAR_MISS_FLOOR).select(
             "shape_a", "shape_b", "shared", F.round("overlap", 6).alias("overlap"))
 
-    r.add("near_miss_bag_filter", shape_bags, f"""
-        WITH {PS}, sh AS (SELECT DISTINCT job_id, language, params FROM prints),
+    for name, prints in (("near_miss_bag_filter", PS), ("near_miss_bag_filter_one_job", P)):
+        r.add(name, lambda spark, sf, own=prints is PS: shape_bags(spark, sf, own), f"""
+        WITH {prints}, sh AS (SELECT DISTINCT job_id, language, params FROM prints),
         k AS (SELECT job_id, language, params, job_id || '/' || language || '/' || md5(array_to_string(params, ' ')) AS shape FROM sh),
         e AS (SELECT job_id, language, shape, unnest(params) AS t FROM k),
         c AS (SELECT job_id, language, shape, t, count(*) AS n, CASE WHEN t IN ({B.quoted(C.DELIMITERS)}) THEN 1 WHEN starts_with(t, 'ID_') THEN 5 ELSE 10 END AS w FROM e GROUP BY ALL),
