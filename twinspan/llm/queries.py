@@ -73,7 +73,27 @@ QUERIES = (
     op1_weighted_minhash, op2_suffix_automata, op3_budgeted_windows, op4_pivotal_mixing, op5_feistel_sharding, op6_pivot_table,
     op7_prefix_free_parsing, op8_sentencepiece, op9_license_windows, op10_quality_rules)
 #: SQL for the operators whose rows it can give.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_suffix_automata": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h,
+                       unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+        first AS (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+        hit AS (SELECT doc_id, i FROM win JOIN first USING (h) WHERE f < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+        word AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM w),
+        k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY word.p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op6_pivot_table": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
 
 
 def register(registry: Registry) -> None:
