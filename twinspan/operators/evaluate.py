@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from twinspan import constants as C
 from twinspan.functions import numeric as N
 from twinspan.functions import text as X
+from twinspan.operators.store import stage
 
-SCORE_BUCKETS = 1000
+SCORE_BUCKETS = 200
 
 
 def checked_scores(scored: DataFrame) -> DataFrame:
@@ -49,13 +50,15 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
 
     Rows are first summed per score. Running totals then take two levels: a fixed
     number of score buckets, whose totals fit anywhere, and within each bucket its own
-    scores. No window spans the whole table.
+    scores. Bucket bounds are quantiles of the distinct scores, so a classifier that piles
+    its scores up at 0 and 1 fills them as evenly as any other. No window spans the table.
     """
-    per_score = (
-        checked_scores(scored).groupBy("score")
-        .agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"))
-        .withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS).cast("int"))
-    )
+    per_score = stage(checked_scores(scored).groupBy("score").agg(
+        F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos")), "scores")
+    shares = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
+    bounds = per_score.agg(F.percentile_approx("score", shares, 10 * SCORE_BUCKETS)).scalar()
+    per_score = per_score.withColumn("bounds", bounds).withColumn(
+        "bucket", F.size(F.filter("bounds", lambda b: b <= F.col("score")))).drop("bounds")
     buckets = per_score.groupBy("bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
     over = Window.partitionBy(F.lit(1)).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
@@ -66,7 +69,7 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         F.sum("bp").over(whole).alias("positives"),
     )
     inside = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    # At most SCORE_BUCKETS + 1 rows are broadcast.
+    # At most SCORE_BUCKETS rows are broadcast.
     return (
         per_score.join(F.broadcast(buckets), "bucket")
         .withColumn("predicted", F.sum("n").over(inside) + F.col("n_above"))

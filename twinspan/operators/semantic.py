@@ -124,7 +124,7 @@ def cosine_join(emb: DataFrame, t: float, key: str = "id", vector: str = "vector
             rows.join(F.broadcast(sizes), "cell")
             .groupBy("cell", part.alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct("id", "u"))).alias("block"))
-            .select("cell", F.col("block.id").alias(f"ids_{s}"), F.col("block.u").alias(f"m_{s}"))
+            .select("cell", F.col("part").alias(f"part_{s}"), F.col("block.id").alias(f"ids_{s}"), F.col("block.u").alias(f"m_{s}"))
         )
 
     out = T.StructType([
@@ -145,10 +145,13 @@ def cosine_join(emb: DataFrame, t: float, key: str = "id", vector: str = "vector
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a[i], kind), pa.array(b[j], kind), pa.array(scores[i, j])], names=["a_id", "b_id", "cosine"])
 
-    home = blocks(seen.select("cell", "id", "u"), "a")
-    away = blocks(outer.select("cell", "id", "u"), "b")
-    met = home.join(away, "cell")
-    return met.repartition(F.xxhash64("cell", "ids_a", "ids_b")).mapInArrow(multiply, out)
+    home = stage(blocks(seen.select("cell", "id", "u"), "a"), "home")
+    away = stage(blocks(outer.select("cell", "id", "u"), "b"), "away")
+    # Only numbers of blocks meet on a cell; matrices are fetched by block, so that a crowded
+    # cell is as many tasks as it has block pairs.
+    pairs = stage(home.select("cell", "part_a").join(away.select("cell", "part_b"), "cell"), "block-pairs")
+    met = pairs.join(home, ["cell", "part_a"]).join(away, ["cell", "part_b"])
+    return met.repartition(F.xxhash64("cell", "part_a", "part_b")).select("ids_a", "m_a", "ids_b", "m_b").mapInArrow(multiply, out)
 
 
 # --- behavioural evidence ------------------------------------------------------
