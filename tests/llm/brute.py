@@ -53,8 +53,8 @@ def near_classes(rows):
     df = Counter(c for cs in cells for c in cs)
     sets = []
     for a, b in zip(s.offsets[:-1], s.offsets[1:]):
-        sets.append({int(h): (1 + math.log(c)) * (1 + minhash_dedup.IDF_SHARE * math.log((n + 1) / (df[int(h) % minhash_dedup.CELLS] + 1)) / math.log(n + 2))
-                     for h, c in zip(s.hashes[a:b], s.counts[a:b])})
+        rarity = lambda h: 1 - 0.1 * max(0.0, math.log(64 * df[int(h) % minhash_dedup.CELLS] / n)) / math.log(64)
+        sets.append({int(h): (1 + math.log(c)) * rarity(h) for h, c in zip(s.hashes[a:b], s.counts[a:b])})
     root = list(range(n))
 
     def find(i):

@@ -37,9 +37,11 @@ AGREEMENT = 0.6
 #: Documents per shingle are counted in so many hashed cells: 2 MB whatever the corpus.
 CELLS = 1 << 18
 CELL_ROWS = 64
-#: The rarest shingle weighs 1 + this, one in all documents 1: copies that occur often
-#: must not lose their links to the few rare shingles that tell them apart.
-IDF_SHARE = 0.25
+#: A shingle in at most this share of the documents weighs 1, whatever its frequency; one in
+#: all documents weighs so much less. Were rare shingles heavier still, members of large groups
+#: of near copies would lose their links to the few words that tell them apart.
+COMMON = 1 / 64
+COMMON_LOSS = 0.1
 #: Nodes of a bucket, and shingles of a family, that are compared in one task.
 TILE = 4096
 FAMILY_TILE = 2_000_000
@@ -142,8 +144,13 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
     held, n = np.zeros((CELL_ROWS, CELLS // CELL_ROWS)), 0
     for r in sums:
         held[r["part"]], n = np.frombuffer(r["counts"], "<i8"), r["n"]
-    # Cells that no task filled count as rare.
-    return (1 + IDF_SHARE * np.log((n + 1) / (held.ravel() + 1)).clip(min=0) / np.log(n + 2)).astype(np.float32)
+    return inverse_frequency(held.ravel(), n)
+
+
+def inverse_frequency(documents: np.ndarray, n: int) -> np.ndarray:
+    """Weight by how many of n documents hold a shingle: 1 up to COMMON, down to 1 - COMMON_LOSS."""
+    share = documents / max(n, 1) / COMMON
+    return (1 - COMMON_LOSS * np.log(np.maximum(share, 1)) / np.log(1 / COMMON)).astype(np.float32)
 
 
 def set_weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
