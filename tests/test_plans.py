@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators import segment as G
 from twinspan.plans.detect import detect
-from twinspan.plans.semantic import detect_semantic
+from twinspan.plans.semantic import all_types, detect_semantic, detect_with_classifier
 from twinspan.plans.train import prepare_archive, train
 
 PARTS = [
@@ -73,6 +73,38 @@ def test_corroborated_pair_becomes_type4(spark, sources):
     assert detect_semantic(d, pairs, vectors, differing, dim=2).counters().first().behavioral_rejections == 1
 
 
+def test_one_report_of_all_types(spark, sources):
+    """Copies, and a loop that a recursion equals, come in one table, Type-4 first."""
+    d = detect(sources(("a.py", PARTS[4]), ("b.py", PARTS[5]), ("c.py", PARTS[4])))
+    ids = {r.file: r.frag_id for r in d.fragments.collect()}
+    pairs = spark.createDataFrame([("job", ids["b.py"], ids["a.py"]), ("job", ids["a.py"], ids["c.py"])], "job_id STRING, a_id STRING, b_id STRING")
+    vectors = spark.createDataFrame(
+        [("job", ids[f], v) for f, v in (("a.py", [1.0, 0.1]), ("b.py", [1.0, 0.0]), ("c.py", [1.0, 0.1]))],
+        "job_id STRING, frag_id STRING, vector ARRAY<DOUBLE>")
+    rows = [("job", f, 1, i, "int", str(v), "") for f in ids.values() for i, v in enumerate([1, 1, 2, 6, 24])]
+    out = spark.createDataFrame(rows, "job_id STRING, frag_id STRING, arity INT, sample_idx INT, out_type STRING, out_repr STRING, args_repr STRING")
+    report = all_types(d, detect_semantic(d, pairs, vectors, out, dim=2)).collect()
+    assert [(r.clone_type, r.file_a, r.file_b, r.cross_language) for r in report] == [
+        ("Type-4", "a.py", "b.py", False), ("Type-1", "a.py", "c.py", False)]
+    assert 0 < report[0].token_sim < 1 and report[1].token_sim == 1.0 and "samples agree" in report[0].description
+
+
+def test_classifier_mode(spark, sources):
+    functions, labelled, code_vectors = archive(spark, 30)
+    ready = prepare_archive(functions, labelled, {"train": 0, "valid": 0, "test": 0}, 1)
+    fitted = train(ready, code_vectors, 3, 0.5, 0.5)
+    d = detect(sources(("a.py", PARTS[4]), ("b.java", "int down(int k) { int out = 1; while (k > 1) { out *= k; k--; } return out; }")))
+    a, b = (r.frag_id for r in d.fragments.orderBy("file").collect())
+    pairs = spark.createDataFrame([("job", a, b)], "job_id STRING, a_id STRING, b_id STRING")
+    vectors = spark.createDataFrame([("job", a, [1.0, 0.3, 0.5]), ("job", b, [1.0, 0.3, 0.5])], "job_id STRING, frag_id STRING, vector ARRAY<DOUBLE>")
+    none = spark.createDataFrame([], "job_id STRING, frag_id STRING, arity INT, sample_idx INT, out_type STRING, out_repr STRING, args_repr STRING")
+    for validated, found in (((), 0), (("java:python",), 1)):
+        run = detect_with_classifier(d, pairs, vectors, none, fitted.model, 0.6, validated, dim=3)
+        rows = [r for r in all_types(d, run).collect() if r.clone_type == "Type-4"]
+        assert len(rows) == found
+        assert all(r.cross_language and r.language == "java:python" for r in rows)
+
+
 def archive(spark, n=60):
     """Functions of two families in three splits; a pair is positive within a family."""
     rows, pairs = [], []

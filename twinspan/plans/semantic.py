@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from twinspan import constants as C
 from twinspan.functions import numeric as N
 from twinspan.functions import text as X
+from twinspan.functions.matching import sequence_ratio
 from twinspan.operators import semantic as S
+from twinspan.operators.copies import PLACE
+from twinspan.operators.learning import featurise, score_pairs
+from twinspan.operators.rollups import order_pairs
 from twinspan.operators.segment import once
 from twinspan.operators.store import stage
 from twinspan.plans.detect import Detection
@@ -87,6 +91,45 @@ def detect_semantic(
     return judge(scored, outcomes, threshold, "embedding")
 
 
+def detect_with_classifier(
+    detection: Detection, candidates: DataFrame, vectors: DataFrame, outcomes: DataFrame, model,
+    classifier_threshold: float | None, validated: tuple[str, ...] = (), threshold: float = C.DEFAULT_THRESHOLD,
+    dim: int = C.FEATURE_DIM, c_enabled: bool = False,
+) -> SemanticRun:
+    """Judge given candidates with a fitted pair classifier plus evidence.
+
+    ``model`` and ``classifier_threshold`` come from ``fit_pair_classifier``; a score counts without
+    evidence only for the language pairs that its gate has ``validated``.
+    """
+    wanted = stage(pending(detection, candidates, c_enabled, validated), "pending")
+    # One name per fragment over all jobs, as the features' key.
+    named = lambda c: F.concat_ws("\0", F.col("job_id").cast("string"), F.col(c).cast("string"))
+    used = wanted.select("job_id", F.explode(F.array("a_id", "b_id")).alias("frag_id")).distinct()
+    emb = vectors.join(used, ["job_id", "frag_id"], "left_semi").select(named("frag_id").alias("id"), "vector")
+    pairs = wanted.withColumnsRenamed({"a_id": "a_frag", "b_id": "b_frag"}).withColumns({"a_id": named("a_frag"), "b_id": named("b_frag")})
+    scored = score_pairs(model, featurise(pairs, emb, dim)).drop("a_id", "b_id").withColumnsRenamed({"a_frag": "a_id", "b_frag": "b_id"})
+    return judge(scored, outcomes, threshold, "classifier", classifier_threshold, validated)
+
+
+def all_types(detection: Detection, run: SemanticRun) -> DataFrame:
+    """One report: the links of Types 1 to 3 and the Type-4 pairs, in the same columns and display order."""
+    side = lambda s: detection.fragments.select(
+        "job_id", F.col("frag_id").alias(f"{s}_id"), *[F.col(c).alias(f"{c}_{s}") for c in ("file", *PLACE, "tokens")])
+    four = run.pairs().join(side("a"), ["job_id", "a_id"]).join(side("b"), ["job_id", "b_id"])
+    spot = lambda s: F.struct(*[F.col(f"{c}_{s}") for c in PLACE])
+    swap = spot("a") > spot("b")
+    four = four.withColumnsRenamed({"a_id": "frag_id_a", "b_id": "frag_id_b"})
+    either = [F.when(swap, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
+              for s, o in ("ab", "ba") for c in ("frag_id", "file", *PLACE, "tokens")]
+    cross = F.col("language_a") != F.col("language_b")
+    four = four.select(
+        "job_id", F.when(cross, X.language_pair("language_a", "language_b")).otherwise(F.col("language_a")).alias("language"),
+        "clone_type", "similarity", F.lit(1).cast("decimal(38,0)").alias("n_pairs"), *either, cross.alias("cross_language"), "description")
+    four = four.withColumn("token_sim", N.round6(sequence_ratio("tokens_a", "tokens_b"))).drop("tokens_a", "tokens_b")
+    links = detection.links()
+    return order_pairs(links.unionByName(four.select(links.columns)))
+
+
 def judge(
     scored: DataFrame, outcomes: DataFrame, threshold: float, mode: str, classifier_threshold: float | None = None,
     validated: tuple[str, ...] = (),
