@@ -31,15 +31,20 @@ def staged() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, mark: int = 0) -> int:
+def release(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> int:
     """Delete the tables staged since ``mark``, once nothing reads them any more.
 
-    Results are lazy and read staged tables: write or collect them first. Returns how many
-    folders are gone.
+    Results are lazy and read staged tables: write or collect them first. The tables that
+    ``keep`` reads stay. Returns how many folders are gone.
     """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while len(_written) > mark:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    read = keep.inputFiles() if keep is not None else []
+    since, gone = _written[mark:], 0
+    del _written[mark:]
+    for name in since:
+        if any(f"/{name.rsplit('/', 1)[1]}/" in f for f in read):
+            _written.append(name)
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(hadoop).delete(path, True))
     return gone
