@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from twinspan.session import checkpoint_dir
 
 
-#: Folders written by this process and not released yet, per checkpoint folder.
+#: Folders written by this process and not released yet.
 _written: list[str] = []
 
 
@@ -26,25 +26,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged() -> int:
-    """A mark to release later tables from."""
-    return len(_written)
+def staged() -> list[str]:
+    """The folders staged by this process and not released."""
+    return list(_written)
 
 
-def release(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> int:
-    """Delete the tables staged since ``mark``, once nothing reads them any more.
+def release(spark: SparkSession, folders: list[str], keep: DataFrame | None = None) -> int:
+    """Delete staged tables once nothing reads them any more.
 
     Results are lazy and read staged tables: write or collect them first. The tables that
     ``keep`` reads stay. Returns how many folders are gone.
     """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     read = keep.inputFiles() if keep is not None else []
-    since, gone = _written[mark:], 0
-    del _written[mark:]
-    for name in since:
-        if any(f"/{name.rsplit('/', 1)[1]}/" in f for f in read):
-            _written.append(name)
-            continue
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    gone = 0
+    for name in folders:
+        if name in _written and not any(f"/{name.rsplit('/', 1)[1]}/" in f for f in read):
+            _written.remove(name)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            gone += bool(path.getFileSystem(hadoop).delete(path, True))
     return gone
