@@ -155,7 +155,8 @@ def find_repeats(docs: DataFrame, unit: Unit, name: str) -> Repeats:
     met = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("doc").alias("first_doc"))
     met = stage(met.filter("n > 1").select("anchor", "first_doc", (F.col("low") != F.col("high")).alias("differ")), f"{name}-anchors")
-    repeated = stage(found.join(met, "anchor"), f"{name}-repeated")
+    # Merge joins: one that turns into a broadcast after its shuffle keeps a hot key in one task.
+    repeated = stage(found.join(met.hint("merge"), "anchor"), f"{name}-repeated")
     differ = repeated.filter("differ").drop("first_doc")
     # Per document first: a document's places of a region are few, its documents may be many.
     within = differ.groupBy("anchor", "digest", "doc").agg(
@@ -165,7 +166,7 @@ def find_repeats(docs: DataFrame, unit: Unit, name: str) -> Repeats:
         f"{name}-distinct")
     out = ["doc", "key", "start", "n_windows", "first_doc"]
     again = distinct.filter("n > 1").select("anchor", "digest", F.col("first.doc").alias("first_doc"))
-    copies = repeated.filter("NOT differ").select(*out).unionAll(differ.join(again, ["anchor", "digest"]).select(*out))
+    copies = repeated.filter("NOT differ").select(*out).unionAll(differ.join(again.hint("merge"), ["anchor", "digest"]).select(*out))
     return Repeats(copies, distinct.select("anchor", "digest", "first.*", "n_windows", "n"))
 
 
