@@ -26,7 +26,7 @@ SPACE = "▁"
 BROKEN = "�".encode()
 
 #: Words whose pieces a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class CharacterMap:
