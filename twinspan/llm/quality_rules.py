@@ -30,9 +30,10 @@ CONSISTENCY = 1.41
 C_STEPS = 3
 #: A language's estimate counts as much as so many of a group's own documents.
 PRIOR = 50.0
-#: Standard deviations that no group falls below: log words, word length, log symbol
-#: percentage, log share of repeated lines, root share of repeated words.
-FLOORS = (0.5, 0.2, 0.35, 0.5, 0.25)
+#: Standard deviations that no group falls below, the size of a measurement: five words in a
+#: hundred, a letter in twenty words, six symbols in 1,400 characters, one repeated line in 35,
+#: six repeated words in 600. Each lies below a fifth of what its statistic can reach.
+FLOORS = (0.05, 0.05, 0.35, 0.25, 0.1)
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.86
 D = len(FLOORS)
@@ -123,13 +124,15 @@ def _moments(sums: DataFrame, prior: DataFrame | None, factor: float) -> DataFra
 
 
 def _whitened(moments: DataFrame) -> DataFrame:
-    """Means and the inverse ``_w`` of the covariance's Cholesky factor, floors added to the variances."""
+    """Means and the inverse ``_w`` of the covariance's Cholesky factor.
+
+    Floors are lower bounds of what a statistic varies by given those before it.
+    """
     out = moments
     for i, j in _pairs():
         left = F.col(f"_c{i}{j}") - (_total([F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)]) if j else F.lit(0.0))
         if i == j:
-            # Floors keep the root real; rounding can't bring it below half a floor.
-            value = F.sqrt(F.greatest(left + FLOORS[i] ** 2, F.lit(FLOORS[i] ** 2 / 4)))
+            value = F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2)))
         else:
             value = left / F.col(f"_l{j}{j}")
         out = out.withColumn(f"_l{i}{j}", value)
