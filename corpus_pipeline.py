@@ -59,9 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids; ``encode_documents`` has the pieces' spans too."""
-    encoded = sentencepiece_codec.encode_documents(docs, sentencepiece_codec.model_bytes(tokenizer_path()))
-    return encoded.select("doc_id", "ids")
+    """doc_id, token ids, and the bytes of the text at which each piece starts and ends."""
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.model_bytes(tokenizer_path()))
 
 
 STAGES = [
