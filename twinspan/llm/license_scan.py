@@ -4,7 +4,8 @@ Templates are grouped by length. A group's windows are half as long again as its
 template and step on by half of that, so every occurrence lies whole in one window. A window
 and a template are compared if they agree in one of many bands of one sample; the number of
 bands makes that all but certain for the least similarity an occurrence can have. Exact
-containment of the template's shingles then decides.
+containment of the template's shingles then decides. A template of fewer words than a shingle
+has one shingle of all its words, which is looked up as it is.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ MISS = 1e-4
 #: Longest template of a group over its shortest.
 GROUP_SPREAD = 1.5
 
-# Customary wordings by which texts name their license.
+# Customary wordings by which texts name their license. License bodies, longer
+# notices and phrases are in the files of FOLDER.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": (
@@ -52,6 +55,14 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at"),
 }
 
+FOLDER = Path(__file__).parent / "licenses"
+
+
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the files of FOLDER, which are read where the job starts."""
+    return TEMPLATES | {f.stem: f.read_text() for f in sorted(FOLDER.glob("*.txt"))}
+
+
 #: ASCII letters to lower case, ASCII punctuation to spaces; other bytes stay.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -69,22 +80,51 @@ class Group:
     bands: int
 
 
-def _grams(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of each row's words, and where each row's begin; rows under five words have none."""
-    counts = np.maximum(np.diff(rows) - SHINGLE + 1, 0)
+def _grams(values: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each row's words, and where each row's begin; rows under ``width`` words have none."""
+    counts = np.maximum(np.diff(rows) - width + 1, 0)
     begins = np.append(0, np.cumsum(counts))
     if not begins[-1]:
         return np.zeros(0, np.uint64), begins
     start = np.arange(begins[-1]) + np.repeat(rows[:-1] - begins[:-1], counts)
-    return span_hash(prefix(values), start, start + SHINGLE), begins
+    return span_hash(prefix(values), start, start + width), begins
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    data = _FOLD[np.frombuffer(text.encode(), np.uint8)]
+    return word_hashes(data, np.array([0, len(data)]))
+
+
+def phrases(templates: dict[str, str]) -> dict[str, tuple[int, np.uint64]]:
+    """Words and hash of each template of fewer words than a shingle; one without words is refused."""
+    out = {}
+    for name in sorted(templates):
+        values, rows = _words(templates[name])
+        if not len(values):
+            raise ValueError(f"template {name} has no words")
+        if len(values) < SHINGLE:
+            out[name] = len(values), _grams(values, rows, len(values))[0][0]
+    return out
+
+
+def find_phrases(values: np.ndarray, rows: np.ndarray, wanted: dict[str, tuple[int, np.uint64]]) -> list[tuple[int, str, float, int]]:
+    """(row, phrase, 1, first word) of each phrase in each row of a block, its first place."""
+    out = []
+    for width in sorted({w for w, _ in wanted.values()}):
+        grams, begins = _grams(values, rows, width)
+        for name, (w, own) in wanted.items():
+            if w == width:
+                places = np.flatnonzero(grams == own)
+                row, first = np.unique(np.searchsorted(begins, places, side="right") - 1, return_index=True)
+                out += [(int(r), name, 1.0, int(places[k] - begins[r])) for r, k in zip(row, first, strict=True)]
+    return out
 
 
 def groups(templates: dict[str, str]) -> list[Group]:
-    """Groups of templates; those of fewer than five words are refused, their shingle says too little."""
+    """Groups of templates; those of fewer than five words are refused, they are phrases."""
     sized = []
     for name in sorted(templates):
-        data = _FOLD[np.frombuffer(templates[name].encode(), np.uint8)]
-        grams, _ = _grams(*word_hashes(data, np.array([0, len(data)])))
+        grams, _ = _grams(*_words(templates[name]))
         if not len(grams):
             raise ValueError(f"template {name} has fewer than {SHINGLE} words")
         sized.append((len(grams) + SHINGLE - 1, name, np.unique(grams)))
@@ -120,12 +160,18 @@ def _windows(begins: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray,
 
 def find(values: np.ndarray, rows: np.ndarray, found_groups: list[Group]) -> list[tuple[int, str, float, int]]:
     """(row, template, containment, first word) of each template in each row of a block, its best window."""
-    grams, begins = _grams(values, rows)
+    all_grams, all_begins = _grams(values, rows)
+    counts = np.diff(all_begins)
     best: dict[tuple[int, str], tuple[float, int]] = {}
     for group in found_groups:
-        row, start, end = _windows(begins, group)
-        if not len(row):
+        # Rows with fewer shingles than the least match hold none of the group.
+        enough = counts >= math.ceil(CONTAINMENT * min(map(len, group.shingles)))
+        if not enough.any():
             continue
+        kept = np.flatnonzero(enough)
+        grams = all_grams if enough.all() else all_grams[np.repeat(enough, counts)]
+        begins = np.append(0, np.cumsum(counts[kept]))
+        row, start, end = _windows(begins, group)
         # Least hashes of steps first; windows overlap, so their ends interleave.
         edges = np.stack([start, end], axis=1).ravel()
         closed = edges[-1] == len(grams)
@@ -140,7 +186,7 @@ def find(values: np.ndarray, rows: np.ndarray, found_groups: list[Group]) -> lis
             inside = np.isin(grams[start[w] : end[w]], group.shingles[t])
             share = len(np.unique(grams[start[w] : end[w]][inside])) / len(group.shingles[t])
             if share >= CONTAINMENT:
-                key = (int(row[w]), group.names[t])
+                key = (int(kept[row[w]]), group.names[t])
                 first = int(start[w] + np.flatnonzero(inside)[0] - begins[row[w]])
                 old = best.get(key)
                 if old is None or (-share, first) < (-old[0], old[1]):
@@ -154,16 +200,18 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     first_word counts the words before the best match, after punctuation became spaces; of equal
     matches the first counts. A row without a match, a null or an empty text gives no row;
     repeated and null ids are rows like others. Templates are a small parameter that goes to
-    every task.
+    every task. Without any given, all_templates are looked for.
     """
-    found_groups = groups(TEMPLATES if templates is None else templates)
+    wanted = all_templates() if templates is None else templates
+    short = phrases(wanted)
+    found_groups = groups({name: text for name, text in wanted.items() if name not in short})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for low, high in blocks(offsets):
                 values, rows = word_hashes(_FOLD[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low])
-                found = find(values, rows, found_groups)
+                found = sorted(find(values, rows, found_groups) + find_phrases(values, rows, short))
                 if found:
                     row, name, share, first = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
