@@ -22,8 +22,10 @@ NOT_SHARED = "(a.file <> b.file OR a.end_line < b.start_line OR b.end_line < a.s
 
 
 def register(r: B.Registry) -> None:
-    r.add("candidate_pair_count", lambda spark, sf: B.counts(K.candidate_pair_count(G.usable_fragments(B.tokenised(spark, sf, True))), "candidate_pairs"),
-          f"""WITH {B.sql_tokens('source')} SELECT a.job_id, count(*) AS candidate_pairs FROM usable a JOIN usable b
+    # Per source, and over all documents as one job: pairs between sources count in the latter alone.
+    for name, by_source, tokens in (("candidate_pair_count", True, B.sql_tokens("source")), ("candidate_pair_count_one_job", False, B.sql_tokens())):
+        r.add(name, lambda spark, sf, own=by_source: B.counts(K.candidate_pair_count(G.usable_fragments(B.tokenised(spark, sf, own))), "candidate_pairs"),
+              f"""WITH {tokens} SELECT a.job_id, count(*) AS candidate_pairs FROM usable a JOIN usable b
               ON a.job_id = b.job_id AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line)
               AND {NOT_SHARED} GROUP BY a.job_id""")
 
@@ -68,14 +70,15 @@ def register(r: B.Registry) -> None:
         UNION ALL SELECT 'Type-2', top, hub FROM e JOIN q USING (language, params) WHERE top <> hub"""
     r.add("copy_links", lambda spark, sf: K.copy_links(slim(spark, sf)).select("clone_type", "frag_id_a", "frag_id_b"), links)
 
-    def typed_union(spark, sf):
-        f = slim(spark, sf, True)
+    def typed_union(spark, sf, by_source):
+        f = slim(spark, sf, by_source)
         links = K.copy_links(f)
         one, two = links.filter("clone_type = 'Type-1'"), links.filter("clone_type = 'Type-2'")
         both = R.type_counts(K.union_typed(one, two))
         return both.select("job_id", F.col("type1_count").alias("type1_links"), F.col("type2_count").alias("type2_links"))
 
-    r.add("union_typed", typed_union, f"""WITH {PS},
+    for name, prints in (("union_typed", PS), ("union_typed_one_job", P)):
+        r.add(name, lambda spark, sf, own=prints is PS: typed_union(spark, sf, own), f"""WITH {prints},
         c AS (SELECT job_id, language, params, count(*) AS n, count(DISTINCT tokens) AS d FROM prints GROUP BY ALL HAVING count(*) > 1)
         SELECT job_id, CAST(sum(n - d) AS BIGINT) AS type1_links, CAST(sum(d - 1) AS BIGINT) AS type2_links FROM c GROUP BY job_id""")
 
@@ -170,16 +173,19 @@ def register(r: B.Registry) -> None:
         SELECT p.conv_id, p.turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(2 * got / (len(a) + len(b)), 6) END AS token_sim
         FROM pr p JOIN (SELECT conv_id, turn, sum(got) AS got FROM seg GROUP BY ALL) g USING (conv_id, turn)""")
 
-    r.add("detect", lambda spark, sf: B.counts(detect(B.files(spark, sf, True), python_lexer=False).links(), "n_pairs").select(
-        "job_id", "clone_type", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b",
-        "similarity", "token_sim", "cross_language", "description", "n_pairs"))
+    def links_of(spark, sf, by_source):
+        return B.counts(detect(B.files(spark, sf, by_source), python_lexer=False).links(), "n_pairs").select(
+            "job_id", "clone_type", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b",
+            "similarity", "token_sim", "cross_language", "description", "n_pairs")
 
-    def totals(spark, sf):
-        return B.counts(detect(B.files(spark, sf, True), python_lexer=False).totals(), "candidate_pairs", *PAIRS, "type3_pairs")
+    def totals(spark, sf, by_source):
+        return B.counts(detect(B.files(spark, sf, by_source), python_lexer=False).totals(), "candidate_pairs", *PAIRS, "type3_pairs")
 
-    r.add("detect_totals", totals)
-    r.add("detect_structural_totals", lambda spark, sf: totals(spark, sf).drop("type3_pairs"),
-          f"""WITH {PS}, n AS (SELECT t.job_id, count(*) AS fragments, count(u.frag_id) AS usable FROM tok t LEFT JOIN usable u USING (job_id, frag_id) GROUP BY t.job_id),
+    for suffix, prints in (("", PS), ("_one_job", P)):
+        r.add(f"detect{suffix}", lambda spark, sf, own=prints is PS: links_of(spark, sf, own))
+        r.add(f"detect_totals{suffix}", lambda spark, sf, own=prints is PS: totals(spark, sf, own))
+        r.add(f"detect_structural_totals{suffix}", lambda spark, sf, own=prints is PS: totals(spark, sf, own).drop("type3_pairs"),
+              f"""WITH {prints}, n AS (SELECT t.job_id, count(*) AS fragments, count(u.frag_id) AS usable FROM tok t LEFT JOIN usable u USING (job_id, frag_id) GROUP BY t.job_id),
               c AS (SELECT a.job_id, count(*) AS candidate_pairs,
                            count(*) FILTER (a.language = b.language AND a.tokens = b.tokens) AS type1_pairs,
                            count(*) FILTER (a.language = b.language AND a.params = b.params AND a.tokens <> b.tokens) AS type2_pairs
