@@ -13,6 +13,13 @@ from twinspan.session import checkpoint_dir
 _written: list[str] = []
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; ``release`` knows it from now on."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -20,8 +27,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     sides of a self-join, and a lost executor costs a re-read instead of a recompute.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
