@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from twinspan.catalog.common import Registry, table
 from twinspan.llm import (
-    chat_format, license_scan, minhash_dedup, mixing, quality_rules, sentencepiece_codec, sharding, substring_dedup,
-    suffix_array_dedup, topk_search)
+    chat_format, collocations, license_scan, minhash_dedup, mixing, periodic_runs, quality_rules, sentencepiece_codec, sharding,
+    substring_dedup, suffix_array_dedup, topk_search, warc)
 
 SHARDS = 24
 
@@ -69,9 +69,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), ["doc_id"])
 
 
+def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(warc.archive(table(spark, sf_dir, "pages")))
+
+
 QUERIES = (
     op1_weighted_minhash, op2_suffix_automata, op3_budgeted_windows, op4_pivotal_mixing, op5_feistel_sharding, op6_pivot_table,
-    op7_prefix_free_parsing, op8_sentencepiece, op9_license_windows, op10_quality_rules)
+    op7_prefix_free_parsing, op8_sentencepiece, op9_license_windows, op10_quality_rules, op11_son_collocations, op12_periodic_runs, op13_warc)
 #: SQL for the operators whose rows it can give.
 SQL: dict[str, str] = {
     "op2_suffix_automata": r"""
@@ -93,6 +106,35 @@ SQL: dict[str, str] = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_son_collocations": r"""
+        WITH piece AS (SELECT lang, doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi FROM (
+                 SELECT coalesce(lang, 'und') AS lang, doc_id, string_split_regex(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
+        total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+        gram AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+                 FROM w, (VALUES (1), (2), (3), (4)) s(m) WHERE len(ws) >= m),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 30),
+        cut AS (SELECT f.lang, f.m, f.phrase, f.a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+                FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1) f, (VALUES (1), (2), (3)) c(k) WHERE k < f.m),
+        scored AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+                   FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored),
+        inside AS (SELECT lang, a, array_to_string(ws[s:s + z - 1], ' ') AS phrase
+                   FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 2), (VALUES (2), (3)) v(z), (VALUES (1), (2), (3)) u(s)
+                   WHERE z < m AND s + z - 1 <= m),
+        longest AS (SELECT lang, phrase, max(a) AS b FROM inside GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN longest USING (lang, phrase) WHERE o = 1 AND (b IS NULL OR 100::HUGEINT * b < 80::HUGEINT * a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS o,
+                          first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS last FROM pages),
+        d AS (SELECT *, sha1(b) AS h FROM p)
+        SELECT page_id, octet_length(b) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INT), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN o = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN o > 1 THEN last END AS refers_to FROM d""",
 }
 
 
