@@ -141,3 +141,11 @@ def test_null_texts_in_a_block(model):
     c = Codec(model)
     e = c.encode_block(*text_buffers(pa.array([None, "a b", None])))
     assert np.diff(e.offsets).tolist() == [0, len(c.whole.encode("a b")), 0]
+
+
+def test_words_that_collide_in_simple_hashes():
+    """A word of two letters and its complement collide under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    text = "".join("ab"[b] for b in bits) + " " + "".join("ba"[b] for b in bits)
+    whole = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    assert [ids for ids, _ in Codec(model_bytes(tokenizer_path())).encode([text, text])] == [whole.encode(text)] * 2

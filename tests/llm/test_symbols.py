@@ -58,7 +58,8 @@ def test_regions_hold_each_window_once(words_unit, monkeypatch):
     rng = random.Random(2)
     unit = anchors.Unit(words_unit, 12, 4)
     texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 5, 11, 12, 13, 90, 300)]
-    values, offsets = unit.symbols(*block(texts))
+    symbols_ = unit.symbols(*block(texts))
+    values, offsets = symbols_.values, symbols_.offsets
     whole = list(anchors.pieces(values, offsets, unit))
     monkeypatch.setattr(anchors, "BLOCK", 4)
     for found in (whole, list(anchors.pieces(values, offsets, unit))):
@@ -71,8 +72,9 @@ def test_equal_windows_share_an_anchor():
     unit = anchors.Unit(True, 50, 8)
     shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(50))
     texts = [f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randrange(80)))} {shared} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(rng.randrange(80)))}" for _ in range(40)]
-    values, offsets = unit.symbols(*block(texts))
-    row, start, n, anchor, _ = anchors.regions(values, offsets, unit)
+    symbols_ = unit.symbols(*block(texts))
+    values, offsets = symbols_.values, symbols_.offsets
+    row, start, n, anchor = anchors.regions(values, offsets, unit)
     at = [words(t).index(shared.split()[0]) for t in texts]
     assert len({int(a) for r, s, m, a in zip(row, start, n, anchor) if s <= at[r] < s + m}) == 1
 

@@ -4,7 +4,7 @@ A window of L symbols (words or bytes) names one of its own short grams, the one
 least rolling hash, as its anchor. Equal windows name equal anchors at equal places, so two
 texts that share a window share an anchor, and only texts that meet at an anchor need to be
 compared. The neighbouring windows that name the same anchor form a region; equal regions are
-told by a digest before any content moves.
+told by a 128-bit cryptographic digest of their content before any content moves.
 
 ``find_repeats`` gives, for documents of any number:
 
@@ -15,6 +15,7 @@ told by a digest before any content moves.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.llm.symbols import (
-    BLOCK, BYTE_VALUES, blocks, mix, prefix, ranges, signed, sliding_min, span_hash, text_buffers, word_hashes)
+    BLOCK, BYTE_VALUES, SPACES, blocks, chained, ranges, signed, sliding_min, spelled_hashes, text_buffers, word_spans)
 from twinspan.operators.store import stage
 
 #: A packed anchor choice: the high bits of the gram's hash over its place.
@@ -32,6 +33,24 @@ _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
 
+@dataclass
+class Symbols:
+    """The symbols of a block of texts."""
+
+    #: A 64-bit value each, and where each text's symbols begin.
+    values: np.ndarray
+    offsets: np.ndarray
+    #: The bytes that stand for them: words with one space between, or the text itself.
+    data: np.ndarray
+    #: Where each symbol begins and ends in ``data``; None where each is one byte.
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def spelled(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes [from, to) of the symbols [low, high); equal where these are."""
+        return (low, high) if self.starts is None else (self.starts[low], self.ends[high - 1])
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a symbol is, the length of a shared passage, and the length of an anchor."""
@@ -40,11 +59,20 @@ class Unit:
     window: int
     gram: int
 
-    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit value per symbol of a block of texts, and where each text's symbols begin."""
-        if self.words:
-            return word_hashes(data, offsets)
-        return BYTE_VALUES[data], offsets
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> Symbols:
+        if not self.words:
+            return Symbols(BYTE_VALUES[data], offsets, data)
+        starts, ends, rows = word_spans(data, offsets)
+        space = SPACES[data]
+        # Of each run of spaces the first stays.
+        kept = ~space
+        kept[1:] |= ~space[:-1]
+        at = np.cumsum(kept) - 1
+        begin = at[starts] if len(starts) else starts
+        return Symbols(spelled_hashes(data, starts, ends), rows, np.where(space, np.uint8(0x20), data)[kept], begin, begin + ends - starts)
+
+    def grams(self, values: np.ndarray) -> np.ndarray:
+        return chained(values, self.gram)
 
     def packed(self, grams: np.ndarray) -> np.ndarray:
         """What the least of is a window's anchor: the gram's hash, then its place; the first of equal grams."""
@@ -54,26 +82,16 @@ class Unit:
         """The place of the anchor in each row of places."""
         return (self.packed(grams)[places].min(axis=1) & _PLACE).astype(np.int64)
 
-    def content(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What a solver gets for each symbol: a word's hash, or the byte itself."""
-        if self.words:
-            return word_hashes(data, offsets)
-        return data, offsets
-
 
 def regions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """Regions of a block: row, first window in the row, number of windows, anchor hash, digest.
-
-    The last two are 64-bit hashes; the digest covers the region's symbols and the anchor's place.
-    """
+    """Regions of a block: row, first window in the row, number of windows, anchor hash."""
     length, gram = unit.window, unit.gram
     n = len(values)
     sizes = np.diff(offsets)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    sums = prefix(values)
-    grams = span_hash(sums, slice(0, n - gram + 1), slice(gram, n + 1))
+        return none, none, none, none.view(np.uint64)
+    grams = unit.grams(values)
     choice = sliding_min(unit.packed(grams), length - gram + 1)
     rows = np.flatnonzero(sizes >= length)
     counts = sizes[rows] - length + 1
@@ -84,9 +102,7 @@ def regions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.nda
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
     n_windows = np.diff(np.append(first, len(anchor)))
     start, at, row = windows[first], anchor[first], row_of[first]
-    digest = span_hash(sums, start, start + n_windows + length - 1)
-    shape = (n_windows.astype(np.uint64) << np.uint64(32)) | (at - start).astype(np.uint64)
-    return row, start - offsets[row], n_windows, grams[at], mix(digest ^ mix(shape))
+    return row, start - offsets[row], n_windows, grams[at]
 
 
 def pieces(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tuple[np.ndarray, ...]]:
@@ -102,6 +118,14 @@ def pieces(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tupl
             yield found[0] + row, found[1] + (low - a), *found[2:]
 
 
+def digests(symbols: Symbols, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Two LONGs of 128 bits each that tell the contents of symbol ranges apart."""
+    held = memoryview(symbols.data.tobytes())
+    found = b"".join(
+        hashlib.blake2b(held[a:b], digest_size=16).digest() for a, b in zip(*(x.tolist() for x in symbols.spelled(low, high)), strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 #: The least LONG: a null doc_id comes before all others.
 NO_ID = -(1 << 63)
 
@@ -117,22 +141,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
-    """doc, key, start, n_windows, anchor, digest: one row per region of each text."""
+    """doc, key, start, n_windows, anchor, digest, digest2: one row per region of each text."""
+    names = ["doc", "key", "start", "n_windows", "anchor", "digest", "digest2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, key = (batch.column(c).to_numpy() for c in ("doc", "key"))
             data, offsets = text_buffers(batch.column("text"))
             for low, high in blocks(offsets):
-                part = data[offsets[low] : offsets[high]]
-                values, begins = unit.symbols(part, offsets[low : high + 1] - offsets[low])
-                for row, start, n, anchor, digest in pieces(values, begins, unit):
+                symbols = unit.symbols(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                for row, start, n, anchor in pieces(symbols.values, symbols.offsets, unit):
+                    at = symbols.offsets[row] + start
+                    digest = digests(symbols, at, at + n + unit.window - 1)
+                    columns = (doc[low:high][row], key[low:high][row], start.astype(np.int32), n.astype(np.int32), signed(anchor))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[low:high][row]), pa.array(key[low:high][row]), pa.array(start.astype(np.int32)),
-                         pa.array(n.astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(digest))],
-                        ["doc", "key", "start", "n_windows", "anchor", "digest"])
+                        [*map(pa.array, columns), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1))], names)
+
+    return keyed(docs).mapInArrow(run, "doc LONG, key LONG, start INT, n_windows INT, anchor LONG, digest LONG, digest2 LONG")
 
-    return keyed(docs).mapInArrow(run, "doc LONG, key LONG, start INT, n_windows INT, anchor LONG, digest LONG")
+
+#: What names a distinct region.
+REGION = ["anchor", "digest", "digest2"]
 
 
 @dataclass
@@ -140,61 +169,68 @@ class Repeats:
     #: doc, key, start, n_windows, first_doc: the occurrences of each region that stands in the
     #: corpus more than once, with the smallest document that holds it.
     copies: DataFrame
-    #: anchor, digest, doc, places, n_windows, n: one row per distinct region of anchors at
-    #: which different regions meet; places are its rows' keys and starts in its smallest document.
+    #: REGION, doc, key, start, n_windows, n: one row per distinct region of anchors at which
+    #: different regions meet, with one of its places in its smallest document.
     mixed: DataFrame
+    #: REGION, doc, key, start: all places of those regions in their smallest documents.
+    places: DataFrame
 
 
 def find_repeats(docs: DataFrame, unit: Unit, name: str) -> Repeats:
     """Regions that may repeat among rows with ``doc_id`` and ``text``.
 
     Every table that a hot anchor meets in a join is written first, so that both sides of the
-    join are plain scans and adaptive execution can split the anchor's rows.
+    join are plain scans and adaptive execution can split the anchor's rows. It splits by the
+    tasks that rows come from: rows that an earlier join has put together, which as a file may
+    be small enough for a single task, are dealt out before they meet again.
     """
     found = stage(occurrences(docs, unit), f"{name}-regions")
-    met = found.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("doc").alias("first_doc"))
-    met = stage(met.filter("n > 1").select("anchor", "first_doc", (F.col("low") != F.col("high")).alias("differ")), f"{name}-anchors")
+    apart = (F.min("digest") != F.max("digest")) | (F.min("digest2") != F.max("digest2"))
+    met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), apart.alias("differ"), F.min("doc").alias("first_doc"))
+    met = stage(met.filter("n > 1").drop("n"), f"{name}-anchors")
     # Merge joins: one that turns into a broadcast after its shuffle keeps a hot key in one task.
     repeated = stage(found.join(met.hint("merge"), "anchor"), f"{name}-repeated")
-    differ = repeated.filter("differ").drop("first_doc")
-    # Per document first: a document's places of a region are few, its documents may be many.
-    within = differ.groupBy("anchor", "digest", "doc").agg(
-        F.sort_array(F.collect_list(F.struct("key", "start"))).alias("places"), F.first("n_windows").alias("n_windows"))
-    distinct = stage(within.groupBy("anchor", "digest").agg(
-        F.min(F.struct("doc", "places")).alias("first"), F.sum(F.size("places")).alias("n"), F.first("n_windows").alias("n_windows")),
+    differ = repeated.filter("differ").drop("first_doc", "differ")
+    distinct = stage(differ.groupBy(*REGION).agg(
+        F.min(F.struct("doc", "key", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_windows").alias("n_windows")),
         f"{name}-distinct")
+    deal = lambda df: df.withColumn("_at", F.xxhash64("doc", "key", "start")).repartition("_at").drop("_at")
+    first = distinct.select(*REGION, F.col("first.doc").alias("first_doc"), "n")
+    known = stage(deal(differ).join(first.hint("merge"), REGION), f"{name}-known")
     out = ["doc", "key", "start", "n_windows", "first_doc"]
-    again = distinct.filter("n > 1").select("anchor", "digest", F.col("first.doc").alias("first_doc"))
-    copies = repeated.filter("NOT differ").select(*out).unionAll(differ.join(again.hint("merge"), ["anchor", "digest"]).select(*out))
-    return Repeats(copies, distinct.select("anchor", "digest", "first.*", "n_windows", "n"))
+    copies = repeated.filter("NOT differ").select(*out).unionAll(known.filter("n > 1").select(*out))
+    places = deal(known.filter("doc = first_doc").select(*REGION, "doc", "key", "start"))
+    return Repeats(copies, distinct.select(*REGION, "first.*", "n_windows", "n"), places)
 
 
 def region_contents(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
-    """anchor, doc, places, n and ``content`` BINARY: the symbols, 8 bytes a word or the bytes themselves."""
-    carried = ["anchor", "digest", "doc", "places", "n"]
-    place = F.struct(F.col("places")[0]["start"].alias("start"), "n_windows", *carried)
-    wanted = mixed.groupBy("doc", F.col("places")[0]["key"].alias("key")).agg(F.collect_list(place).alias("wanted"))
+    """REGION, doc, n and ``content`` BINARY: words with one space between, or the bytes themselves.
+
+    A row's regions are as many as its text has windows at most, and are gathered by row.
+    """
+    carried = [*REGION, "doc", "n"]
+    wanted = mixed.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "n_windows", *carried)).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             asked, items = batch.column("wanted").offsets.to_numpy(), batch.column("wanted").values
             for low, high in blocks(offsets):
-                values, begins = unit.content(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                begin = np.repeat(begins[:-1], np.diff(asked[low : high + 1]))
+                symbols = unit.symbols(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                begin = np.repeat(symbols.offsets[:-1], np.diff(asked[low : high + 1]))
                 got = items.slice(asked[low], asked[high] - asked[low])
                 start, n_windows = (got.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-                sizes = n_windows + unit.window - 1
-                content = values[ranges(begin + start, sizes)]
-                ends = np.append(0, np.cumsum(sizes)) * content.itemsize
-                binary = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(content)])
+                if not len(start):
+                    continue
+                a, b = symbols.spelled(begin + start, begin + start + n_windows + unit.window - 1)
+                content = symbols.data[ranges(a, b - a)]
+                ends = np.append(0, np.cumsum(b - a))
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(content)])
                 yield pa.RecordBatch.from_arrays(
                     [*(got.field(i) for i in range(2, 2 + len(carried))), binary.cast(pa.binary())], [*carried, "content"])
 
-    return keyed(docs).join(wanted, ["doc", "key"]).select("text", "wanted").mapInArrow(
-        run, "anchor LONG, digest LONG, doc LONG, places ARRAY<STRUCT<key: LONG, start: INT>>, n LONG, content BINARY")
+    # Rows that repeat give their regions again, which stands for nothing new.
+    return keyed(docs).join(wanted, ["doc", "key"]).select("text", "wanted").mapInArrow(run, "anchor LONG, digest LONG, digest2 LONG, doc LONG, n LONG, content BINARY")
 
 
 #: Distinct regions of one anchor that are compared in one go.
@@ -203,8 +239,9 @@ SHARD = 2048
 
 @dataclass(frozen=True)
 class Region:
+    digest: int
+    digest2: int
     doc: int
-    places: list[dict]
     n: int
     content: bytes
 
@@ -214,8 +251,8 @@ class Region:
 Solver = Callable[[list[Region]], Callable[[list[Region]], Iterator[tuple[int, int, int]]]]
 
 
-def solve(contents: DataFrame, solver: Solver, batch_bytes: int, name: str) -> DataFrame:
-    """doc, key, start, end: the symbols of windows that ``solver`` finds elsewhere.
+def solve(contents: DataFrame, places: DataFrame, solver: Solver, batch_bytes: int, name: str) -> DataFrame:
+    """doc, key, start, end: the symbols of windows that ``solver`` finds elsewhere, at all ``places`` of their regions.
 
     Regions go to tasks by anchor. An anchor with more than ``SHARD`` regions is split: each
     part is a reference shard, and all the anchor's regions are streamed past it, so a task
@@ -227,39 +264,42 @@ def solve(contents: DataFrame, solver: Solver, batch_bytes: int, name: str) -> D
     shards = F.coalesce("shards", F.lit(1))
     dealt = contents.join(hot, "anchor", "left").withColumn("own", F.pmod(F.hash("digest"), shards))
     dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-    columns = ["anchor", "shard", "probe", "doc", "places", "n", "content"]
+    columns = ["anchor", "shard", "probe", "digest", "digest2", "doc", "n", "content"]
     dealt = dealt.withColumn("probe", F.col("own") != F.col("shard")).select(*columns)
     dealt = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "probe", "doc")
 
-    def answers(references: list[Region], probes: list[Region]) -> Iterator[pa.RecordBatch]:
-        found = [(probes[i].doc, at["key"], at["start"] + a, at["start"] + b)
-                 for i, a, b in solver(sorted(references, key=lambda r: r.doc))(probes) for at in probes[i].places]
+    def answers(anchors: list[int], references: list[Region], probes: list[Region]) -> Iterator[pa.RecordBatch]:
+        found = [(anchors[i], probes[i].digest, probes[i].digest2, a, b)
+                 for i, a, b in solver(sorted(references, key=lambda r: r.doc))(probes)]
         if found:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "start", "end"])
+            yield pa.RecordBatch.from_arrays(columns, [*REGION, "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references, probes, size, last = [], [], 0, None
+        anchors, references, probes, size, last = [], [], [], 0, None
         for batch in batches:
             for anchor, shard, only_probe, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 region = Region(*rest)
                 # Shards of one anchor have the same probes and must not meet.
                 if last and (anchor, shard) != last and (size >= batch_bytes or anchor == last[0]):
-                    yield from answers(references, probes)
-                    references, probes, size = [], [], 0
+                    yield from answers(anchors, references, probes)
+                    anchors, references, probes, size = [], [], [], 0
                 elif only_probe and len(probes) >= 2 * SHARD:
-                    yield from answers(references, probes)
-                    probes = []
+                    yield from answers(anchors, references, probes)
+                    anchors, probes = [], []
                 if not only_probe:
                     references.append(region)
+                anchors.append(anchor)
                 probes.append(region)
                 size += len(region.content)
                 last = (anchor, shard)
         if probes:
-            yield from answers(references, probes)
+            yield from answers(anchors, references, probes)
 
-    return dealt.mapInArrow(run, "doc LONG, key LONG, start INT, end INT")
+    found = stage(dealt.mapInArrow(run, "anchor LONG, digest LONG, digest2 LONG, low INT, high INT"), f"{name}-found")
+    spread = places.join(found.hint("merge"), REGION)
+    return spread.select("doc", "key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
 
 
 def covered(found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinspan.llm.symbols import BYTE_VALUES, blocks, mix, prefix, span_hash, text_buffers
+from twinspan.llm.symbols import blocks, mix, prefix, span_hash, text_buffers
 from twinspan.operators.store import stage
 
 # Fixed values of the task.
@@ -108,7 +108,7 @@ def _collected(batches: Iterator[pa.RecordBatch], spelled: bool) -> Iterator[_Te
             if not len(starts):
                 continue
             # The language is part of a word, so phrases of different languages differ.
-            hashes = mix(span_hash(prefix(BYTE_VALUES[part]), starts, ends) ^ _name_hashes(list(names))[code[low:high][row]])
+            hashes = mix(span_hash(prefix(part), starts, ends) ^ _name_hashes(list(names))[code[low:high][row]])
             words = None
             if spelled:
                 at = np.append(0, np.cumsum(ends - starts))
@@ -128,7 +128,7 @@ def _name_hashes(names: list[str]) -> np.ndarray:
     out = np.zeros(len(names), np.uint64)
     for i, name in enumerate(names):
         value = np.frombuffer(name.encode(), np.uint8)
-        out[i] = span_hash(prefix(BYTE_VALUES[value]), np.array([0]), np.array([len(value)]))[0]
+        out[i] = span_hash(prefix(value), np.array([0]), np.array([len(value)]))[0]
     return out
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.llm.symbols import blocks, mix, prefix, span_hash, text_buffers, word_hashes
+from twinspan.llm.symbols import blocks, chained, mix, text_buffers, word_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -87,7 +87,7 @@ def _grams(values: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> tuple[
     if not begins[-1]:
         return np.zeros(0, np.uint64), begins
     start = np.arange(begins[-1]) + np.repeat(rows[:-1] - begins[:-1], counts)
-    return span_hash(prefix(values), start, start + width), begins
+    return chained(values, width)[start], begins
 
 
 def _words(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from twinspan.llm.anchors import NO_ID, keyed
 from twinspan.llm.carried import Carried
 from twinspan.llm.components import components
-from twinspan.llm.symbols import blocks, mix, prefix, signed, span_hash, text_buffers, word_hashes
+from twinspan.llm.symbols import blocks, chained, mix, signed, text_buffers, word_hashes
 from twinspan.operators.store import stage
 
 SHINGLE = 5
@@ -81,14 +81,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> Shingles:
     """Shingles of a block of at most 4,095 rows; a row of one to four words has one, all its words."""
     values, rows = word_hashes(data, offsets)
     n_words = np.diff(rows)
-    sums = prefix(values)
-    whole = span_hash(sums, rows[:-1], rows[1:]) if len(values) else np.zeros(len(n_words), np.uint64)
-    digests = mix(whole ^ mix(n_words.astype(np.uint64) + np.uint64(1)))
+    # Each word is scrambled with its place in the row, then the row's are summed.
+    place = np.arange(len(values), dtype=np.uint64) - np.repeat(rows[:-1], n_words).astype(np.uint64)
+    running = np.append(np.uint64(0), np.cumsum(mix(values ^ mix(place + np.uint64(1)))))
+    digests = mix((running[rows[1:]] - running[rows[:-1]]) ^ mix(n_words.astype(np.uint64) + np.uint64(1)))
     counts = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
     row = np.repeat(np.arange(len(n_words)), counts)
     start = rows[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    end = np.minimum(start + SHINGLE, rows[row + 1])
-    grams = span_hash(sums, start, end) if len(start) else np.zeros(0, np.uint64)
+    grams = np.zeros(len(start), np.uint64)
+    width = np.minimum(n_words, SHINGLE)[row]
+    for size in range(1, SHINGLE + 1):
+        these = width == size
+        grams[these] = chained(values, size)[start[these]]
     packed = (row.astype(np.uint64) << np.uint64(_BITS)) | (grams >> np.uint64(64 - _BITS))
     packed, times = np.unique(packed, return_counts=True)
     at = np.searchsorted(packed >> np.uint64(_BITS), np.arange(len(n_words) + 1, dtype=np.uint64))

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from twinspan.llm.symbols import BYTE_VALUES, blocks, prefix, ranges, span_hash, text_buffers
+from twinspan.llm.symbols import blocks, ranges, text_buffers
 
 #: The mark of a space, and the normalised form of a byte that is not UTF-8.
 SPACE = "▁"
@@ -191,11 +191,11 @@ class Codec:
     # --- segmentation --------------------------------------------------------------
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool, self.pool_size = np.zeros(1 << 16, np.int32), 0
         self.pool_start, self.pool_count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: list[bytes], words: list[str]) -> None:
         """Segment words that were not met before and keep their ids."""
         found = self.bare.encode(words, num_threads=1)
         counts = np.array([len(f) for f in found], np.int64)
@@ -227,18 +227,18 @@ class Codec:
         begin[3:] &= ~mark[:-3]
         begin[offsets[:-1][offsets[:-1] < len(normal)]] = True
         starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(normal))
-        hashes = span_hash(prefix(BYTE_VALUES[normal]), starts, ends)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        # Words lie side by side; equal ones are told by their bytes.
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(normal))), pa.py_buffer(np.ascontiguousarray(normal))])
+        named = words.dictionary_encode()
+        keys = named.dictionary.to_pylist()
         entry = [self.known.get(k, -1) for k in keys]
         new = [i for i, e in enumerate(entry) if e < 0]
         if new:
-            text = normal.tobytes()
-            self._learn([keys[i] for i in new], [text[starts[at[i]] : ends[at[i]]].decode() for i in new])
+            self._learn([keys[i] for i in new], [keys[i].decode() for i in new])
             for i in new:
                 entry[i] = self.known[keys[i]]
-        entry = np.array(entry, np.int64)[inverse]
+        entry = np.array(entry, np.int64)[named.indices.to_numpy()]
         counts = self.pool_count[entry]
         ids = self.pool[ranges(self.pool_start[entry], counts)]
         id_ends = np.concatenate([[0], np.cumsum(counts)])

@@ -1,6 +1,6 @@
 """Removal of long word passages that stand in an earlier document, by suffix automata.
 
-Reference shards are suffix automata over word hashes; documents are streamed past them for
+Reference shards are suffix automata over words; documents are streamed past them for
 matching statistics, and the maximal spans that match over the threshold go. The reference
 is the corpus itself and has no size bound, so a shard is not broadcast to every task:
 anchors bring each document's passages to just the shards that may hold them (``anchors``).
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.llm.anchors import NO_ID, Region, Unit, covered, find_repeats, mask, region_contents, solve, span_rows
-from twinspan.llm.symbols import blocks, ranges, text_buffers, word_spans
+from twinspan.llm.symbols import SPACES, blocks, ranges, text_buffers, word_spans
 
 WINDOW = 50
 GRAM = 8
-#: Content bytes (8 a word) of the small anchors that share one automaton.
+#: Content bytes of the small anchors that share one automaton.
 BATCH = 400_000
 
 
@@ -106,15 +106,27 @@ class SuffixAutomaton:
             yield begin, end
 
 
-def _solver(references: list[Region]):
-    automaton = SuffixAutomaton()
-    words = lambda r: np.frombuffer(r.content, np.uint64).tolist()
-    for r in references:
-        automaton.add(words(r), r.doc)
+def _numbered(regions: list[Region]) -> list[list[int]]:
+    """Each region's words as numbers, equal for equal words and no others."""
+    data, offsets = text_buffers(pa.array([r.content for r in regions], pa.binary()).view(pa.string()))
+    starts, ends, rows = word_spans(data, offsets)
+    held = np.append(0, np.cumsum(ends - starts))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(held), pa.py_buffer(data[~SPACES[data]])])
+    numbers = words.dictionary_encode().indices.to_pylist()
+    return [numbers[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
+
 
+def _solver(references: list[Region]):
     def probe(probes: list[Region]) -> Iterator[tuple[int, int, int]]:
+        at = {id(r): k for k, r in enumerate(probes)}
+        others = [r for r in references if id(r) not in at]
+        words = _numbered(probes + others)
+        at.update((id(r), len(probes) + k) for k, r in enumerate(others))
+        automaton = SuffixAutomaton()
+        for r in references:
+            automaton.add(words[at[id(r)]], r.doc)
         for i, r in enumerate(probes):
-            for a, b in automaton.matches(words(r), r.doc, WINDOW):
+            for a, b in automaton.matches(words[i], r.doc, WINDOW):
                 yield i, a, b
 
     return probe
@@ -125,7 +137,7 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     found = find_repeats(docs, unit, "substrings")
     copied = found.copies.filter("doc > first_doc").select(
         "doc", "key", "start", (F.col("start") + F.col("n_windows") + unit.window - 1).alias("end"))
-    compared = solve(region_contents(docs, found.mixed, unit), _solver, BATCH, "substrings")
+    compared = solve(region_contents(docs, found.mixed, unit), found.places, _solver, BATCH, "substrings")
     return covered(copied.unionAll(compared))
 
 

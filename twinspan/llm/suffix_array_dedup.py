@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.anchors import Region, Unit, covered, find_repeats, mask, merged, region_contents, solve
 from twinspan.llm.substring_dedup import with_spans
-from twinspan.llm.symbols import BYTE_VALUES, prefix, ranges, span_hash
+from twinspan.llm.symbols import BYTE_VALUES, chained, prefix, ranges, span_hash
 
 LENGTH = 400
 GRAM = 16
@@ -28,6 +28,8 @@ UNIT = Unit(False, LENGTH, GRAM)
 #: Bytes of a trigger, and one in how many places is one.
 TRIGGER = 8
 TRIGGER_RATE = 24
+#: Bytes that are compared at once.
+COMPARED = 4_000_000
 #: Content bytes of the small anchors that are sorted together.
 BATCH = 500_000
 
@@ -64,17 +66,28 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, longest: int, small: boo
     return rank
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> None:
+    """Raise unless the ranges at ``a`` and ``b`` hold the same bytes: hashes only propose equality."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(a):
+        high = max(int(np.searchsorted(ends, ends[low] - sizes[low] + COMPARED, side="right")), low + 1)
+        if (data[ranges(a[low:high], sizes[low:high])] != data[ranges(b[low:high], sizes[low:high])]).any():
+            raise RuntimeError("two strings share a hash")
+        low = high
+
+
 class Parsing:
     """The prefix-free parsing of several strings, and their suffixes' order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.sums = prefix(BYTE_VALUES[data])
+        self.sums = prefix(data)
         n, sizes = len(data), np.diff(offsets)
         # Phrases begin at strings' starts and at triggers that lie inside one string.
         begin = np.zeros(n, bool)
         begin[offsets[:-1][sizes > 0]] = True
         if n >= TRIGGER:
-            marks = span_hash(self.sums, slice(0, n - TRIGGER + 1), slice(TRIGGER, n + 1)) % np.uint64(TRIGGER_RATE) == 0
+            marks = chained(BYTE_VALUES[data], TRIGGER) % np.uint64(TRIGGER_RATE) == 0
             room = np.repeat(offsets[1:], sizes) - np.arange(n) >= TRIGGER
             begin[: n - TRIGGER + 1] |= marks & room[: n - TRIGGER + 1]
         self.starts = np.flatnonzero(begin)
@@ -85,6 +98,10 @@ class Parsing:
         # A string's last phrase ends with the string and can't equal one that ends in a trigger.
         kinds = span_hash(self.sums, self.starts, ends) ^ np.where(last, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
         _, first, phrase = np.unique(kinds, return_index=True, return_inverse=True)
+        named = first[phrase]
+        if (ends - self.starts != (ends - self.starts)[named]).any() or (last != last[named]).any():
+            raise RuntimeError("two phrases share a hash")
+        _same_bytes(data, self.starts, self.starts[named], ends - self.starts)
         # The dictionary: each distinct phrase once, a string's last one with an end mark.
         size = ends[first] - self.starts[first]
         closing = last[first]
@@ -126,6 +143,12 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     order = np.argsort(parsing.order_keys(places))
     strings = span_hash(parsing.sums, places[order], places[order] + length)
     same = strings[1:] == strings[:-1]
+    # Neighbours that follow on one another in both places are compared as one.
+    here, there = places[order[:-1][same]], places[order[1:][same]]
+    by = np.argsort(here)
+    here, there = here[by], there[by]
+    new = np.flatnonzero(np.append(True, (np.diff(here) != 1) | (np.diff(there) != 1))[: len(here)])
+    _same_bytes(data, here[new], there[new], np.diff(np.append(new, len(here))) - 1 + length)
     hit = np.sort(order[np.append(same, False) | np.append(False, same)])
     return row[hit], places[hit] - offsets[row[hit]]
 
@@ -137,8 +160,8 @@ def may_match(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> np.ndarray:
     Regions share a window only if they share that half.
     """
     half = (unit.window - unit.gram) // 2
-    sums = prefix(BYTE_VALUES[data])
-    grams = span_hash(sums, slice(0, len(data) - unit.gram + 1), slice(unit.gram, len(data) + 1))
+    sums = prefix(data)
+    grams = unit.grams(BYTE_VALUES[data])
     # The first window of a region names the anchor, as when the region was cut.
     choice = unit.least(grams, ranges(offsets[:-1], np.full(len(offsets) - 1, unit.window - unit.gram + 1)).reshape(-1, unit.window - unit.gram + 1))
     out = np.zeros(len(offsets) - 1, bool)
@@ -172,7 +195,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, key, spans: bytes of each row that a string of 400 bytes found elsewhere covers."""
     found = find_repeats(docs, UNIT, "strings")
     copied = found.copies.select("doc", "key", "start", (F.col("start") + F.col("n_windows") + LENGTH - 1).alias("end"))
-    compared = solve(region_contents(docs, found.mixed, UNIT), _solver, BATCH, "strings")
+    compared = solve(region_contents(docs, found.mixed, UNIT), found.places, _solver, BATCH, "strings")
     return covered(copied.unionAll(compared))
 
 
@@ -188,7 +211,9 @@ def _digests(data, offsets, row, start, end):
     left, begins, n_removed, n_spans = _kept(data, offsets, row, start, end)
     body = left.tobytes()
     kept = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-    return [pa.array(x.astype(np.int64)) for x in (np.diff(offsets), n_removed, n_spans)] + [pa.array(kept, pa.string())]
+    sizes = [pa.array(x.astype(np.int64)) for x in (np.diff(offsets), n_removed, n_spans)]
+    texts = pa.array([body[a:b].decode("utf-8", "replace") for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.string())
+    return [*sizes, pa.array(kept, pa.string()), texts]
 
 
 def _remaining(data, offsets, row, start, end):
@@ -199,13 +224,14 @@ def _remaining(data, offsets, row, start, end):
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text of each row.
 
-    Null text is empty. A repeated row repeats its strings. An empty table stays empty;
-    further columns are not read.
+    ``text`` is what remains; a cut inside a character leaves U+FFFD there. Null text is
+    empty. A repeated row repeats its strings. A very long text is cut into regions in pieces of
+    4 MB that overlap. An empty table stays empty; further columns are not read.
     """
     return with_spans(
-        docs, repeated_spans(docs), ["doc_id"], _digests, "n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING")
+        docs, repeated_spans(docs), ["doc_id"], _digests, "n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING, text STRING")
 
 
 def remove_strings(docs: DataFrame) -> DataFrame:

@@ -31,35 +31,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Random-looking value of each byte, and the base of the polynomial hash with its inverse.
+#: Random-looking value of each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Span hashes are polynomials modulo this prime; a power of two would let two strings of two
+#: symbols collide whatever the base.
+PRIME = (1 << 61) - 1
+_P, _S31, _S30, _S61 = _U(PRIME), _U(31), _U(30), _U(61)
+_LOW31, _LOW30 = _U((1 << 31) - 1), _U((1 << 30) - 1)
+_BASE = 0x0D1342543DE82EF9
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2^31 modulo the prime, for x below it; not fully reduced."""
+    return (x >> _S30) + ((x & _LOW30) << _S31)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it."""
+    a_high, a_low, b_high, b_low = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    return _reduced(((a_high * b_high) << _U(1)) + _shifted(a_high * b_low + a_low * b_high) + a_low * b_low)
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, PRIME))):
+            known = _powers[k]
+            while len(known) < max(n, BLOCK + 1):
+                known = np.concatenate([known, times(known, np.full(len(known), pow(base, len(known), PRIME), _U))])
+            _powers[k] = known
     return _powers[0], _powers[1]
 
 
+#: Symbols whose running sums fit 64 bits.
+LONGEST = 1 << 24
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any span follows in one step."""
-    up, _ = _powers_to(len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    """Sums from which the hash of any span follows in one step.
+
+    ``values`` are bytes or 64-bit hashes, at most ``LONGEST``.
+    """
+    n = len(values)
+    if n > LONGEST:
+        raise ValueError(f"{n} symbols are too many for one table of sums")
+    up, _ = _powers_to(n + 1)
+    out = np.zeros((2, n + 1), _U)
+    if values.dtype == np.uint8:
+        value = values.astype(_U) + _U(1)
+        np.cumsum(value * (up[:n] >> _S31), out=out[0, 1:])
+        np.cumsum(value * (up[:n] & _LOW31), out=out[1, 1:])
+    else:
+        term = times(_reduced(values), up[:n])
+        np.cumsum(term >> _S31, out=out[0, 1:])
+        np.cumsum(term & _LOW31, out=out[1, 1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
     """64-bit hashes of the spans [start, end); equal spans have equal hashes wherever they lie."""
-    _, down = _powers_to(len(sums))
-    return mix((sums[end] - sums[start]) * down[: len(sums)][start])
+    _, down = _powers_to(sums.shape[1])
+    high, low = (_reduced(sums[k][end] - sums[k][start]) for k in (0, 1))
+    return mix(times(_reduced(_shifted(high) + low), down[: sums.shape[1]][start]))
+
+
+def chained(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all ``width`` neighbours of 64-bit values, by doubling; of fewer values there are none."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    out, size, part = None, 1, values
+    done = 0
+    while True:
+        if width & size:
+            piece = part[done : done + n]
+            out = mix(piece ^ _U(size)) if out is None else mix(out * _U(0x9E3779B97F4A7C15) ^ piece)
+            done += size
+        if done == width:
+            return out
+        part = mix(part[: len(part) - size] * _U(0x9E3779B97F4A7C15) ^ part[size:])
+        size *= 2
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +158,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and where each row's words begin. Long rows are hashed in pieces."""
     starts, ends, rows = word_spans(data, offsets)
+    return spelled_hashes(data, starts, ends), rows
+
+
+def spelled_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each of the given words, in the order of their places."""
     if len(data) <= 4 * BLOCK:
-        return span_hash(prefix(BYTE_VALUES[data]), starts, ends), rows
+        return span_hash(prefix(data), starts, ends)
     out, low = [], 0
     while low < len(starts):
         high = max(int(np.searchsorted(ends, starts[low] + BLOCK, side="right")), low + 1)
         piece = data[starts[low] : ends[high - 1]]
-        out.append(span_hash(prefix(BYTE_VALUES[piece]), starts[low:high] - starts[low], ends[low:high] - starts[low]))
+        out.append(span_hash(prefix(piece), starts[low:high] - starts[low], ends[low:high] - starts[low]))
         low = high
-    return np.concatenate(out) if out else np.zeros(0, _U), rows
+    return np.concatenate(out) if out else np.zeros(0, _U)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
