@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinspan.llm.symbols import blocks, mix, prefix, span_hash, text_buffers
+from twinspan.llm.symbols import blocks, chained, mix, prefix, span_hash, spelled_hashes, text_buffers
 from twinspan.operators.store import stage
 
 # Fixed values of the task.
@@ -31,12 +31,13 @@ SUPPORT = 30
 SHOWN = 2000
 UNKNOWN = "und"
 
-#: Logical shards; each is mined by as many tasks as hold rows of it.
-SHARDS = 4
+#: Logical shards, a power of two; each is mined by as many tasks as hold rows of it.
+SHARD_BITS = 2
+SHARDS = 1 << SHARD_BITS
 #: Bits of the filters of frequent pairs and of candidates; 4 MB each for any corpus.
 FILTER_BITS = 25
 #: Words that a task counts together before it hands the counts on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 
@@ -69,52 +70,46 @@ def _reach(piece: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each ``size`` neighbouring word hashes, the last places left out."""
-    out = words[: len(words) - size + 1].copy()
-    for k in range(1, size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ words[k : len(words) - size + 1 + k])
-    return out
-
-
 @dataclass
 class _Texts:
-    """Words of several blocks: hash, piece, and the row's language and shard; words themselves if asked for."""
+    """Words of several blocks: hash, piece, and the row's language, shard and support; words themselves if asked for."""
 
     hashes: np.ndarray
     piece: np.ndarray
     lang: np.ndarray
     shard: np.ndarray
+    least: np.ndarray
     names: list[str]
     words: pa.ChunkedArray | None
 
 
 def _collected(batches: Iterator[pa.RecordBatch], spelled: bool) -> Iterator[_Texts]:
-    """Words of the batches' rows (lang, shard, text), about ``FLUSH`` at a time."""
-    parts, names, total, last = [], {}, 0, 0
+    """Words of the batches' rows (lang, shard, least, text), about ``FLUSH`` at a time."""
+    parts, names, hashed, total, last = [], {}, np.zeros(0, np.uint64), 0, 0
 
     def together() -> _Texts:
-        columns = [np.concatenate(c) for c in list(zip(*parts, strict=True))[:4]]
-        words = pa.chunked_array([p[4] for p in parts]) if spelled else None
-        return _Texts(*columns, list(names), words)
+        columns = [np.concatenate(c) for c in list(zip(*parts, strict=True))[:5]]
+        return _Texts(*columns, list(names), pa.chunked_array([p[5] for p in parts]) if spelled else None)
 
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
-        langs, shards = batch.column("lang").dictionary_encode(), batch.column("shard").to_numpy().astype(np.int64)
-        code = np.array([names.setdefault(x, len(names)) for x in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()]
+        langs = batch.column("lang").dictionary_encode()
+        shards, least = (batch.column(c).to_numpy().astype(t) for c, t in (("shard", np.int8), ("least", np.int32)))
+        code = np.array([names.setdefault(x, len(names)) for x in langs.dictionary.to_pylist()], np.int32)[langs.indices.to_numpy()]
+        hashed = np.concatenate([hashed, _name_hashes(list(names)[len(hashed) :])])
         for low, high in blocks(offsets):
             part = _LOWER[data[offsets[low] : offsets[high]]]
             starts, ends, piece, row = _words(part, offsets[low : high + 1] - offsets[low])
             if not len(starts):
                 continue
             # The language is part of a word, so phrases of different languages differ.
-            hashes = mix(span_hash(prefix(part), starts, ends) ^ _name_hashes(list(names))[code[low:high][row]])
+            lang = code[low:high][row]
+            hashes = mix(spelled_hashes(part, starts, ends) ^ hashed[lang])
             words = None
             if spelled:
                 at = np.append(0, np.cumsum(ends - starts))
-                held = part[~_GAP[part]]
-                words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(held))
-            parts.append((hashes, piece + last, code[low:high][row], shards[low:high][row], words))
+                words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(part[~_GAP[part]]))
+            parts.append((hashes, piece + last, lang, shards[low:high][row], least[low:high][row], words))
             last = int(parts[-1][1][-1]) + 1
             total += len(starts)
             if total >= FLUSH:
@@ -134,7 +129,7 @@ def _name_hashes(names: list[str]) -> np.ndarray:
 
 def _cell(keys: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
     """Bit of a key in a filter; a shard has its own."""
-    return (keys ^ (np.asarray(shard) * 40503).astype(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)
+    return (keys ^ (np.asarray(shard).astype(np.int64) * 40503).astype(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)
 
 
 def _passes(filter_: np.ndarray, keys: np.ndarray, shard: np.ndarray | int = 0) -> np.ndarray:
@@ -143,37 +138,37 @@ def _passes(filter_: np.ndarray, keys: np.ndarray, shard: np.ndarray | int = 0)
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """The bits of all ``key`` LONG, each taken in the part of its ``shard`` INT.
+    """The bits of all ``key`` LONG, each taken in the part of its ``shard`` LONG.
 
     Bits are put together by the tasks; the driver gets the filled words of a set of fixed size.
     """
-    cell = F.col("key").bitwiseXOR(F.col("shard").cast("long") * 40503).bitwiseAND((1 << FILTER_BITS) - 1)
-    word = keys.select(cell.alias("cell")).select(F.shiftright("cell", 5).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(cell & 31 AS INT))").alias("bit"))
-    filled = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    cell = F.col("key").bitwiseXOR(F.col("shard") * 40503).bitwiseAND((1 << FILTER_BITS) - 1)
+    words = keys.select(cell.alias("cell")).select(
+        F.shiftright("cell", 5).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(cell & 31 AS INT))").alias("bit"))
+    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
     return out.view(np.uint8)
 
 
+def _phrase_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Non-negative keys of ``size`` neighbouring words, with room for a shard's number."""
+    return chained(words, size) >> np.uint64(SHARD_BITS + 1)
+
+
 def _counted(texts: _Texts, sizes: tuple[int, ...], allowed) -> Iterator[pa.RecordBatch]:
-    """lang, shard, key, n of the phrases of the given sizes whose places ``allowed`` lets pass."""
+    """key, n, least of the phrases of the given sizes whose places ``allowed`` lets pass."""
     for size in sizes:
         at = np.flatnonzero(_reach(texts.piece, size) & allowed(size))
         if not len(at):
             continue
-        keys = _phrase_hashes(texts.hashes, size)[at]
-        shard = texts.shard[at]
-        by = np.lexsort((keys, shard))
-        keys, shard, at = keys[by], shard[by], at[by]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])))
-        n = np.diff(np.append(first, len(keys)))
-        lang = pa.DictionaryArray.from_arrays(pa.array(texts.lang[at[first]].astype(np.int32)), pa.array(texts.names, pa.string()))
+        keys = (_phrase_keys(texts.hashes, size)[at] << np.uint64(SHARD_BITS)) | texts.shard[at].astype(np.uint64)
+        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [lang.cast(pa.string()), pa.array(shard[first].astype(np.int32)), pa.array(keys[first].view(np.int64)), pa.array(n)],
-            ["lang", "shard", "key", "n"])
+            [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(texts.least[at[first]])], ["key", "n", "least"])
 
 
-def _frequent(docs: DataFrame, weights: DataFrame, sizes: tuple[int, ...], pairs, name: str) -> DataFrame:
+def _frequent(docs: DataFrame, sizes: tuple[int, ...], pairs, name: str) -> DataFrame:
     """shard, key of the phrases that reach their shard's support; ``pairs`` filters longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +179,7 @@ def _frequent(docs: DataFrame, weights: DataFrame, sizes: tuple[int, ...], pairs
                 continue
             pair = np.zeros(n, bool)
             if n > 1:
-                pair[:-1] = _passes(pairs.value, _phrase_hashes(texts.hashes, 2), texts.shard[:-1])
+                pair[:-1] = _passes(pairs.value, _phrase_keys(texts.hashes, 2), texts.shard[:-1])
 
             def allowed(size, pair=pair):
                 out = pair.copy()
@@ -194,8 +189,9 @@ def _frequent(docs: DataFrame, weights: DataFrame, sizes: tuple[int, ...], pairs
 
             yield from _counted(texts, sizes, allowed)
 
-    counts = docs.mapInArrow(run, "lang STRING, shard INT, key LONG, n LONG").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
-    return stage(counts.join(weights, ["lang", "shard"]).filter("n >= least").select("shard", "key"), f"collocations-{name}")
+    counts = docs.mapInArrow(run, "key LONG, n INT, least INT").groupBy("key").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    frequent = counts.filter("n >= least").select(F.col("key").bitwiseAND(SHARDS - 1).alias("shard"), F.shiftright("key", SHARD_BITS).alias("key"))
+    return stage(frequent, f"collocations-{name}")
 
 
 def _phrase_counts(docs: DataFrame, candidates) -> DataFrame:
@@ -207,7 +203,7 @@ def _phrase_counts(docs: DataFrame, candidates) -> DataFrame:
             spelled, ids = named.dictionary.cast(pa.string()), named.indices.to_numpy().astype(np.int64)
             names = pa.array(texts.names, pa.string())
             # A word's number holds its language.
-            codes, word = np.unique(texts.lang * len(spelled) + ids, return_inverse=True)
+            codes, word = np.unique(texts.lang.astype(np.int64) * len(spelled) + ids, return_inverse=True)
             lang_of, id_of = codes // len(spelled), codes % len(spelled)
 
             def batch(lang, size, phrase, n):
@@ -218,7 +214,7 @@ def _phrase_counts(docs: DataFrame, candidates) -> DataFrame:
             yield batch(lang_of, 1, spelled.take(pa.array(id_of)), np.bincount(word))
             for size in range(2, LONGEST + 1):
                 at = np.flatnonzero(_reach(texts.piece, size))
-                at = at[_passes(candidates.value, _phrase_hashes(texts.hashes, size)[at])] if len(at) else at
+                at = at[_passes(candidates.value, _phrase_keys(texts.hashes, size)[at])] if len(at) else at
                 if not len(at):
                     continue
                 # Numbers of phrases from numbers of their beginnings, exact at each step.
@@ -233,23 +229,22 @@ def _phrase_counts(docs: DataFrame, candidates) -> DataFrame:
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """lang, shard, text; a null language is ``UNKNOWN``. What stands in a row decides its shard."""
-    return docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        F.pmod(F.xxhash64("doc_id", "lang"), F.lit(SHARDS)).cast("int").alias("shard"), "text")
-
-
-def _support_per_shard(sharded: DataFrame, support: int) -> DataFrame:
-    """lang, shard, least: the support lowered to the shard's share of the language's bytes, rounded up.
+def _shards(docs: DataFrame, support: int) -> DataFrame:
+    """lang, shard, least, text; a null language is ``UNKNOWN``. What stands in a row decides its shard.
 
+    ``least`` is the support lowered to the shard's share of the language's bytes, rounded up.
     Shares add up to one, so a phrase that misses it in every shard misses the support altogether.
     """
-    sizes = sharded.groupBy("lang", "shard").agg(F.sum(F.octet_length("text").cast("long")).alias("held"))
+    rows = docs.select(
+        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
+        F.pmod(F.xxhash64("doc_id", "lang"), F.lit(SHARDS)).cast("int").alias("shard"), "text")
+    sizes = rows.groupBy("lang", "shard").agg(F.sum(F.octet_length("text").cast("long")).alias("held"))
     total = sizes.groupBy("lang").agg(F.sum("held").alias("total"))
     number = lambda c: F.col(c).cast("decimal(20, 0)")
-    share = F.ceil(F.lit(support).cast("decimal(10, 0)") * number("held") / number("total")).cast("long")
-    return sizes.join(total, "lang").filter("held > 0").select("lang", "shard", F.greatest(share, F.lit(1)).alias("least"))
+    share = F.ceil(F.lit(support).cast("decimal(10, 0)") * number("held") / number("total")).cast("int")
+    weights = sizes.join(total, "lang").filter("held > 0").select("lang", "shard", F.greatest(share, F.lit(1)).alias("least"))
+    # Rows of languages and shards without a byte have no words.
+    return rows.join(stage(weights, "collocations-support"), ["lang", "shard"])
 
 
 def _parts() -> Column:
@@ -284,11 +279,10 @@ def collocations(docs: DataFrame, support: int = SUPPORT, shown: int = SHOWN) ->
     text is taken whole.
     """
     spark = docs.sparkSession
-    sharded = _shards(docs)
-    weights = stage(_support_per_shard(sharded, support), "collocations-support")
-    pairs = _frequent(sharded, weights, (2,), None, "pairs")
-    longer = _frequent(sharded, weights, tuple(range(3, LONGEST + 1)), spark.sparkContext.broadcast(bit_filter(pairs)), "longer")
-    union = pairs.unionAll(longer).select(F.lit(0).alias("shard"), "key")
+    sharded = _shards(docs, support)
+    pairs = _frequent(sharded, (2,), None, "pairs")
+    longer = _frequent(sharded, tuple(range(3, LONGEST + 1)), spark.sparkContext.broadcast(bit_filter(pairs)), "longer")
+    union = pairs.unionAll(longer).select(F.lit(0).cast("long").alias("shard"), "key")
     counts = _phrase_counts(sharded, spark.sparkContext.broadcast(bit_filter(union)))
     counts = stage(counts, "collocations-counts")
     n = counts.filter("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
