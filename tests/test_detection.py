@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_matching import plain_score
 from twinspan.catalog import common as B
 from twinspan.operators import copies as K
+from twinspan.operators import bag_blocks
 from twinspan.operators import near_miss as M
 from twinspan.operators import segment as G
 from twinspan.operators.store import stage
@@ -149,11 +150,12 @@ def test_near_miss_join_equals_brute_force(spark):
     assert got == expected and len(got) > 5
 
 
-def test_salted_near_miss_join_is_the_same(spark, monkeypatch):
-    frags = stage(B.prints(spark, SMALL).drop("tokens", "params", "code"), "salted")
+def test_near_miss_join_in_small_blocks_is_the_same(spark, monkeypatch):
+    frags = stage(B.prints(spark, SMALL).drop("tokens", "params", "code"), "blocks")
     pick = lambda: sorted((r.near_fp_a, r.near_fp_b, r.similarity) for r in M.near_miss_join(frags, 0.5).collect())
     before = pick()
-    monkeypatch.setattr(M, "HOT", 5)
+    monkeypatch.setattr(bag_blocks, "BLOCK", 7)
+    monkeypatch.setattr(bag_blocks, "COLUMNS", 64)
     assert pick() == before
 
 

@@ -68,33 +68,6 @@ def test_bound_is_an_upper_bound(a, b):
     assert bound + 1e-9 >= plain_score(a, b) * total / 2
 
 
-def test_prefixes_of_qualifying_pairs_meet():
-    rng = random.Random(5)
-    pairs = 0
-    for t in (0.75, 0.9):
-        for _ in range(1500):
-            a = [rng.choice(TOKENS) for _ in range(rng.randrange(3, 40))]
-            b = list(a)
-            for _ in range(rng.randrange(0, 9)):
-                at = rng.randrange(len(b) + 1)
-                b[at:at + rng.randrange(2)] = [rng.choice(TOKENS)]
-            if plain_score(a, b) < t:
-                continue
-            pairs += 1
-            x, y = M.signature_batch(pa.array([a, b]), t / (2 - t)).to_pylist()
-            assert set(x["elems"]) & set(y["elems"])
-            shared = sum(min(w, dict(zip(y["elems"], y["weights"])).get(e, 0)) for e, w in zip(x["elems"], x["weights"]))
-            rest = x["rest"] if x["cut"] <= y["cut"] else y["rest"]
-            assert shared + rest + C.OTHER_WEIGHT >= t / 2 * (x["weight"] + y["weight"]) - 1e-9
-    assert pairs > 500
-
-
-def test_signature_survives_null_and_empty_rows():
-    got = M.signature_batch(pa.array([[], ["ID_0", "="], []], pa.list_(pa.string())), 0.6).to_pylist()
-    assert [g["weight"] for g in got] == [0, 15, 0]
-    assert got[0]["elems"] == [] and len(got[1]["elems"]) >= 1
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "é", "x1", "if", "1", "'s'", "(", "_"]), max_size=15), max_size=6))
 def test_batch_renaming_is_first_seen_order(batch):

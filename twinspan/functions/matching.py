@@ -10,8 +10,6 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,124 +253,7 @@ def near_miss_udf(at_least: float):
     return score
 
 
-def bound_udf(at_least: float):
-    """Arrow UDF (key_a, key_b, codes_a, codes_b) -> may the score reach ``at_least``?"""
-
-    def judge(a: Profile, b: Profile) -> bool:
-        need = (at_least - SLACK) * (a.total + b.total) / 2
-        return bool(matched_weight_bound(a, b, need) >= need)
-
-    @F.arrow_udf(T.BooleanType())
-    def may_reach(key_a: pa.Array, key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
-        return pa.array(_per_pair(key_a, key_b, codes_a, codes_b, judge), pa.bool_())
-
-    return may_reach
-
-
-@F.arrow_udf(T.LongType())
-def bag_udf(key_a: pa.Array, key_b: pa.Array, codes_a: pa.Array, codes_b: pa.Array) -> pa.Array:
-    """Weighted bag intersection."""
-    return pa.array(_per_pair(key_a, key_b, codes_a, codes_b, lambda a, b: int(bag_by_class(a, b).sum())), pa.int64())
-
-
 @F.arrow_udf(T.DoubleType())
 def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Plain token-sequence ratio; depends on the order of the two sides."""
     return pa.array([sequence_similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
-
-
-# --- prefix signatures ---------------------------------------------------------
-
-_SIGNATURE = T.StructType([
-    T.StructField("weight", T.LongType()),
-    T.StructField("rest", T.LongType()),
-    T.StructField("cut", T.LongType()),
-    T.StructField("elems", T.ArrayType(T.LongType())),
-    T.StructField("weights", T.ArrayType(T.LongType())),
-    T.StructField("suffix", T.ArrayType(T.LongType())),
-])
-
-
-HASH_BITS = 40
-HASH_MASK = (1 << HASH_BITS) - 1
-
-
-class ElementOrder:
-    """Places the elements known to be frequent after all others, rarest first.
-
-    ``frequent`` holds element hashes by ascending frequency. Its size is fixed by the
-    caller; elements it does not name count as rare and go by their hash.
-    """
-
-    def __init__(self, frequent: list[int] = ()):
-        hashes = np.array(frequent, dtype=np.int64)
-        at = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[at], at.astype(np.int64) + 1
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return hashes
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        rank = np.where(self.hashes[at] == hashes, self.ranks[at], 0)
-        return (rank << HASH_BITS) | hashes
-
-
-def signature_batch(tokens: pa.ListArray, keep: float, order_by: ElementOrder = ElementOrder()) -> pa.StructArray:
-    """Weighted prefix of (token, occurrence) elements for each token list.
-
-    Elements are put in one order for all lists; any such order is lossless, and one
-    that starts with rare elements keeps the join small. The prefix ends when the
-    weight after it is below ``keep`` times the total.
-    """
-    flat = pc.dictionary_encode(tokens.flatten())
-    words = flat.dictionary.to_pylist()
-    code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int64)
-    n_rows = len(lengths)
-    row = np.repeat(np.arange(n_rows), lengths)
-
-    order = np.lexsort((np.arange(len(code)), code, row))
-    r, c = row[order], code[order]
-    new = np.ones(len(r), dtype=bool)
-    new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-    occ = (np.arange(len(r)) - start).astype(np.uint64)
-
-    w = np.array([weight(t) for t in words], dtype=np.int64)[c] if len(words) else c
-    hashed = np.array([xxhash.xxh64_intdigest(t) for t in words], dtype=np.uint64)
-    hashed = hashed[c] if len(words) else c.astype(np.uint64)
-    mixed = (hashed + occ * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    key = order_by.keys((mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
-
-    final = np.lexsort((key, r))
-    r, key, w = r[final], key[final], w[final]
-    total = np.bincount(r, weights=w, minlength=n_rows).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    running = np.cumsum(w) - w
-    before = running - running[bounds[:-1].clip(max=max(len(w) - 1, 0))][r] if len(w) else running
-    suffix = total[r] - before
-    inside = suffix >= keep * total[r] - 1e-6
-    kept = np.bincount(r[inside], minlength=n_rows)
-    offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
-    taken = np.bincount(r[inside], weights=w[inside], minlength=n_rows).astype(np.int64)
-    cut = np.zeros(n_rows, dtype=np.int64)
-    full = kept > 0
-    cut[full] = key[inside][offsets[1:][full] - 1]
-    lists = [
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[inside])) for v in (key, w, suffix)
-    ]
-    return pa.StructArray.from_arrays(
-        [pa.array(total), pa.array(total - taken), pa.array(cut), *lists],
-        names=[f.name for f in _SIGNATURE],
-    )
-
-
-def signature_udf(keep: float, frequent: list[int] = ()):
-    order_by = ElementOrder(frequent)
-
-    @F.arrow_udf(_SIGNATURE)
-    def signature(tokens: pa.Array) -> pa.Array:
-        return signature_batch(tokens, keep, order_by)
-
-    return signature

@@ -4,39 +4,33 @@ The score of a pair is twice its matched weight over the sum of both weights. Ma
 runs are disjoint equal token runs, so the matched weight never exceeds the weighted
 bag intersection I, and a pair at or above tau needs I >= tau/2 (Wa+Wb). From that:
 
-  length     Wb >= tau/(2-tau) Wa, and the other way round
-  prefix     both prefixes hold the first common element (``signature_batch``)
-  remainder  I <= shared prefix weight + weight after the prefix that ends first
-  bound      bag and common subsequence per weight class
+  length     Wb >= tau/(2-tau) Wa, and the other way round, by weight band
+  classes    no weight class can share more than the lesser of both sides has of it
+  bag        I itself, for all pairs of two blocks as one matrix product
+  bound      common subsequence per weight class
   verify     the exact score
 
-Each filter only drops pairs that cannot reach tau. All but the last work on shapes,
-the distinct parameterised token lists: literals weigh the same whatever their value,
-so overlap of shapes bounds overlap of contents from above. Copies, renamed copies and
-copies with other literals are one shape, and a shape is never compared with itself.
+Each filter only drops pairs that cannot reach tau. All but the last work on shapes
+(``bag_blocks``), the distinct parameterised token lists: literals weigh the same whatever
+their value, so overlap of shapes bounds overlap of contents from above. Copies, renamed
+copies and copies with other literals are one shape, never compared with itself.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan import constants as C
 from twinspan.functions import text as X
-from twinspan.functions.matching import SLACK, bag_udf, bound_udf, near_miss_udf, signature_udf
+from twinspan.functions.matching import SLACK, near_miss_udf
 from twinspan.functions.numeric import require
+from twinspan.operators.bag_blocks import matching_pairs
 from twinspan.operators.copies import PLACE, overlapping_fragments, place, salted
 from twinspan.operators.segment import once
 from twinspan.operators.store import stage
 
 KEY = ["job_id", "language"]
-# Rows of one element group that one task compares on its lighter side.
-HOT = 20_000
-# Shapes looked at, and elements kept, when estimating which elements are frequent.
-SAMPLE = 20_000
-FREQUENT = 8192
 
 
 def tau(threshold: float) -> float:
@@ -53,103 +47,24 @@ def contents(frags: DataFrame) -> DataFrame:
 
 
 def shapes(rows: DataFrame) -> DataFrame:
-    """One row per distinct parameterised token list, with an id over job and language.
+    """One row per distinct parameterised token list of a job and language.
 
     ``rows`` are fragments or contents; a literal in them becomes ``LITERAL`` again.
     """
     return rows.groupBy(*KEY, "param_fp").agg(F.first("near").alias("near")).select(
-        *KEY, "param_fp",
-        # 16 bytes; the first four are shared within job and language.
-        F.unhex(F.concat(
-            F.substring(F.md5(F.concat_ws(":", *KEY).cast("binary")), 1, 8),
-            F.substring(F.md5(F.concat_ws(":", *KEY, "param_fp").cast("binary")), 1, 24))).alias("cid"),
-        F.transform("near", lambda t: F.when(X.is_literal(t), "LITERAL").otherwise(t)).alias("toks"),
+        *KEY, "param_fp", F.transform("near", lambda t: F.when(X.is_literal(t), "LITERAL").otherwise(t)).alias("toks"),
     ).withColumn("codes", X.token_codes("toks"))
 
 
-def frequent_elements(rows: DataFrame) -> list[int]:
-    """The most frequent (token, occurrence) elements, rarest first.
+def shape_pairs(rows: DataFrame, t: float, name: str, others: DataFrame | None = None) -> DataFrame:
+    """KEY, param_fp_a, param_fp_b of shapes whose bags and common subsequences can reach ``t``.
 
-    They only decide the order of elements, never the result, so they are estimated
-    from a bounded sample and the list has a fixed size.
+    With ``others`` each pair has one shape of each table; it comes once, whichever holds both.
     """
-    share = min(1.0, SAMPLE / max(rows.count(), 1))
-    some = rows if share == 1.0 else rows.sample(share, seed=7)
-    elems = some.select(F.explode(signature_udf(0.0)("toks")["elems"]).alias("h"))
-    top = elems.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return [r.h for r in reversed(top.collect())]
-
-
-def signatures(rows: DataFrame, t: float, frequent: list[int]) -> DataFrame:
-    """Weight and prefix of every row, in the element order given by ``frequent``."""
-    return once(rows.select(*KEY, "cid", "toks"), "sig", signature_udf(t / (2 - t), frequent)("toks")).select(
-        *KEY, "cid", "sig.*")
-
-
-PER_ROW = ("cid", "weight", "rest", "cut")
-
-
-def _prefix_rows(sigs: DataFrame, t: float, heavy: bool) -> DataFrame:
-    """One row per prefix element, keyed by a hash of job, language, band and element.
-
-    A band spans the permitted length ratio, so partners lie in the same or the next
-    band; the heavier side is entered in both. A hash collision only adds a candidate.
-    """
-    step = -math.log(t / (2 - t))
-    band = F.floor(F.log(F.col("weight").cast("double")) / F.lit(step)).cast("int")
-    rows = sigs.filter("weight > 0").withColumn("band", band)
-    if heavy:
-        rows = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    rows = rows.withColumn("scope", F.xxhash64(*KEY, "band")).select(
-        "scope", *PER_ROW, F.explode(F.arrays_zip("elems", "weights", "suffix")).alias("e"))
-    return rows.select(
-        F.xxhash64("scope", "e.elems").alias("group"), *PER_ROW,
-        F.col("e.weights").alias("w"), F.col("e.suffix").alias("suffix"))
-
-
-def candidates(sigs: DataFrame, t: float, partners: DataFrame | None = None) -> DataFrame:
-    """Pairs of ids that may reach ``t``, smaller weight first.
-
-    Rows meet on their element group. Groups of more than ``HOT`` rows are split into
-    salts, the heavier side entered once per salt, so a crowded group is shared by many
-    tasks. Pair rows are combined map-side before their shuffle.
-
-    With ``partners`` only pairs of one row of each frame are formed.
-    """
-    if partners is not None:
-        return _meet(sigs, partners, t).unionByName(_meet(partners, sigs, t)).distinct()
-    return _meet(sigs, sigs, t)
-
-
-def _meet(light_sigs: DataFrame, heavy_sigs: DataFrame, t: float) -> DataFrame:
-    light, heavy = _prefix_rows(light_sigs, t, False), _prefix_rows(heavy_sigs, t, True)
-    keys = ["group"]
-    if light_sigs.count() > HOT:
-        # No group is larger than the table, so smaller tables need no salts. The hot
-        # groups are counted map-side and are few: at most rows / HOT.
-        hot = light.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(
-            "group", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-        salts = F.coalesce("salts", F.lit(1))
-        light = light.join(hot, "group", "left").withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
-        heavy = heavy.join(hot, "group", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        keys = ["group", "salt"]
-    side = lambda d, s: d.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in (*PER_ROW, "w", "suffix")])
-    need = F.lit(t / 2 - SLACK) * (F.col("weight_a") + F.col("weight_b"))
-    ordered = (F.col("weight_a") < F.col("weight_b")) | (
-        (F.col("weight_a") == F.col("weight_b")) & (F.col("cid_a") < F.col("cid_b")))
-    return (
-        side(light, "a").join(side(heavy, "b"), keys)
-        .filter(ordered & (F.col("weight_a") >= need))
-        .groupBy("cid_a", "cid_b")
-        .agg(
-            F.sum(F.least("w_a", "w_b")).alias("shared"),
-            F.max(F.least("suffix_a", "suffix_b")).alias("reach"),
-            F.max("weight_a").alias("weight_a"), F.max("weight_b").alias("weight_b"),
-            F.max(F.when(F.col("cut_a") <= F.col("cut_b"), F.col("rest_a")).otherwise(F.col("rest_b"))).alias("rest"),
-        )
-        .filter((F.col("reach") >= need) & (F.col("shared") + F.col("rest") + C.OTHER_WEIGHT >= need))
-        .select("cid_a", "cid_b")
-    )
+    ids = lambda d: d.withColumnRenamed("param_fp", "id")
+    met = matching_pairs(ids(rows), t, True, name, None if others is None else ids(others))
+    pairs = met.select(*KEY, F.least("id_a", "id_b").alias("param_fp_a"), F.greatest("id_a", "id_b").alias("param_fp_b"))
+    return pairs if others is None else pairs.distinct()
 
 
 def spread(met: DataFrame, n: int, a: str, b: str) -> DataFrame:
@@ -164,37 +79,21 @@ def spread(met: DataFrame, n: int, a: str, b: str) -> DataFrame:
     return met.repartition(parts, F.col(b), F.pmod(F.xxhash64(a), F.lit(8)))
 
 
-def _both(pairs: DataFrame, rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cid", *cols)])
-    return pairs.join(side("a"), "cid_a").join(side("b"), "cid_b")
-
-
-def bounded(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
-    """Candidates whose bag and subsequence bound reaches ``t``, as pairs of shapes."""
-    met = _both(pairs, rows, (*KEY, "param_fp", "codes")).filter("job_id_a = job_id_b AND language_a = language_b")
-    met = spread(met, pairs.count(), "cid_a", "cid_b")
-    return once(met, "ok", bound_udf(t)("cid_a", "cid_b", "codes_a", "codes_b")).filter("ok").select(
-        F.col("job_id_a").alias("job_id"), F.col("language_a").alias("language"), "param_fp_a", "param_fp_b")
-
-
-def verify(shape_pairs: DataFrame, distinct: DataFrame, t: float) -> DataFrame:
+def verify(pairs: DataFrame, distinct: DataFrame, t: float) -> DataFrame:
     """Contents of the paired shapes whose exact score reaches ``t``."""
     def side(s):
         cols = ("param_fp", "codes", "near_fp", "n_members", "rep")
         return distinct.select(*KEY, *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    met = shape_pairs.join(side("a"), [*KEY, "param_fp_a"]).join(side("b"), [*KEY, "param_fp_b"])
-    met = spread(met, shape_pairs.count(), "near_fp_a", "near_fp_b")
+    met = pairs.join(side("a"), [*KEY, "param_fp_a"]).join(side("b"), [*KEY, "param_fp_b"])
+    met = spread(met, pairs.count(), "near_fp_a", "near_fp_b")
     return once(met, "similarity", near_miss_udf(t)("near_fp_a", "near_fp_b", "codes_a", "codes_b")).filter(
         "similarity IS NOT NULL").drop("codes_a", "codes_b", "param_fp_a", "param_fp_b")
 
 
 def near_miss_contents(distinct: DataFrame, t: float) -> DataFrame:
     """Pairs of distinct contents with exact score at least ``t``; stage ``distinct`` first."""
-    rows = stage(shapes(distinct), "shapes")
-    sigs = stage(signatures(rows, t, frequent_elements(rows)), "signatures")
-    found = stage(candidates(sigs, t), "candidates")
-    return verify(stage(bounded(found, rows, t), "bounded"), distinct, t)
+    return verify(stage(shape_pairs(shapes(distinct), t, "shapes"), "bounded"), distinct, t)
 
 
 def near_miss_join(frags: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
@@ -243,25 +142,16 @@ def fragment_counts(pairs: DataFrame, frags: DataFrame) -> DataFrame:
 def bag_overlap_join(rows: DataFrame, key: str, toks: str, t: float) -> DataFrame:
     """Pairs of rows whose weighted token bags overlap by at least ``t`` (Dice).
 
-    Rows meet within job and language where they have these columns. The same prefix
-    join as above, with the exact overlap for surviving candidates.
+    Rows meet within job and language where they have these columns, block by block.
     """
     scope = [(F.col(k) if k in rows.columns else F.lit("all")).alias(k) for k in KEY]
-    base = stage(rows.select(
-        *scope, F.col(key).alias("cid"), F.col(toks).alias("toks"),
-        X.token_codes(toks).alias("codes"), X.total_weight(toks).alias("total")), "bags")
-    sigs = stage(signatures(base, t, frequent_elements(base)), "signatures")
-    found = stage(candidates(sigs, t), "candidates")
-    met = _both(found, base, (*KEY, "codes", "total")).filter("job_id_a = job_id_b AND language_a = language_b")
-    met = spread(met, found.count(), "cid_a", "cid_b")
-    met = once(met, "shared", bag_udf("cid_a", "cid_b", "codes_a", "codes_b"))
-    return (
-        met.withColumn("overlap", 2 * F.col("shared") / (F.col("total_a") + F.col("total_b")))
-        .filter(F.col("overlap") >= t - SLACK)
-        .select(
-            F.least("cid_a", "cid_b").alias(f"{key}_a"), F.greatest("cid_a", "cid_b").alias(f"{key}_b"),
-            "shared", "overlap")
-    )
+    base = rows.select(*scope, F.col(key).alias("id"), X.token_codes(toks).alias("codes"), X.total_weight(toks).alias("total"))
+    met = matching_pairs(base, t, False, "bags")
+    total = lambda s: base.select(*KEY, F.col("id").alias(f"id_{s}"), F.col("total").alias(f"total_{s}"))
+    met = met.join(total("a"), [*KEY, "id_a"]).join(total("b"), [*KEY, "id_b"])
+    return met.select(
+        F.least("id_a", "id_b").alias(f"{key}_a"), F.greatest("id_a", "id_b").alias(f"{key}_b"), "shared",
+        (2 * F.col("shared") / (F.col("total_a") + F.col("total_b"))).alias("overlap"))
 
 
 def expand_near(near: DataFrame, frags: DataFrame, max_class: int | None = None) -> DataFrame:
