@@ -32,12 +32,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     at = stage(edges.filter("a != b").select("a", "b").distinct(), f"{name}-edges")
     if at.isEmpty():
         return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    mark = None
-    for step in range(100):
+    mark, step = None, 0
+    while True:
         at = stage(_small_star(_large_star(at)), f"{name}-{step}")
         new = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 32))).first()
         if new == mark:
             break
-        mark = new
+        mark, step = new, step + 1
     roots = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
