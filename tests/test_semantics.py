@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinspan.operators import semantic as S
+from twinspan.operators import vector_tree
 
 OUT = "frag_id STRING, arity INT, sample_idx INT, out_type STRING, out_repr STRING, args_repr STRING"
 
@@ -77,7 +78,8 @@ def test_bad_scores_fail_the_job(spark):
 
 @pytest.mark.parametrize("t", [0.2, 0.7, 0.95])
 def test_cosine_join_is_complete(spark, t, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(vector_tree, "BLOCK", 8)
+    monkeypatch.setattr(vector_tree, "PIVOTS", 8)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
     v = np.vstack([c + rng.normal(scale=0.25, size=(15, 16)) for c in centres])
@@ -85,11 +87,31 @@ def test_cosine_join_is_complete(spark, t, monkeypatch):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     c = u @ u.T
     expected = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] >= t}
-    rows = S.cosine_join(df, t, pivots=8).collect()
+    rows = vector_tree.cosine_join(df, t).collect()
     got = {(r.a_id, r.b_id) for r in rows}
     assert got == expected and len(rows) == len(got) and expected
 
 
+def test_far_blocks_of_clustered_vectors_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(vector_tree, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32))
+    v = np.vstack([c + rng.normal(scale=0.05, size=(30, 32)) for c in centres])
+    units = spark.createDataFrame([(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "id INT, u ARRAY<DOUBLE>")
+    tree = vector_tree.levels(units)
+    n = tree[0].count()
+    met = vector_tree.near_blocks(tree, float(np.arccos(0.95))).count()
+    assert len(tree) > 2 and n >= len(v) / 16 and met < n * n / 10
+
+
+def test_cosine_join_of_few_or_equal_vectors(spark):
+    schema = "id LONG, vector ARRAY<DOUBLE>"
+    assert vector_tree.cosine_join(spark.createDataFrame([], schema), 0.9).count() == 0
+    assert vector_tree.cosine_join(spark.createDataFrame([(1, [1.0, 0.0])], schema), 0.9).count() == 0
+    rows = vector_tree.cosine_join(spark.createDataFrame([(i, [3.0, 4.0]) for i in range(5)] + [(9, [-3.0, -4.0])], schema), 1.0 - 1e-9).collect()
+    assert sorted((r.a_id, r.b_id) for r in rows) == [(i, j) for i in range(5) for j in range(i + 1, 5)]
+
+
 def test_semantic_scope(spark):
     langs = [("python", "java"), ("java", "java"), ("c", "c"), ("c", "java")]
     df = spark.createDataFrame(langs, "a STRING, b STRING")

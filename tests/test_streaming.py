@@ -1,6 +1,7 @@
 """Streams give what one batch gives."""
 
-import pytest
+import re
+
 from pyspark.sql import functions as F
 
 from twinspan.operators import copies as K
@@ -46,13 +47,30 @@ def test_windows_of_one_file_that_share_lines_are_no_near_miss(spark, tmp_path):
     assert [n for *_, n in want] == [2]
 
 
-def test_a_corpus_of_another_element_order_is_refused(spark, tmp_path):
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    """Files of many scopes and weights are filed apart; a small batch opens few of them."""
     corpus = intake.Corpus(spark, str(tmp_path / "corpus"), 0.75)
-    row = spark.createDataFrame([("j", "a.c", 0, "c", BODY)], SCHEMA)
-    corpus.append(row, 0, False)
-    spark.createDataFrame([(0, 5)], "i INT, h BIGINT").write.mode("overwrite").parquet(str(tmp_path / "corpus/order"))
-    with pytest.raises(Exception, match="another element order"):
-        corpus.append(row, 1, False)
+    many = [(f"j{i}", f"{i}.c", i, "c", BODY.replace("i * 2", " + ".join(["i * 2"] * (1 + i % 40)))) for i in range(120)]
+    corpus.append(spark.createDataFrame(many, SCHEMA), 0, False)
+    frags, touched = corpus.append(spark.createDataFrame([("j7", "new.c", 500, "c", BODY)], SCHEMA), 1, False)
+    opened, near = corpus.shapes(1, touched, 3), corpus.frags(1, frags)
+    for table, found, column in (("shapes", opened, "partition"), ("frags", near, "bucket")):
+        files = found.select(F.input_file_name()).distinct().count()
+        assert 0 < files < len(spark.read.parquet(f"{corpus.path}/{table}").inputFiles()) / 4
+        plan = found._jdf.queryExecution().toString()
+        assert re.search(rf"PartitionFilters: \[[^\]]*{column}#", plan)
+    # Nothing that could be a partner is left out.
+    whole = spark.read.parquet(f"{corpus.path}/shapes").filter("job_id = 'j7'").select("param_fp")
+    assert {r[0] for r in whole.collect()} == {r[0] for r in opened.filter("job_id = 'j7'").select("param_fp").collect()}
+
+
+def test_registered_streams_equal_one_run(spark):
+    from tests.conftest import SMALL
+    from twinspan.catalog import registry
+
+    queries = registry.build().queries
+    listed = lambda name: sorted(map(tuple, queries[name](spark, SMALL).collect()))
+    assert listed("stream_detect") == listed("near_miss_join")
 
 
 def test_job_state_equals_batch(spark, tmp_path):

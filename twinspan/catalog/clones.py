@@ -12,8 +12,10 @@ from twinspan.operators import copies as K
 from twinspan.operators import near_miss as M
 from twinspan.operators import rollups as R
 from twinspan.operators import segment as G
-from twinspan.operators.store import stage
+from twinspan.operators.store import fresh, stage
 from twinspan.plans.detect import detect
+from twinspan.sources.tables import from_table
+from twinspan.streaming.intake import current_copies, current_near_misses, stream_detect
 
 P = B.sql_params()
 PS = B.sql_params("source")
@@ -181,6 +183,28 @@ def register(r: B.Registry) -> None:
     def totals(spark, sf, by_source):
         return B.counts(detect(B.files(spark, sf, by_source), python_lexer=False).totals(), "candidate_pairs", *PAIRS, "type3_pairs")
 
+    # The documents in four parts, one after the other: what is current at the end is what one run over all gives.
+    def streamed(spark, sf, near_misses):
+        given = B.table(spark, sf, "documents")
+        at = fresh(spark, "stream-detect")
+        given.repartitionByRange(4, "doc_id").write.parquet(f"{at}/in")
+        stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        files = from_table(stream, B.file_name(), "text", "lang", "doc_id", "source")
+        stream_detect(files, f"{at}/corpus", f"{at}/links", f"{at}/state", python_lexer=False, near_misses=near_misses).awaitTermination()
+        return spark.read.parquet(f"{at}/links/{'near' if near_misses else 'copies'}")
+
+    r.add("stream_copies", lambda spark, sf: current_copies(streamed(spark, sf, False)).select("job_id", "clone_type", "frag_id_a", "frag_id_b"), f"""WITH {PS},
+        e AS (SELECT job_id, language, params, tokens, arg_min(frag_id, (file_ord, start_line, end_line)) AS hub,
+                     min((file_ord, start_line, end_line)) AS o FROM prints GROUP BY job_id, language, params, tokens),
+        q AS (SELECT job_id, language, params, arg_min(hub, o) AS top FROM e GROUP BY job_id, language, params)
+        SELECT job_id, 'Type-1' AS clone_type, hub AS frag_id_a, p.frag_id AS frag_id_b FROM prints p JOIN e USING (job_id, language, params, tokens) WHERE p.frag_id <> hub
+        UNION ALL SELECT job_id, 'Type-2', top, hub FROM e JOIN q USING (job_id, language, params) WHERE top <> hub""")
+
+    # The score has no SQL form that ends in time; a test holds it against one run over everything.
+    r.add("stream_detect", lambda spark, sf: current_near_misses(streamed(spark, sf, True)).select(
+        "job_id", "language", F.col("rep_a.frag_id").alias("frag_id_a"), F.col("rep_b.frag_id").alias("frag_id_b"),
+        F.round("similarity", 6).alias("similarity"), F.col("n_pairs").cast("bigint").alias("n_pairs")))
+
     for suffix, prints in (("", PS), ("_one_job", P)):
         r.add(f"detect{suffix}", lambda spark, sf, own=prints is PS: links_of(spark, sf, own))
         r.add(f"detect_totals{suffix}", lambda spark, sf, own=prints is PS: totals(spark, sf, own))

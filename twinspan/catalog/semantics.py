@@ -8,6 +8,7 @@ from twinspan import constants as C
 from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
 from twinspan.operators import semantic as S
+from twinspan.operators.vector_tree import cosine_join
 
 TAU = 0.35
 
@@ -108,7 +109,7 @@ def register(r: B.Registry) -> None:
             FROM vpairs JOIN embeddings x ON x.vec_id = a_id JOIN embeddings y ON y.vec_id = b_id)
             SELECT a_id, b_id, round(c, 6) AS cosine FROM s WHERE c >= 0.1""")
 
-    r.add("cosine_join", lambda spark, sf: S.cosine_join(embeddings(spark, sf), TAU).select("a_id", "b_id", F.round("cosine", 6).alias("cosine")),
+    r.add("cosine_join", lambda spark, sf: cosine_join(embeddings(spark, sf), TAU).select("a_id", "b_id", F.round("cosine", 6).alias("cosine")),
           f"""WITH s AS (SELECT x.vec_id AS a_id, y.vec_id AS b_id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c
               FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
               SELECT a_id, b_id, round(c, 6) AS cosine FROM s WHERE c >= {TAU}""")

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinspan import constants as C
 from twinspan.functions import numeric as N
@@ -48,112 +43,6 @@ def cosine_pairs(pairs: DataFrame, emb: DataFrame, t: float, key: str = "id", ve
     return scored.drop("vec_a", "vec_b").filter(F.col("cosine") >= t)
 
 
-# --- exact cosine self-join --------------------------------------------------
-
-BLOCK = 512
-
-
-def _matrix(v: pa.Array) -> np.ndarray:
-    if isinstance(v, pa.ChunkedArray):
-        v = v.combine_chunks()
-    flat = v.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(v), -1) if len(v) else flat.reshape(0, 0)
-
-
-def _cells_udf(pivots: np.ndarray):
-    """Angles to every pivot."""
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def angles(v: pa.Array) -> pa.Array:
-        m = _matrix(v)
-        if not len(m):
-            return pa.array([], pa.list_(pa.float64()))
-        a = np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
-
-    return angles
-
-
-def cosine_join(emb: DataFrame, t: float, key: str = "id", vector: str = "vector", pivots: int = 32) -> DataFrame:
-    """All pairs with cosine at least ``t``, exactly: (a_id, b_id, cosine), a_id < b_id.
-
-    Vectors go to the cell of their nearest pivot, and are copied to those other
-    cells where a partner within the angle may live; by the triangle inequality on
-    angles these are the cells with
-
-        angle(y, pivot) <= angle(y, own pivot) + 2 theta   and   <= cell radius + theta.
-
-    Cells are split into blocks of a fixed size, so a crowded cell becomes many block
-    pairs spread over tasks, and each block pair is one matrix product. Only pairs
-    that reach ``t`` leave the task. When the data has no clusters, or ``t`` is low, all
-    cells qualify and the cost is that of comparing everything: give pairs to
-    ``cosine_pairs`` instead when candidates are known.
-    """
-    from twinspan.operators.store import stage
-
-    theta = float(np.arccos(np.clip(t, -1.0, 1.0)))
-    units = stage(emb.select(F.col(key).alias("id"), N.unit_vector(vector).alias("u")), "units")
-    # The pivots are a fixed number of rows, whatever the size of the table.
-    picked = units.orderBy(F.xxhash64("id"), "id").limit(pivots).select("u").collect()
-    if not picked:
-        return units.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.0).alias("cosine")).limit(0)
-    table = np.array([r.u for r in picked])
-    seen = once(units, "angles", _cells_udf(table)("u"))
-    seen = seen.withColumn("own", F.array_min("angles")).withColumn(
-        "cell", (F.array_position("angles", F.array_min("angles")) - 1).cast("int"))
-    seen = stage(seen, "cells")
-    # One row per pivot; an empty cell has no home rows and needs no copies.
-    radius = [-math.inf] * len(picked)
-    for r in seen.groupBy("cell").agg(F.max("own").alias("radius")).collect():
-        radius[r.cell] = r.radius
-    slack = 1e-7
-    radii = F.array(*[F.lit(v) for v in radius])
-    outer = (
-        seen.select("id", "u", "own", F.posexplode("angles").alias("cell", "angle"))
-        .filter(
-            (F.col("angle") <= F.col("own") + 2 * theta + slack)
-            & (F.col("angle") <= F.get(radii, F.col("cell")) + theta + slack))
-    )
-
-    def blocks(rows: DataFrame, s: str) -> DataFrame:
-        sizes = rows.groupBy("cell").agg(F.count("*").alias("m"))
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))
-        # One row per pivot is broadcast.
-        return (
-            rows.join(F.broadcast(sizes), "cell")
-            .groupBy("cell", part.alias("part"))
-            .agg(F.sort_array(F.collect_list(F.struct("id", "u"))).alias("block"))
-            .select("cell", F.col("part").alias(f"part_{s}"), F.col("block.id").alias(f"ids_{s}"), F.col("block.u").alias(f"m_{s}"))
-        )
-
-    out = T.StructType([
-        T.StructField("a_id", units.schema["id"].dataType),
-        T.StructField("b_id", units.schema["id"].dataType),
-        T.StructField("cosine", T.DoubleType()),
-    ])
-
-    def multiply(batches):
-        for batch in batches:
-            cols = [batch.column(k) for k in ("ids_a", "m_a", "ids_b", "m_b")]
-            for ia, ma, ib, mb in zip(*cols):
-                a, b = np.array(ia.as_py()), np.array(ib.as_py())
-                x, y = (_matrix(m.values) for m in (ma, mb))
-                scores = np.clip(x @ y.T, -1.0, 1.0)
-                i, j = np.nonzero((scores >= t) & (a[:, None] < b[None, :]))
-                kind = ia.type.value_type
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[i], kind), pa.array(b[j], kind), pa.array(scores[i, j])], names=["a_id", "b_id", "cosine"])
-
-    home = stage(blocks(seen.select("cell", "id", "u"), "a"), "home")
-    away = stage(blocks(outer.select("cell", "id", "u"), "b"), "away")
-    # Only numbers of blocks meet on a cell; matrices are fetched by block, so that a crowded
-    # cell is as many tasks as it has block pairs.
-    pairs = stage(home.select("cell", "part_a").join(away.select("cell", "part_b"), "cell"), "block-pairs")
-    met = pairs.join(home, ["cell", "part_a"]).join(away, ["cell", "part_b"])
-    return met.repartition(F.xxhash64("cell", "part_a", "part_b")).select("ids_a", "m_a", "ids_b", "m_b").mapInArrow(multiply, out)
-
-
 # --- behavioural evidence ------------------------------------------------------
 
 
