@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinspan import constants as C
 from twinspan.functions import numeric as N
@@ -165,25 +172,30 @@ def hash_features(df: DataFrame, key: str, text: str, dim: int = C.FEATURE_DIM)
     """Sparse, L2-normalised signed feature counts of token classes and their bigrams.
 
     Structural features only: they carry no meaning, so they may never support a
-    Type-4 pair.
+    Type-4 pair. Counts of a batch of rows are summed at once; each distinct feature
+    of a batch is digested once.
     """
     classes = once(df.select(F.col(key).alias("id"), F.col(text).alias("t")), "c", X.structural_class(X.word_tokens_lower("t")))
-
-    def signed(f: Column) -> Column:
-        digest = F.md5(f.cast("binary"))
-        odd = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1
-        return F.struct(
-            (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).alias("index"),
-            F.when(odd, F.lit(1)).otherwise(F.lit(-1)).cast("bigint").alias("v"))
-
-    # Sorted by index, the features of one index are neighbours; at most ``dim`` sums are kept.
-    marks = once(classes.select("id", F.concat("c", X.bigrams("c")).alias("f")), "m", F.sort_array(F.transform("f", signed)))
-    sums = F.expr("""
-        aggregate(m, named_struct('at', CAST(-1 AS BIGINT), 'v', CAST(0 AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<index: BIGINT, v: BIGINT>>)),
-          (a, x) -> IF(x.index = a.at, named_struct('at', a.at, 'v', a.v + x.v, 'out', a.out),
-                       named_struct('at', x.index, 'v', x.v, 'out', IF(a.v = 0, a.out, concat(a.out, array(named_struct('index', a.at, 'v', a.v)))))),
-          a -> IF(a.v = 0, a.out, concat(a.out, array(named_struct('index', a.at, 'v', a.v)))))""")
-    sparse = once(marks.select("id", "m"), "s", sums)
-    length = F.sqrt(F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["v"] * x["v"]).cast("double"))
-    rows = sparse.select("id", length.alias("norm"), F.explode("s").alias("e"))
-    return rows.select(F.col("id").alias(key), F.col("e.index").alias("index"), (F.col("e.v") / F.col("norm")).alias("value"))
+    marks = classes.select("id", F.concat("c", X.bigrams("c")).alias("f")).filter("f IS NOT NULL")
+
+    def place(feature: str) -> tuple[int, int]:
+        digest = hashlib.md5(feature.encode()).hexdigest()
+        return int(digest[:8], 16) % dim, 1 if int(digest[9], 16) % 2 else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("f")
+            named = lists.flatten().dictionary_encode()
+            places = np.array([place(f) for f in named.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+            index, sign = places[named.indices.to_numpy()].T
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            cells, which = np.unique(row * dim + index, return_inverse=True)
+            sums = np.bincount(which, sign, len(cells)).astype(np.int64)
+            cells, sums = cells[sums != 0], sums[sums != 0]
+            row = cells // dim
+            norm = np.sqrt(np.bincount(row, sums * sums, batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(row)), pa.array(cells % dim), pa.array(sums / norm[row])], ["id", "index", "value"])
+
+    kind = T.StructType([T.StructField("id", marks.schema["id"].dataType), T.StructField("index", T.LongType()), T.StructField("value", T.DoubleType())])
+    return marks.mapInArrow(run, kind).withColumnRenamed("id", key)
