@@ -11,7 +11,8 @@ what is left of the phrase, then by the parse that follows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.anchors import Region, Unit, covered, find_repeats, mask, merged, region_contents, solve
 from twinspan.llm.substring_dedup import with_spans
-from twinspan.llm.symbols import BYTE_VALUES, chained, prefix, ranges, span_hash
+from twinspan.llm.symbols import BYTE_VALUES, chained, mix, prefix, ranges, span_hash
 
 LENGTH = 400
 GRAM = 16
@@ -73,15 +74,57 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarra
     while low < len(a):
         high = max(int(np.searchsorted(ends, ends[low] - sizes[low] + COMPARED, side="right")), low + 1)
         if (data[ranges(a[low:high], sizes[low:high])] != data[ranges(b[low:high], sizes[low:high])]).any():
-            raise RuntimeError("two strings share a hash")
+            raise Collision
         low = high
 
 
+class Collision(Exception):
+    """Different strings have one hash."""
+
+
+@dataclass(frozen=True)
+class Hashes:
+    """Running sums of bytes, and hashes of spans from them."""
+
+    sums: Callable[[np.ndarray], np.ndarray]
+    spans: Callable[..., np.ndarray]
+
+
+_ODD = np.uint64(0xD1342543DE82EF95)
+_odd_powers: list[np.ndarray] = []
+
+
+def _quick_powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _odd_powers or len(_odd_powers[0]) < n:
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        _odd_powers[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n, BATCH), base))) for base in (_ODD, inverse)]
+    return _odd_powers
+
+
+def _quick_sums(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * _quick_powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    return out
+
+
+def _quick_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * _quick_powers(len(sums))[1][start])
+
+
+#: Modulo 2^64: five times as fast, but some long words of two letters collide whatever the base.
+QUICK = Hashes(_quick_sums, _quick_spans)
+SURE = Hashes(prefix, span_hash)
+
+
 class Parsing:
-    """The prefix-free parsing of several strings, and their suffixes' order."""
+    """The prefix-free parsing of several strings, and their suffixes' order.
+
+    Equal hashes only propose equal strings; where the bytes differ it is a ``Collision``.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.sums = prefix(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: Hashes = SURE):
+        self.sums = hashes.sums(data)
         n, sizes = len(data), np.diff(offsets)
         # Phrases begin at strings' starts and at triggers that lie inside one string.
         begin = np.zeros(n, bool)
@@ -96,11 +139,11 @@ class Parsing:
         last = following >= string_end
         ends = np.where(last, string_end, np.minimum(following + TRIGGER, string_end))
         # A string's last phrase ends with the string and can't equal one that ends in a trigger.
-        kinds = span_hash(self.sums, self.starts, ends) ^ np.where(last, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        kinds = hashes.spans(self.sums, self.starts, ends) ^ np.where(last, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
         _, first, phrase = np.unique(kinds, return_index=True, return_inverse=True)
         named = first[phrase]
         if (ends - self.starts != (ends - self.starts)[named]).any() or (last != last[named]).any():
-            raise RuntimeError("two phrases share a hash")
+            raise Collision
         _same_bytes(data, self.starts, self.starts[named], ends - self.starts)
         # The dictionary: each distinct phrase once, a string's last one with an end mark.
         size = ends[first] - self.starts[first]
@@ -128,6 +171,14 @@ class Parsing:
 
 
 def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_repeated_starts`` with hashes that are quick, or else with sure ones."""
+    try:
+        return _repeated_starts(data, offsets, length, QUICK)
+    except Collision:
+        return _repeated_starts(data, offsets, length, SURE)
+
+
+def _repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Row and place in the row of each start of a ``length``-byte string that starts elsewhere too.
 
     Neighbours in suffix order share the longest prefixes, so a place is repeated if and only
@@ -139,9 +190,9 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     row = np.repeat(np.arange(len(sizes)), counts)
     if len(places) < 2:
         return row[:0], places[:0]
-    parsing = Parsing(data, offsets)
+    parsing = Parsing(data, offsets, hashes)
     order = np.argsort(parsing.order_keys(places))
-    strings = span_hash(parsing.sums, places[order], places[order] + length)
+    strings = hashes.spans(parsing.sums, places[order], places[order] + length)
     same = strings[1:] == strings[:-1]
     # Neighbours that follow on one another in both places are compared as one.
     here, there = places[order[:-1][same]], places[order[1:][same]]
@@ -157,17 +208,18 @@ def may_match(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> np.ndarray:
     """True for regions that share the half window before or behind their anchor with another.
 
     A window holds its anchor, so at least half of what else it holds lies on one side of it.
-    Regions share a window only if they share that half.
+    Regions share a window only if they share that half. Equal hashes of different halves only
+    keep a region more.
     """
     half = (unit.window - unit.gram) // 2
-    sums = prefix(data)
+    sums = QUICK.sums(data)
     grams = unit.grams(BYTE_VALUES[data])
     # The first window of a region names the anchor, as when the region was cut.
     choice = unit.least(grams, ranges(offsets[:-1], np.full(len(offsets) - 1, unit.window - unit.gram + 1)).reshape(-1, unit.window - unit.gram + 1))
     out = np.zeros(len(offsets) - 1, bool)
     for begin in (choice - half, choice + unit.gram):
         inside = np.flatnonzero((begin >= offsets[:-1]) & (begin + half <= offsets[1:]))
-        _, names, times = np.unique(span_hash(sums, begin[inside], begin[inside] + half), return_inverse=True, return_counts=True)
+        _, names, times = np.unique(QUICK.spans(sums, begin[inside], begin[inside] + half), return_inverse=True, return_counts=True)
         out[inside[times[names] > 1]] = True
     return out
 
