@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.symbols import (
     BLOCK, BYTE_VALUES, SPACES, blocks, chained, ranges, signed, sliding_min, spelled_hashes, text_buffers, word_spans)
-from twinspan.operators.store import stage
+from twinspan.operators.store import release, stage, staged
 
 #: A packed anchor choice: the high bits of the gram's hash over its place.
 _PLACE_BITS = 28
@@ -184,12 +184,16 @@ def find_repeats(docs: DataFrame, unit: Unit, name: str) -> Repeats:
     tasks that rows come from: rows that an earlier join has put together, which as a file may
     be small enough for a single task, are dealt out before they meet again.
     """
+    before = staged()
     found = stage(occurrences(docs, unit), f"{name}-regions")
     apart = (F.min("digest") != F.max("digest")) | (F.min("digest2") != F.max("digest2"))
     met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), apart.alias("differ"), F.min("doc").alias("first_doc"))
     met = stage(met.filter("n > 1").drop("n"), f"{name}-anchors")
     # Merge joins: one that turns into a broadcast after its shuffle keeps a hot key in one task.
+    read = [t for t in staged() if t not in before]
     repeated = stage(found.join(met.hint("merge"), "anchor"), f"{name}-repeated")
+    # Nothing reads all regions from here on.
+    release(docs.sparkSession, read)
     differ = repeated.filter("differ").drop("first_doc", "differ")
     distinct = stage(differ.groupBy(*REGION).agg(
         F.min(F.struct("doc", "key", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_windows").alias("n_windows")),
