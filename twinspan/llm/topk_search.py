@@ -23,7 +23,8 @@ from twinspan.operators.store import stage
 SCALE = 256
 PIVOTS = 32
 #: Vectors that pivots are chosen from.
-PIVOT_SAMPLE = 2000
+PIVOT_SAMPLE = 2048
+PIVOT_PARTS = 64
 BLOCK = 2048
 QUERY_BLOCK = 512
 #: Block pairs per query block that give the first scores.
@@ -56,22 +57,34 @@ def quantised(embeddings: DataFrame) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per dimension, vectors far from each other, from the sample with the smallest hashes of their ids."""
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    sample = vectors.withColumn("_rank", rank).filter(F.col("_rank") <= PIVOT_SAMPLE)
-    found: dict[int, list[np.ndarray]] = {}
-    for r in sample.orderBy("dim", "_rank").collect():
-        found.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))
-    out = {}
-    for dim, rows in found.items():
-        x = np.stack(rows) if dim else np.zeros((len(rows), 0))
+    """Per dimension, vectors far from each other, from a sample by hashes of their ids.
+
+    Ids fall into parts by one hash and the smallest other hashes of each part are the sample: few
+    ranks a part, so that tasks cut their rows before any of them move. The vectors
+    of a sample meet in one task, its pivots alone come to the driver.
+    """
+    part = F.pmod(F.hash("vec_id"), F.lit(PIVOT_PARTS))
+    order = [F.xxhash64("vec_id"), F.col("vec_id"), F.md5("vector")]
+    rank = F.row_number().over(Window.partitionBy("dim", "_part").orderBy(*order))
+    sample = vectors.withColumn("_part", part).withColumn("_rank", rank).filter(F.col("_rank") <= PIVOT_SAMPLE // PIVOT_PARTS)
+
+    def far(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_part", "ascending"), ("_rank", "ascending")])
+        dim = table["dim"][0].as_py()
+        x = _matrix(table["vector"].combine_chunks(), dim)
         chosen = [0]
         nearest = _distances(x, x[:1])[:, 0]
         while len(chosen) < min(PIVOTS, len(x)):
             chosen.append(int(nearest.argmax()))
             nearest = np.minimum(nearest, _distances(x, x[chosen[-1:]])[:, 0])
-        out[dim] = np.stack([x[i] for i in chosen])
-    return out
+        return pa.table({"dim": pa.array([dim] * len(chosen), pa.int32()), "turn": pa.array(range(len(chosen)), pa.int32()),
+                         "vector": pa.array([x[i].tobytes() for i in chosen], pa.binary())})
+
+    found: dict[int, list[np.ndarray]] = {}
+    pivots = sample.select("dim", "vector", "_part", "_rank").groupBy("dim").applyInArrow(far, "dim INT, turn INT, vector BINARY")
+    for r in sorted(pivots.collect(), key=lambda r: (r["dim"], r["turn"])):
+        found.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))
+    return {dim: np.stack(rows) for dim, rows in found.items()}
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -188,8 +201,8 @@ def _evaluate(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["row", "query_id", "vec_id", "score"])
 
     columns = ["query_block_data", "other_data", *(["floors"] if has_floors else [])]
-    # Few rows, each much work: one task per few pairs.
-    return joined.select(*columns).repartition(F.expr("rand(1)")).mapInArrow(run, "row LONG, query_id LONG, vec_id LONG, score LONG")
+    # Few rows, each much work: one task per few pairs, dealt by their numbers, the same in every attempt.
+    return joined.select("query_block", "other", *columns).repartition("query_block", "other").mapInArrow(run, "row LONG, query_id LONG, vec_id LONG, score LONG")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -247,7 +260,8 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     """
     vectors = stage(quantised(embeddings), "topk-vectors")
     pivots = choose_pivots(vectors)
-    order = [F.col(c) for c in ("dim", "cell", "near", "vec_id", "vector")]
+    # Spark samples the keys of a sort to the driver: a digest stands for the vector.
+    order = [*[F.col(c) for c in ("dim", "cell", "near", "vec_id")], F.md5("vector")]
     numbered = with_row_numbers(with_cells(vectors, pivots), order, "topk-order").withColumnRenamed("row_number", "row")
     blocks = stage(into_blocks(numbered.withColumn("place", F.col("row")), BLOCK, pivots), "topk-blocks")
     asked = with_row_numbers(numbered.filter(is_query), [F.col("row")], "topk-queries").withColumnRenamed("row_number", "place")
