@@ -111,6 +111,33 @@ def test_sinks_round_trip(spark, tmp_path):
         sinks.write_run({"pairs": p}, str(tmp_path / "run"))
 
 
+def test_clone_pairs_of_a_job_are_replaced(spark, tmp_path):
+    p, path = pairs(spark), str(tmp_path / "pairs")
+    sinks.write_clone_pairs(p.unionByName(p.withColumn("job_id", F.lit("other"))), path)
+    for _ in range(2):
+        sinks.write_clone_pairs(p.filter("clone_type = 'Type-3'"), path, "replace")
+        left = spark.read.parquet(path).groupBy("job_id").count().orderBy("job_id").collect()
+        assert [tuple(r) for r in left] == [("j", 1), ("other", 2)]
+
+
+def test_a_run_is_written_whole_or_not_at_all(spark, tmp_path):
+    """The third table fails: no run, nothing left; the retry succeeds and keeps types."""
+    folder = str(tmp_path / "run")
+    good = spark.range(3).select("id", F.current_date().alias("day"), F.lit(None).cast("decimal(9,2)").alias("share"))
+    bad = spark.range(2).select(F.raise_error(F.lit("broken table")).alias("x"))
+    with pytest.raises(Exception, match="broken table"):
+        sinks.write_run({"a": good, "b": good, "c": bad}, folder)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_run(spark, folder)
+    assert [f for f in (tmp_path / "run").rglob("*") if f.is_file()] == []
+    sinks.write_run({"a": good, "b": good.limit(0)}, folder)
+    back = sinks.read_run(spark, folder)
+    assert back["a"].dtypes == good.dtypes and back["a"].orderBy("id").collect() == good.collect()
+    assert back["b"].dtypes == good.dtypes and back["b"].count() == 0
+    with pytest.raises(FileExistsError):
+        sinks.write_run({"a": good}, folder)
+
+
 def test_same_file_pair_counts_once(spark):
     p = pairs(spark)
     assert {r.file: r.clone_count for r in R.files_with_clones(p).collect()} == {"d,ir/a.c": 1, "b.c": 2}
@@ -127,6 +154,35 @@ def test_delete_job_respects_the_owner(spark):
     assert other["jobs"].count() == 2 and other["files"].count() == 2
 
 
+def test_deleting_a_job_rewrites_its_partitions_only(spark, tmp_path):
+    from twinspan.operators.store import staged
+    from twinspan.sources.job_tables import JobTables
+
+    store = JobTables(spark, str(tmp_path / "jobs"), buckets=4)
+    assert JobTables(spark, store.folder, buckets=99).buckets == 4
+    jobs = spark.range(40).select(F.col("id").alias("job_id"), (F.col("id") % 3).alias("user_id"))
+    files = jobs.select("job_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).unionByName(
+        spark.createDataFrame([(None, 9)], "job_id LONG, n INT"))
+    store.append("jobs", jobs)
+    store.append("files", files)
+    listed = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "jobs").rglob("part-*.parquet")}
+    before, kept = listed(), staged()
+    assert not store.delete_job(7, 0, ["files"]) and not store.delete_job(70, 1, ["files"]) and listed() == before
+    assert store.delete_job(7, 1, ["files"])
+    mine = f"job_bucket={store._bucket_of(7)}"
+    assert {f: t for f, t in listed().items() if mine not in str(f)} == {f: t for f, t in before.items() if mine not in str(f)}
+    after = listed()
+    assert not store.delete_job(7, 1, ["files"]) and listed() == after and staged() == kept
+    assert {r.job_id for r in store.read("jobs").collect()} == set(range(40)) - {7}
+    assert store.read("files").filter("job_id = 7").count() == 0 and store.read("files").count() == 40 * 3 + 1 - 3
+    assert store.of_job("files", 8).count() == 3
+    # A bucket that loses its last job leaves no file behind.
+    alone = [j for j in range(40) if j != 7 and store._bucket_of(j) == store._bucket_of(7)]
+    for j in alone:
+        assert store.delete_job(j, j % 3, ["files"])
+    assert not [f for f in listed() if mine in str(f) and "/jobs/jobs/" in str(f)]
+
+
 def test_staged_tables_are_released(spark):
     from twinspan.operators.store import release, stage, staged
 

@@ -11,6 +11,7 @@ from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
 from twinspan.operators import rollups as R
 from twinspan.session import checkpoint_dir
+from twinspan.sources.job_tables import JobTables
 
 FP = f"WITH {B.SQL_FILE_PAIRS}"
 COUNTS = ", ".join(f"count(*) FILTER (clone_type = '{t}') AS {R.type_column(t)}" for t in C.CLONE_TYPES)
@@ -106,6 +107,20 @@ def register(r: B.Registry) -> None:
         u AS (SELECT job_id, 'jobs' AS t FROM jobs UNION ALL SELECT job_id, 'files' FROM job_files UNION ALL SELECT job_id, 'pairs' FROM job_pairs)
         SELECT t, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM u WHERE {doomed} GROUP BY t""")
 
+    def survivors_in_place(spark, sf):
+        """The same on tables in the shared folder, of which the job's partitions are rewritten."""
+        store = JobTables(spark, f"{checkpoint_dir(spark)}/job-tables-{uuid.uuid4().hex}", buckets=16)
+        for name, rows in (("jobs", B.jobs(spark, sf)), ("files", B.job_files(spark, sf)), ("pairs", B.job_pairs(spark, sf))):
+            store.append(name, rows)
+        for job in store.of_job("jobs", 7).select("user_id").collect():
+            store.delete_job(7, job.user_id, ["files", "pairs"])
+        left = [store.read(name).select("job_id", F.lit(name).alias("t")) for name in ("jobs", "files", "pairs")]
+        return left[0].unionAll(left[1]).unionAll(left[2]).groupBy("t").agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
+
+    r.add("delete_job_in_place", survivors_in_place, f"""WITH {B.SQL_JOBS}, {B.SQL_JOB_FILES}, {B.SQL_JOB_PAIRS},
+        u AS (SELECT job_id, 'jobs' AS t FROM jobs UNION ALL SELECT job_id, 'files' FROM job_files UNION ALL SELECT job_id, 'pairs' FROM job_pairs)
+        SELECT t, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM u WHERE job_id <> 7 GROUP BY t""")
+
     ev = "SELECT user_id AS job_id, ts, event_type AS stage, event_id AS n FROM events"
     r.add("latest_progress", lambda spark, sf: R.latest_progress(progress(spark, sf)).select("job_id", "stage", "n"),
           f"SELECT job_id, stage, n FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, stage DESC) AS k FROM ({ev})) WHERE k = 1")
