@@ -36,6 +36,30 @@ def test_scan_options(spark, tree):
         scan_source_tree(spark, tree, max_mb=0.000001).count()
 
 
+def test_scan_of_deep_and_empty_folders(spark, tmp_path):
+    """Every level is listed by tasks; links to folders are not followed, empty folders give nothing."""
+    from twinspan.sources import tree as scan
+
+    root = tmp_path / "src"
+    deep = root.joinpath(*"abcdef")
+    deep.mkdir(parents=True)
+    (root / "empty").mkdir()
+    (deep / "z.py").write_bytes(b"")
+    (deep / "\u00e9.py").write_bytes(b"x")
+    (root / "a" / "many").mkdir()
+    for i in range(25):
+        (root / "a" / "many" / f"{i}.c").write_bytes(b"y" * i)
+    (root / "loop").symlink_to(root)
+    rows = scan_source_tree(spark, str(root), slice_bytes=100).collect()
+    assert len(rows) == 27 and {r.file for r in rows} >= {"a/b/c/d/e/f/z.py", "a/b/c/d/e/f/\u00e9.py"}
+    assert {len(r.content) for r in rows if r.file.startswith("a/many/")} == set(range(25))
+    listed = scan.code_files(spark, str(root), frozenset(["py", "c"]), []).collect()
+    assert sorted((r.path, r.size) for r in listed) == sorted((r.file, len(r.content)) for r in rows)
+    assert scan_source_tree(spark, str(root / "empty")).count() == 0
+    with pytest.raises(ValueError, match="not a directory"):
+        scan_source_tree(spark, str(root / "none"))
+
+
 def test_split_lines_follows_all_breaks(spark):
     df = spark.createDataFrame([("a\r\nb\rc\u2028d\n\ne\n",), ("",), ("\n",)], "t STRING")
     got = [r.v for r in df.select(X.split_lines("t").alias("v")).collect()]
@@ -92,6 +116,44 @@ def test_embedding_cache(spark):
         cache.embed_with_cache(frags, store, lambda r: r.select("key", F.array(F.lit(0.0), F.lit(0.0)).alias("vector")), 2)[0].collect()
 
 
+def test_bucketed_cache_is_never_shuffled(spark, tmp_path):
+    store = cache.EmbeddingCache(spark, str(tmp_path / "cache"), buckets=8)
+    frags = spark.createDataFrame([("a", "c"), ("a", "c"), ("b", "c"), ("x", "c")], "code STRING, language STRING")
+    seen = []
+
+    def provider(rows):
+        seen.append(sorted(r.code for r in rows.collect()))
+        return rows.select("key", F.array(F.lit(0.5), F.lit(0.25)).alias("vector"))
+
+    assert store.embed(frags, provider, 2).count() == 4
+    more = spark.createDataFrame([("b", "c"), ("n", "c")], "code STRING, language STRING")
+    assert store.embed(more, provider, 2).count() == 2
+    assert seen == [["a", "b", "x"], ["n"]]
+    old = spark.createDataFrame([("a",), ("gone",)], "code STRING").select(
+        cache.code_key().alias("key"), F.array(F.lit(9.0), F.lit(9.0)).alias("vector"), F.expr("current_timestamp() - INTERVAL 9 HOURS").alias("stored_at"))
+    store.append(old)
+    # The newest row of a repeated key counts, and each fragment comes once.
+    assert {tuple(r.vector) for r in store.embed(frags, provider, 2).collect()} == {(0.5, 0.25)} and seen[-1] == []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cache.look_up(frags, cache.valid_cache(store.read(), 2), store.buckets)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = next(k for k, line in enumerate(plan.splitlines()) if "embedding_cache_data" in line)
+    join = next(k for k, line in enumerate(plan.splitlines()) if "SortMergeJoin" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    above = [line for k, line in enumerate(lines[join:scan], join) if "Exchange" in line and depth(line) < depth(lines[scan])
+             and not any(depth(other) <= depth(line) for other in lines[k + 1 : scan + 1])]
+    assert above == [] and "Exchange hashpartitioning(key" in plan
+    for _ in range(2):
+        store.compact(2, ttl_seconds=3600)
+    assert store.read().count() == 4 and store.embed(frags, provider, 2).count() == 4 and seen[-1] == []
+    # Another session's view of the folder: the number of buckets is the folder's.
+    assert cache.EmbeddingCache(spark, store.folder, buckets=3).buckets == 8
+
+
 def pairs(spark):
     row = ("j", "Type-1", 1.0, "d,ir/a.c", "b.c", "c", "c", 1, 4, 2, 5, False)
     cols = "job_id STRING, clone_type STRING, similarity DOUBLE, file_a STRING, file_b STRING, language_a STRING, language_b STRING, start_line_a INT, end_line_a INT, start_line_b INT, end_line_b INT, cross_language BOOLEAN"

@@ -89,3 +89,35 @@ def test_job_state_equals_batch(spark, tmp_path):
     want = progress.job_state(spark.read.schema(schema).parquet(src))
     key = lambda d: sorted((r.job_id, r.stage, r.ts, r.events) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_finished_jobs_leave_the_state(spark, tmp_path):
+    """Three runs of one query: a finished job expires, a late event and a null time still count."""
+    import datetime
+    import time
+
+    schema = "job_id INT, ts TIMESTAMP, stage STRING"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    src, ck, out = (str(tmp_path / n) for n in ("ev", "ck", "out"))
+    batches = [
+        [(1, at(5), "complete"), (1, at(2), "queued"), (2, at(1), "semantic"), (None, at(1), "queued"), (3, None, "queued")],
+        [(2, at(9), "preparing"), (2, at(9), "extracting")],
+        [(1, at(3), "semantic"), (3, None, None), (4, at(4), "failed")],
+    ]
+    held = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = progress.stream_job_state(stream, out, ck, keep_seconds=0.001, idle_seconds=1000)
+        assert q.awaitTermination(60)
+        held.append(q.recentProgress)
+        time.sleep(0.1)
+    got = progress.current_state(spark.read.parquet(out))
+    want = progress.job_state(spark.read.schema(schema).parquet(src))
+    key = lambda d: sorted((str(r.job_id), r.stage, r.ts, r.events) for r in d.collect())
+    assert key(got) == key(want)
+    # Jobs 2, 3 and the one without a number stay; job 1 has left and come back as a second life.
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in (r for run in held for r in run) if p["stateOperators"]]
+    assert 3 in rows
+    lives = {r.job_id: r.n for r in spark.read.parquet(out).groupBy("job_id").agg(F.countDistinct("life").alias("n")).collect()}
+    assert lives == {1: 2, 2: 1, 3: 1, 4: 1, None: 1}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinspan import constants as C
@@ -12,6 +14,7 @@ from twinspan.functions.renaming import rename_identifiers
 from twinspan.operators import rollups as R
 from twinspan.operators import segment
 from twinspan.operators.segment import once
+from twinspan.session import checkpoint_dir
 from twinspan.sources import embeddings as cache
 from twinspan.sources import tables as S
 
@@ -131,6 +134,23 @@ def register(r: B.Registry) -> None:
         SELECT (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM k)) AS misses,
                (SELECT count(*) FROM k) AS valid_rows""")
 
+    def embedded(spark, sf):
+        """All documents through a bucketed cache that knows the texts of quality 0."""
+        frags = B.table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("lang").alias("language"), "doc_id")
+        known = frags.join(B.table(spark, sf, "labels").filter("quality = 0").select("doc_id"), "doc_id")
+        store = cache.EmbeddingCache(spark, f"{checkpoint_dir(spark)}/embedding-cache-{uuid.uuid4().hex}", buckets=16)
+        store.append(known.select(
+            cache.code_key().alias("key"), F.array_repeat(F.lit(0.5), 4).alias("vector"), F.current_timestamp().alias("stored_at")).distinct())
+        length = F.length("code").cast("double")
+        out = store.embed(frags, lambda rows: rows.select("key", F.array(length, F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("vector")), 4)
+        return out.select("doc_id", F.col("vector")[0].alias("first"), F.col("vector")[3].alias("last"))
+
+    r.add("embed_with_cache", embedded, """
+        WITH k AS (SELECT DISTINCT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0)
+        SELECT doc_id, CASE WHEN k.text IS NULL THEN CAST(length(d.text) AS DOUBLE) ELSE 0.5 END AS first,
+               CASE WHEN k.text IS NULL THEN 0.0::DOUBLE ELSE 0.5 END AS last
+        FROM documents d LEFT JOIN k ON k.text = d.text""")
+
     # --- tokens
     def token_lists(spark, sf):
         return B.tokenised(spark, sf).select("frag_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
