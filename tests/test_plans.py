@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators import segment as G
 from twinspan.plans.detect import detect
-from twinspan.plans.semantic import all_types, detect_semantic, detect_with_classifier
+from twinspan.plans.semantic import all_types, detect_semantic, detect_with_classifier, semantic_candidates
 from twinspan.plans.train import prepare_archive, train
 
 PARTS = [
@@ -89,6 +89,31 @@ def test_one_report_of_all_types(spark, sources):
     assert 0 < report[0].token_sim < 1 and report[1].token_sim == 1.0 and "samples agree" in report[0].description
 
 
+def test_candidates_come_from_the_vectors_of_a_job(spark, sources):
+    """Every pair of one job that reaches the cut-off, and no pair across jobs, though all jobs share one tree."""
+    import math
+    import random
+
+    body = "int f{i}(int n) {{ int s{i} = {i}; while (n > {i}) {{ s{i} += n * {i}; n--; }} return s{i}; }}"
+    jobs = [sources(*[(f"{i}.java", body.format(i=i)) for i in range(12)], job=f"job{j}") for j in range(5)]
+    files = jobs[0]
+    for more in jobs[1:]:
+        files = files.unionByName(more)
+    d = detect(files.unionByName(sources(("x.c", body.format(i=99)), job="job0")), 1.0)
+    rng = random.Random(3)
+    ids = sorted((r.job_id, r.frag_id, r.language) for r in d.fragments.collect())
+    assert len(ids) == 61
+    vec = {(j, f): [rng.gauss(0, 1) for _ in range(3)] for j, f, _ in ids}
+    vectors = spark.createDataFrame([(j, f, v) for (j, f), v in vec.items()], "job_id STRING, frag_id STRING, vector ARRAY<DOUBLE>")
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / math.hypot(*x) / math.hypot(*y)
+    for cut in (0.5, 0.9):
+        got = {(r.job_id, *sorted((r.a_id, r.b_id))) for r in semantic_candidates(d, vectors, cut, 3).collect()}
+        want = {(j, *sorted((f, g))) for j, f, x in ids for k, g, y in ids
+                if j == k and f < g and x == y == "java" and cos(vec[j, f], vec[k, g]) >= max(cut, 0.7)}
+        assert got == want and want
+    assert semantic_candidates(d, vectors.limit(0), 0.5, 3).count() == 0
+
+
 def test_classifier_mode(spark, sources):
     functions, labelled, code_vectors = archive(spark, 30)
     ready = prepare_archive(functions, labelled, {"train": 0, "valid": 0, "test": 0}, 1)

@@ -7,11 +7,52 @@ from pyspark.sql import functions as F
 from twinspan import constants as C
 from twinspan.catalog import common as B
 from twinspan.functions import numeric as N
+from twinspan.operators import segment
 from twinspan.operators import semantic as S
 from twinspan.operators.vector_tree import cosine_join
+from twinspan.plans.semantic import detect_all
+from twinspan.sources.tables import from_table
 
 TAU = 0.35
 
+# --- documents as code of two languages, with vectors and outcomes ---------------
+
+SQL_LANGUAGE = "CASE WHEN lang IN ('en', 'de') THEN 'java' ELSE 'python' END AS language"
+
+
+def four_types(spark, sf, threshold):
+    """Documents with the first four components of the vector of the same number; equal labels behave alike."""
+    docs = B.spread_table(spark, sf, "documents")
+    language = F.when(F.col("lang").isin("en", "de"), "java").otherwise("python")
+    files = from_table(docs, B.file_name(), "text", language, "doc_id", "source")
+    options = {"python_lexer": False}
+    # A fragment is named by its place, so its file's vector is found by the file.
+    frags = segment.with_tokens(segment.fragments(files), python_lexer=False).select("job_id", "frag_id", "file_ord")
+    known = frags.join(B.table(spark, sf, "embeddings"), F.col("vec_id") == F.col("file_ord"))
+    vectors = known.select("job_id", "frag_id", F.slice("embedding", 1, 4).alias("vector"))
+    outcomes = known.select(
+        "job_id", "frag_id", "label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sample_idx")).select(
+        "job_id", "frag_id", F.lit(1).alias("arity"), "sample_idx", F.lit("int").alias("out_type"),
+        (F.col("sample_idx") * (F.col("label") + 1) % 5).cast("string").alias("out_repr"), F.lit("").alias("args_repr"))
+    found = detect_all(files, vectors, outcomes, threshold, 4, C.DEFAULT_THRESHOLD, **options)
+    return found.select("job_id", "language", "clone_type", F.round("similarity", 4).alias("similarity"), "frag_id_a", "frag_id_b", "cross_language")
+
+
+SQL_FOUR_TYPES = f"""WITH {B.sql_params("source").replace("lang AS language", SQL_LANGUAGE)},
+  e AS (SELECT job_id, language, params, tokens, arg_min(frag_id, (file_ord, start_line, end_line)) AS hub,
+               min((file_ord, start_line, end_line)) AS o FROM prints GROUP BY job_id, language, params, tokens),
+  q AS (SELECT job_id, language, params, arg_min(hub, o) AS top FROM e GROUP BY job_id, language, params),
+  v AS (SELECT p.*, embedding[1:4]::DOUBLE[] AS v, label FROM prints p JOIN embeddings ON vec_id = file_ord)
+  SELECT job_id, language, 'Type-1' AS clone_type, 1.0::DOUBLE AS similarity, hub AS frag_id_a, p.frag_id AS frag_id_b, false AS cross_language
+  FROM prints p JOIN e USING (job_id, language, params, tokens) WHERE p.frag_id <> hub
+  UNION ALL SELECT job_id, language, 'Type-2', 1.0, top, hub, false FROM e JOIN q USING (job_id, language, params) WHERE top <> hub
+  UNION ALL SELECT a.job_id, CASE WHEN a.language = b.language THEN a.language ELSE 'java:python' END, 'Type-4',
+         round(list_cosine_similarity(a.v, b.v), 4), a.frag_id, b.frag_id, a.language <> b.language
+  FROM v a JOIN v b ON a.job_id = b.job_id AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line)
+   AND (a.file <> b.file OR a.end_line < b.start_line OR b.end_line < a.start_line)
+   AND NOT (a.language = b.language AND a.params = b.params) AND list_cosine_similarity(a.v, b.v) >= 0.7
+   AND a.label % 5 = b.label % 5 AND (a.label + 1) % 5 <> 0"""
+
 
 def vector_pairs(spark, sf):
     return B.pair_up(B.table(spark, sf, "embeddings").select("vec_id"), "vec_id").select(
@@ -98,6 +139,10 @@ def decided(spark, sf, mode):
 
 
 def register(r: B.Registry) -> None:
+    # With a threshold of 1 no near-miss is typed, and SQL can tell the rest.
+    r.add("all_types", lambda spark, sf: four_types(spark, sf, C.DEFAULT_THRESHOLD))
+    r.add("all_types_but_near_misses", lambda spark, sf: four_types(spark, sf, 1.0), SQL_FOUR_TYPES)
+
     r.add("pair_vectors", lambda spark, sf: S.pair_vectors(vector_pairs(spark, sf), embeddings(spark, sf)).select(
         "a_id", "b_id", F.round(F.col("vec_a")[0].cast("double"), 6).alias("first_a"), F.round(F.col("vec_b")[0].cast("double"), 6).alias("first_b")),
         f"""WITH {SQL_VECTOR_PAIRS} SELECT a_id, b_id, round(x.embedding[1]::DOUBLE, 6) AS first_a, round(y.embedding[1]::DOUBLE, 6) AS first_b

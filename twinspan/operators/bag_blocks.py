@@ -38,8 +38,8 @@ CELL = ["job_id", "language", "band", "share"]
 
 
 def band_step(t: float) -> float:
-    """Width of a weight band on a log scale: the permitted ratio of weights spans two."""
-    return -math.log(t / (2 - t)) / 2
+    """Width of a weight band on a log scale: the permitted ratio of weights spans two, or less near a threshold of 1."""
+    return max(-math.log(t / (2 - t)) / 2, 0.01)
 
 
 def filed(rows: DataFrame, t: float) -> DataFrame:

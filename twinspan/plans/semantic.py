@@ -17,9 +17,12 @@ from twinspan.operators.learning import featurise, score_pairs
 from twinspan.operators.rollups import order_pairs
 from twinspan.operators.segment import once
 from twinspan.operators.store import stage
-from twinspan.plans.detect import Detection
+from twinspan.operators.vector_tree import cosine_join
+from twinspan.plans.detect import Detection, detect
 
 IDS = ["job_id", "a_id", "b_id"]
+#: Signs that tell jobs apart in the tree of vectors.
+SCOPE_SIGNS = 16
 
 
 @dataclass
@@ -72,6 +75,39 @@ def pending(detection: Detection, candidates: DataFrame, c_enabled: bool = False
     return met.join(near, keys, "left_anti").select(*IDS, "language_a", "language_b")
 
 
+def semantic_candidates(detection: Detection, vectors: DataFrame, threshold: float = C.DEFAULT_THRESHOLD, dim: int = C.FEATURE_DIM) -> DataFrame:
+    """Pairs (job_id, a_id, b_id) of a job whose languages a base model may compare and whose cosine reaches its cut-off.
+
+    One tree of vectors serves all jobs. A unit vector is followed by a direction of its job, signs
+    from a hash: within a job the cosine c becomes (c + 1) / 2, and two jobs meet only if nearly
+    all their signs agree, so that the tree drops their blocks together. What still meets across jobs goes
+    by the job's name. Pairs below the cut-off, which decide nothing, are not listed.
+    """
+    cut = max(threshold, min(C.TYPE4_EMBEDDING_CUTOFF, C.TYPE4_CORROBORATED_CUTOFF))
+    able = detection.fragments.filter(F.col("language").isin(*C.BASE_SEMANTIC_LANGUAGES)).select("job_id", "frag_id")
+    mine = S.checked_vectors(vectors.join(able, ["job_id", "frag_id"], "left_semi"), "vector", dim)
+    bits = F.xxhash64(F.col("job_id").cast("string"))
+    signs = F.array(*[(F.shiftright(bits, k).bitwiseAND(1) * 2 - 1) / F.lit(SCOPE_SIGNS**0.5) for k in range(SCOPE_SIGNS)])
+    keyed = stage(mine.select(
+        F.concat_ws("\0", F.col("job_id").cast("string"), F.col("frag_id").cast("string")).alias("id"), "job_id", "frag_id",
+        F.concat(F.transform(N.unit_vector("vector"), lambda x: x.cast("double")), signs).alias("scoped")), "scoped")
+    found = cosine_join(keyed, (cut + 1) / 2 - 1e-7, vector="scoped")
+    side = lambda s: keyed.select(F.col("id").alias(f"{s}_id"), F.col("job_id").alias(f"job_{s}"), F.col("frag_id").alias(f"frag_{s}"))
+    met = found.join(side("a"), "a_id").join(side("b"), "b_id").filter("job_a = job_b")
+    return met.select(F.col("job_a").alias("job_id"), F.col("frag_a").alias("a_id"), F.col("frag_b").alias("b_id"))
+
+
+def detect_all(
+    files: DataFrame, vectors: DataFrame, outcomes: DataFrame, threshold: float = C.DEFAULT_THRESHOLD,
+    dim: int = C.FEATURE_DIM, semantic_threshold: float | None = None, **options,
+) -> DataFrame:
+    """All four types of ``files`` in one report, the Type-4 candidates found from the vectors; ``options`` as in ``detect``."""
+    detection = detect(files, threshold, **options)
+    cut = threshold if semantic_threshold is None else semantic_threshold
+    candidates = semantic_candidates(detection, vectors, cut, dim)
+    return all_types(detection, detect_semantic(detection, candidates, vectors, outcomes, cut, dim))
+
+
 def detect_semantic(
     detection: Detection, candidates: DataFrame, vectors: DataFrame, outcomes: DataFrame,
     threshold: float = C.DEFAULT_THRESHOLD, dim: int = C.FEATURE_DIM,
