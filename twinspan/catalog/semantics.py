@@ -35,7 +35,7 @@ def four_types(spark, sf, threshold):
         "job_id", "frag_id", F.lit(1).alias("arity"), "sample_idx", F.lit("int").alias("out_type"),
         (F.col("sample_idx") * (F.col("label") + 1) % 5).cast("string").alias("out_repr"), F.lit("").alias("args_repr"))
     found = detect_all(files, vectors, outcomes, threshold, 4, C.DEFAULT_THRESHOLD, **options)
-    return found.select("job_id", "language", "clone_type", F.round("similarity", 4).alias("similarity"), "frag_id_a", "frag_id_b", "cross_language")
+    return found.select("job_id", "language", "clone_type", "similarity", "frag_id_a", "frag_id_b", "cross_language")
 
 
 SQL_FOUR_TYPES = f"""WITH {B.sql_params("source").replace("lang AS language", SQL_LANGUAGE)},
@@ -47,7 +47,7 @@ SQL_FOUR_TYPES = f"""WITH {B.sql_params("source").replace("lang AS language", SQ
   FROM prints p JOIN e USING (job_id, language, params, tokens) WHERE p.frag_id <> hub
   UNION ALL SELECT job_id, language, 'Type-2', 1.0, top, hub, false FROM e JOIN q USING (job_id, language, params) WHERE top <> hub
   UNION ALL SELECT a.job_id, CASE WHEN a.language = b.language THEN a.language ELSE 'java:python' END, 'Type-4',
-         round(list_cosine_similarity(a.v, b.v), 4), a.frag_id, b.frag_id, a.language <> b.language
+         round(list_cosine_similarity(a.v, b.v), 6), a.frag_id, b.frag_id, a.language <> b.language
   FROM v a JOIN v b ON a.job_id = b.job_id AND (a.file_ord, a.start_line, a.end_line) < (b.file_ord, b.start_line, b.end_line)
    AND (a.file <> b.file OR a.end_line < b.start_line OR b.end_line < a.start_line)
    AND NOT (a.language = b.language AND a.params = b.params) AND list_cosine_similarity(a.v, b.v) >= 0.7
