@@ -107,3 +107,15 @@ def test_a_block_holds_no_more_than_its_tokens(spark, monkeypatch):
     sizes = [r.n for r in bag_blocks.blocks(placed, table).select(F.size("lists").alias("n")).collect()]
     assert sum(sizes) == 40 and max(sizes) < 20
     assert np.prod([r.blocks for r in table.collect()]) == 24
+
+
+def test_blocks_move_once_per_group_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(bag_blocks, "BLOCK", 1)
+    rows = [("j", "c", i, ["ID_0", "="] * 5 + [f"ID_{i}"]) for i in range(200)]
+    placed = bag_blocks.filed(given(spark, rows), 0.75)
+    table = bag_blocks.cells(placed).cache()
+    n = bag_blocks.blocks(placed, table).count()
+    moved = bag_blocks.block_pairs(table, table, 0.75, True)
+    assert table.count() == 1 and n > 100 and moved.count() < n * n / 12
+    assert moved.groupBy("group_a", "lane").count().agg({"count": "max"}).first()[0] <= bag_blocks.LANE
+    assert sorted(found(bag_blocks.matching_pairs(given(spark, rows[:60]), 0.75, False, "t"))) == sorted(brute(rows[:60], 0.75))
