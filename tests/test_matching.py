@@ -83,3 +83,28 @@ def test_batch_renaming_is_first_seen_order(batch):
             else:
                 expected.append(f"ID_{names.setdefault(t, len(names))}")
         assert renamed == expected
+
+
+def test_renaming_in_slices(monkeypatch):
+    from twinspan.functions import renaming
+
+    rows = [["a", "b", "a", "1"], [], None, ["b"] * 9, ["return", "x", "y", "x"], ["y"]]
+    lists = pa.array([["z"], *rows], pa.list_(pa.string())).slice(1)
+    whole = renaming.rename_batch(lists).to_pylist()
+    seen = []
+    once = renaming._rename
+    monkeypatch.setattr(renaming, "TOKENS", 4)
+    monkeypatch.setattr(renaming, "_rename", lambda part: seen.append(len(part.flatten())) or once(part))
+    assert renaming.rename_batch(lists).to_pylist() == whole
+    assert whole == [["ID_0", "ID_1", "ID_0", "LITERAL"], [], [], ["ID_0"] * 9, ["return", "ID_0", "ID_1", "ID_0"], ["ID_0"]]
+    assert sorted(seen)[-1] == 9 and len(seen) == 4 and sum(seen) == 18
+    assert renaming.rename_batch(lists.slice(0, 0)).to_pylist() == []
+
+
+def test_row_slices_hold_about_so_many_elements():
+    from twinspan.functions.renaming import row_slices
+
+    lists = pa.array([[1] * n for n in (3, 0, 2, 9, 1, 1, 4)], pa.list_(pa.int32()))
+    assert row_slices(lists, 5) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+    assert row_slices(lists.slice(3), 5) == [(0, 1), (1, 3), (3, 4)]
+    assert row_slices(lists.slice(0, 0), 5) == []
