@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from twinspan import constants as C
 from twinspan.functions import numeric as N
 from twinspan.functions import text as X
+from twinspan.functions.renaming import TOKENS, row_slices
 from twinspan.operators.segment import once
 
 
@@ -172,8 +173,8 @@ def hash_features(df: DataFrame, key: str, text: str, dim: int = C.FEATURE_DIM)
     """Sparse, L2-normalised signed feature counts of token classes and their bigrams.
 
     Structural features only: they carry no meaning, so they may never support a
-    Type-4 pair. Counts of a batch of rows are summed at once; each distinct feature
-    of a batch is digested once.
+    Type-4 pair. Counts of some rows of a batch are summed at once; each distinct feature
+    of theirs is digested once.
     """
     classes = once(df.select(F.col(key).alias("id"), F.col(text).alias("t")), "c", X.structural_class(X.word_tokens_lower("t")))
     marks = classes.select("id", F.concat("c", X.bigrams("c")).alias("f")).filter("f IS NOT NULL")
@@ -183,7 +184,7 @@ def hash_features(df: DataFrame, key: str, text: str, dim: int = C.FEATURE_DIM)
         return int(digest[:8], 16) % dim, 1 if int(digest[9], 16) % 2 else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, high - low) for b in batches for low, high in row_slices(b.column("f"), TOKENS)):
             lists = batch.column("f")
             named = lists.flatten().dictionary_encode()
             places = np.array([place(f) for f in named.dictionary.to_pylist()], np.int64).reshape(-1, 2)
