@@ -118,3 +118,13 @@ def test_semantic_scope(spark):
     assert df.filter(S.semantic_eligible("a", "b")).count() == 2
     assert df.filter(S.semantic_eligible("a", "b", True, ())).count() == 2
     assert df.filter(S.semantic_eligible("a", "b", True, ("c:c",))).count() == 3
+
+
+def test_blocks_move_once_per_group_they_meet(spark):
+    n = 100
+    pairs = spark.createDataFrame([(a, b) for a in range(n) for b in range(a, n)], "a LONG, b LONG")
+    met = vector_tree.meetings(pairs).cache()
+    assert met.count() < n * (n + 1) / 2 / 12
+    back = met.select("group", "lane", "block", F.explode("partners").alias("a"))
+    assert back.select("a", F.col("block").alias("b")).exceptAll(pairs).count() == 0 and back.count() == pairs.count()
+    assert max(r["count"] for r in met.groupBy("group", "lane").count().collect()) <= vector_tree.LANE
