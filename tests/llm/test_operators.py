@@ -121,6 +121,24 @@ def test_strings_with_split_shards(spark, monkeypatch):
     assert string_rows(suffix_array_dedup.dedup_digests(table(spark, rows))) == ordered(brute.strings(rows))
 
 
+def test_regions_that_share_an_anchor_alone_are_not_compared(spark):
+    from twinspan.llm import anchors
+
+    rng = random.Random(12)
+    new = lambda n: " ".join(f"{rng.randrange(10**9)}" for _ in range(n))
+    phrases = [new(12) for _ in range(8)]
+    rows = [(i, " ".join(f"{new(70)} {phrases[(i + k) % 8]}" for k in range(6)) + f" {new(70)}") for i in range(12)]
+    shared = new(80)
+    rows += [(50 + i, f"{new(60)} {shared} {new(60)}") for i in range(2)]
+    docs = table(spark, rows)
+    for unit in (suffix_array_dedup.UNIT, anchors.Unit(True, 50, 8)):
+        anchored = anchors.occurrences(docs, unit).groupBy("anchor").agg(F.count_distinct("digest").alias("n"), F.min("doc").alias("doc"))
+        assert anchored.filter("n > 1 AND doc < 50").count() > 0
+        assert {r["doc"] for r in anchors.find_repeats(docs, unit, "t").mixed.collect()} == {50, 51}
+    assert string_rows(suffix_array_dedup.dedup_digests(docs)) == ordered(brute.strings(rows))
+    assert rows_of(substring_dedup.dedup_digests(docs)) == ordered(brute.passages(rows))
+
+
 def test_strings_remaining(spark):
     rows = [(1, "é" * 300), (2, "a" * 399), (3, "b" * 401)]
     out = {r["doc_id"]: (r["n_removed"], bytes(r["remaining"])) for r in suffix_array_dedup.remove_strings(table(spark, rows)).collect()}
