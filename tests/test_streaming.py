@@ -64,6 +64,19 @@ def test_a_batch_reads_only_its_buckets(spark, tmp_path):
     assert {r[0] for r in whole.collect()} == {r[0] for r in opened.filter("job_id = 'j7'").select("param_fp").collect()}
 
 
+def test_a_batch_of_one_row_group_is_cut_by_many_tasks(spark, tmp_path, monkeypatch):
+    corpus = intake.Corpus(spark, str(tmp_path / "corpus"), 0.75)
+    rows = [("j", f"{i}.c", i, "c", BODY + "\n" * (i % 9) + f"int x = {' + '.join(['1'] * i)};") for i in range(1, 200)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    cut, seen = intake.fingerprint_batch, []
+    monkeypatch.setattr(intake, "fingerprint_batch", lambda files, lexer: seen.append(files.select(F.spark_partition_id()).distinct().count()) or cut(files, lexer))
+    stored = corpus.store(spark.read.parquet(str(tmp_path / "in")), 0, False)
+    assert seen[0] > 1 and stored.count() == 199
+    # One file a bucket, not one for each bucket and task.
+    folders = [f.rsplit("/", 1)[0] for f in stored.inputFiles()]
+    assert len(folders) == len(set(folders)) > 1
+
+
 def test_registered_streams_equal_one_run(spark):
     from tests.conftest import SMALL
     from twinspan.catalog import registry
