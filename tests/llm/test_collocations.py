@@ -102,3 +102,26 @@ def test_counts_beyond_64_bits(spark):
 def test_the_smallest_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
     assert got(queries.op11_son_collocations(spark, SMALL)) == brute(rows)
+
+
+def test_tasks_are_handed_few_bytes_at_a_time(spark, monkeypatch):
+    """Texts of 24 MB in all come in batches of about ``BATCH`` bytes, and the session's own setting is back afterwards."""
+    docs = spark.range(0, 240, 1, 1).select("id", F.lit("en").alias("lang"), F.repeat(F.concat(F.lit("word "), F.col("id"), F.lit(" ")), 12_000).alias("text"))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    given, most = type(docs).mapInArrow, collocations.BATCH + (1 << 20)
+
+    def watched(self, run, schema, *rest):
+        def checked(batches):
+            for batch in batches:
+                if batch.nbytes > most:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return given(self, lambda batches: run(checked(batches)), schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    before = spark.conf.get(collocations.BATCH_BYTES)
+    top = collocations.collocations(docs).orderBy("rank").first()
+    assert spark.conf.get(collocations.BATCH_BYTES) == before
+    # The best cut is after the first "word", which stands 240 * 12,000 times.
+    assert (top.phrase.split()[::2], top.a, top.l, top.r, top.n) == (["word", "word"], 11_999, 240 * 12_000, 11_999, 240 * 24_000)
