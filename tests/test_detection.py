@@ -159,6 +159,31 @@ def test_near_miss_join_in_small_blocks_is_the_same(spark, monkeypatch):
     assert pick() == before
 
 
+def contents_of(frags):
+    return sorted((r.near_fp_a, r.near_fp_b, r.similarity, r.n_pairs) for r in M.near_miss_join(frags, 0.5).collect())
+
+
+def test_pairs_are_scored_where_their_blocks_meet(spark, monkeypatch):
+    """No list is fetched for a pair of shapes that have few contents."""
+    frags = stage(B.prints(spark, SMALL).drop("tokens", "params", "code"), "scored")
+    expected = contents_of(frags)
+    fetched = []
+    verify = M.verify
+    monkeypatch.setattr(M, "verify", lambda pairs, distinct, t: fetched.append(pairs.count()) or verify(pairs, distinct, t))
+    assert contents_of(frags) == expected and expected and fetched == [0]
+
+
+def test_shapes_of_many_contents_are_the_same(sources, monkeypatch):
+    """Contents that differ in literals are one shape; whether they travel with it or are fetched, the pairs are the same."""
+    body = "int f(int a) {{ int b = a * {0}; while (b > {0}) {{ b -= a; g(b, \"x{0}\"); }} {1} return b; }}"
+    files = sources(*[(f"{k}{i}.java", body.format(i, extra)) for k, extra in enumerate(("", "b += 1;", "h(a); b += a;")) for i in range(2 + 2 * k)])
+    frags = stage(K.fingerprints(G.usable_fragments(prepare(files, None, False))), "many")
+    monkeypatch.setattr(M, "AT_HAND", 9)
+    expected = contents_of(frags)
+    monkeypatch.setattr(M, "AT_HAND", 2)
+    assert contents_of(frags) == expected and len(expected) > 10
+
+
 def M_weight(token):
     from twinspan.functions.matching import weight
 
