@@ -89,3 +89,23 @@ def test_stores_and_batches(spark, tmp_path):
     assert spark.conf.get(BATCH_BYTES, None) == before and rows.count() == 3
     assert arrow_store(rows.inputFiles()[0]) is not None
     assert arrow_store("viewfs://store/in/x") is None and arrow_store(f"file://{tmp_path}/none") is None and arrow_store(None) is None
+
+
+def test_steps_of_long_lists_are_counted_some_at_a_time(monkeypatch):
+    """However long the lists of many pairs are, the rows of their tokens are not formed all at once."""
+    monkeypatch.setattr(bag_blocks, "FEW", 0)
+    rows, formed, common = texts(12, 24, 300)[1:], [], bag_blocks.Bits.common
+    a, b = lists_of(rows), lists_of(texts(13, 24, 300)[1:])
+    i, j = (x.ravel() for x in np.indices((len(b), len(a))))
+    expected = bag_blocks.joint_subsequences(b, a, i, j, True)
+    monkeypatch.setattr(bag_blocks, "STEPS", 900)
+    monkeypatch.setattr(bag_blocks.Bits, "common", lambda self, row, *rest: formed.append(len(row)) or common(self, row, *rest))
+    assert bag_blocks.joint_subsequences(b, a, i, j, True).tolist() == expected.tolist()
+    assert len(formed) > 10 and max(formed) < 900 + 700
+
+
+def test_places_that_agree_are_formed_some_at_a_time():
+    # 2 lists of 3,000 equal tokens agree at 9 million places; what is formed together stays below a few MB a column.
+    from twinspan.functions import run_batches as R
+
+    assert R.PLACES * 8 <= 4 << 20 and R.TOKENS <= 100_000 and bag_blocks.TABLE <= 24 << 20
