@@ -85,12 +85,19 @@ def test_few_tokens_are_unpacked_at_a_time(spark, monkeypatch):
 
 def test_stores_and_batches(spark, tmp_path):
     before = spark.conf.get(BATCH_BYTES, None)
-    rows = stage(spark.range(3), "a b", 1 << 20)
+    rows = stage(spark.range(3), "a b")
     assert spark.conf.get(BATCH_BYTES, None) == before and rows.count() == 3
     assert arrow_store(rows.inputFiles()[0]) is not None
     assert arrow_store("viewfs://store/in/x") is None and arrow_store(f"file://{tmp_path}/none") is None and arrow_store(None) is None
 
 
+def test_staged_jobs_hand_python_little_at_a_time(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    rows = spark.range(0, 40_000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 2000) AS text")
+    with_small = stage(rows.mapInArrow(sizes, "n LONG"), "sizes").agg({"n": "max"}).first()[0]
+    assert with_small <= 8 << 20
+
+
 def test_steps_of_long_lists_are_counted_some_at_a_time(monkeypatch):
     """However long the lists of many pairs are, the rows of their tokens are not formed all at once."""
     monkeypatch.setattr(bag_blocks, "FEW", 0)
